@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlens.llm import bpe, mixing, quality_ngrams, simhash
+from meshlens.llm import bpe, mixing, quality_ngrams, recompress, simhash
 from meshlens.llm.shared import staged
 
 
@@ -25,6 +25,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that also stand earlier are cut out of the texts."""
+    return recompress.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of documents by their sources' targets, some twice."""
     return mixing.mixed(docs)
@@ -38,6 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

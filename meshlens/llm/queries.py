@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import bpe, chat, minhash, mixing, quality_ngrams, simhash, url_filter
+from meshlens.llm import bpe, chat, minhash, mixing, pseudo_lm, quality_ngrams, recompress, rule_ensemble, simhash, url_filter
 
 #: Verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -33,6 +33,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.scored(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.scored(docs, pseudo_lm.train(docs))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select {PROBE_ID}L as conv_id, stack(2, 0L, 'user', '{PROBE}', 1L, 'assistant', '{PROBE}') as (turn, role, text)")
@@ -53,12 +67,28 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op7_chat, op8_minhash, op9_quality, op10_urls)}
+    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op4_quality_classifier, op5_lm_score, op6_substring_dedup, op7_chat, op8_minhash, op9_quality, op10_urls)}
 
 
 _ESCAPED = r"length(regexp_replace(coalesce(text, ''), '(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|)', '\\\1', 'g'))"
 
 SQL = {
+    "op6_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS pos, w FROM words WHERE len(w) >= 20),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) AS name FROM starts),
+repeats AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, rank() OVER (PARTITION BY name ORDER BY doc_id, pos) AS r FROM windows) WHERE r > 1),
+gone AS (
+  SELECT doc_id, list_distinct(flatten(list(generate_series(pos, pos + 19)))) AS g FROM repeats GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+    CASE WHEN g IS NULL THEN w ELSE [w[i] FOR i IN generate_series(1, len(w)) IF NOT list_contains(g, i)] END AS k
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
     "op7_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, text FROM conversations
