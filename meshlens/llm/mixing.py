@@ -51,33 +51,28 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return found.withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * rest))).drop("_w", "_cap", "_level", "_capped")
 
 
-def apportion(parties: DataFrame, seats: DataFrame, group: str, order: str) -> DataFrame:
-    """parties(group, order, weight, most) with quota: the group's seats by highest quotients, at most ``most`` each.
+def apportion(groups: DataFrame) -> DataFrame:
+    """groups(seats, ps: array of structs with weight, most and ord) with quota in each struct: the seats by highest quotients, at most ``most`` each.
 
-    The quotient at which a group's seats run out is bracketed by halving; only quotients inside the bracket are ranked
-    (ties by order), so it takes no row for every seat. Groups hold sources or shards, of bounded number.
+    The quotient at which the seats run out is bracketed by halving; only quotients inside the bracket are ranked (ties by
+    ord), so no seat takes a row. A group's parties are sources or the shards of one source, of bounded number.
     """
-    held = parties.groupBy(group).agg(F.collect_list(F.struct("weight", "most")).alias("ps")).join(seats, group)
-
-    def given(per_weight: Column) -> Column:
-        return F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + F.least(F.floor(p["weight"] * per_weight + 0.5), p["most"]))
-
-    total = F.aggregate("ps", F.lit(0.0), lambda a, p: a + p["weight"])
+    least = lambda per, p: F.least(F.floor(p["weight"] * per + 0.5), p["most"])
+    given = lambda per: F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + least(per, p))
+    smallest = F.array_min(F.filter(F.transform("ps", lambda p: p["weight"]), lambda w: w > 0))
     # seats for each unit of weight: none at 0; all that can be had at the upper end
-    top = F.lit(4.0) * (F.col("seats") + F.size("ps")) / F.greatest(F.lit(1e-9), F.array_min(F.filter(F.transform("ps", lambda p: p["weight"]), lambda w: w > 0)))
-    start = F.struct(F.lit(0.0).alias("lo"), F.coalesce(top, F.lit(0.0)).alias("hi"))
+    top = F.coalesce(F.lit(4.0) * (F.col("seats") + F.size("ps")) / F.greatest(F.lit(1e-9), smallest), F.lit(0.0))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        return F.when(given(mid) <= F.col("seats"), F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+    def halve(at: Column, _: Column) -> Column:
+        mid = (at["lo"] + at["hi"]) / 2
+        return F.when(given(mid) <= F.col("seats"), F.struct(mid.alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), mid.alias("hi")))
 
-    bracket = held.withColumn("b", F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, halve)).filter(total >= 0).select(group, "seats", "b.lo", "b.hi", given(F.col("b.lo")).alias("sure"))
-    per = lambda c: F.least(F.floor(F.col("weight") * F.col(c) + 0.5), F.col("most"))
-    base = parties.join(bracket, group).withColumn("_lo", per("lo")).withColumn("_hi", per("hi"))
-    open_ = base.filter("_hi > _lo").withColumn("_k", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.col("weight") / (2 * F.col("_k") + 1)), order, "_k"))
-    more = open_.withColumn("_r", rank).filter("_r <= seats - sure").groupBy(group, order).agg(F.count("*").alias("_more"))
-    return base.join(more, [group, order], "left").withColumn("quota", F.col("_lo") + F.coalesce("_more", F.lit(0))).drop("lo", "hi", "sure", "seats", "_lo", "_hi", "_more")
+    found = groups.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve))
+    steps = lambda p: F.when(least(F.col("_b.hi"), p) > least(F.col("_b.lo"), p), F.sequence(least(F.col("_b.lo"), p), least(F.col("_b.hi"), p) - 1)).otherwise(F.array().cast("array<bigint>"))
+    open_ = F.array_sort(F.flatten(F.transform("ps", lambda p: F.transform(steps(p), lambda k: F.struct((-p["weight"] / (2 * k + 1)).alias("q"), p["ord"].alias("ord"))))))
+    found = found.withColumn("_more", F.slice(open_, F.lit(1), F.greatest(F.lit(0), F.col("seats") - given(F.col("_b.lo"))).cast("int")))
+    quota = lambda p: least(F.col("_b.lo"), p) + F.size(F.filter("_more", lambda m: m["ord"] == p["ord"]))
+    return found.withColumn("ps", F.transform("ps", lambda p: p.withField("quota", quota(p).cast("long")))).drop("_b", "_more")
 
 
 def _shard(shards: str) -> Column:
@@ -87,18 +82,21 @@ def _shard(shards: str) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", **options: object) -> tuple[DataFrame, DataFrame]:
     """(sources, shards): targets, and blocks and quotas of each shard. The texts are read once; what is kept of them is one number a row."""
     sized = staged(docs.select(F.col(id_col).alias("_id"), F.col("source"), word_count(F.col("text")).alias("_size")), "mix-sizes")
-    sources = targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), **options)
+    # one row a source from here on to the targets: in one task, without a shuffle
+    sources = targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")).coalesce(1), **options)
     count = F.least(F.lit(MOST_SHARDS).cast("long"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / SHARD_WORDS)))
     sources = staged(sources.withColumn("n_shards", count), "mix-sources")
     placed = sized.join(sources.select("source", "sid", "n_shards").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    shards = placed.groupBy("sid", _shard("n_shards").alias("shard")).agg(F.sum("_size").alias("words"))
-    shards = staged(shards.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1).cast("long"), F.round(F.col("words") / BLOCK).cast("long"))).otherwise(0)), "mix-shards")
+    shards = placed.groupBy("sid", _shard("n_shards").alias("ord")).agg(F.sum("_size").alias("words"))
+    shards = shards.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1).cast("long"), F.round(F.col("words") / BLOCK).cast("long"))).otherwise(F.lit(0).cast("long")))
+    party = F.struct("ord", "words", "blocks", F.col("words").cast("double").alias("weight"), (F.col("blocks") * CAP).alias("most"))
+    of_source = staged(shards.groupBy("sid").agg(F.collect_list(party).alias("ps"), F.sum("blocks").alias("blocks")).coalesce(8), "mix-shards")
     # a source's claim in blocks of its own mean length
-    claims = shards.groupBy("sid").agg(F.sum("blocks").alias("blocks")).join(sources, "sid").select(F.lit(0).alias("all"), "sid", (F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).alias("weight"), (F.col("blocks") * CAP).alias("most"))
-    whole = claims.groupBy("all").agg(F.least(F.round(F.sum("weight")).cast("long"), F.sum("most")).alias("seats"))
-    of_source = staged(apportion(claims, whole, "all", "sid").select("sid", F.col("quota").alias("seats")), "mix-quotas")
-    parts = shards.select("sid", "shard", F.col("words"), F.col("blocks"), F.col("words").cast("double").alias("weight"), (F.col("blocks") * CAP).alias("most"))
-    shards = staged(apportion(parts, of_source, "sid", "shard").select("sid", "shard", "words", "blocks", "quota"), "mix-blocks")
+    claims = of_source.select("sid", "blocks").coalesce(1).join(sources, "sid").select(F.col("sid").alias("ord"), (F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).alias("weight"), (F.col("blocks") * CAP).alias("most"))
+    whole = claims.groupBy().agg(F.collect_list(F.struct("ord", "weight", "most")).alias("ps"), F.least(F.round(F.sum("weight")).cast("long"), F.sum("most")).alias("seats")).withColumn("seats", F.coalesce("seats", F.lit(0)))
+    seats = apportion(whole).select(F.inline("ps")).select(F.col("ord").alias("sid"), F.col("quota").alias("seats"))
+    shards = apportion(of_source.join(seats, "sid")).select("sid", F.inline("ps"))
+    shards = staged(shards.select("sid", F.col("ord").alias("shard"), "words", "blocks", "quota"), "mix-blocks")
     return sources, shards
 
 
