@@ -122,21 +122,22 @@ def with_neighbours(docs: DataFrame, rows_a_range: int = 500, most_ranges: int =
     """
     spark = docs.sparkSession
     ship(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))  # null ids come first
+    ids = docs.select(place.alias("place"))
     n = ids.count()
     if not n:
         return spark.createDataFrame([], DDL)
     ranges = min(most_ranges, n // rows_a_range + 1)
-    cuts = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    number = _range_of(F.col("doc_id"), sorted({int(c) for c in cuts}))
-    heads = sorted((r, least) for r, least in ids.groupBy(number.alias("r")).agg(F.min("doc_id")).collect())
+    cuts = ids.approxQuantile("place", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    heads = sorted((r, least) for r, least in ids.groupBy(_range_of(F.col("place"), cuts).alias("r")).agg(F.min("place")).collect())
     # the least row of each range, by (doc_id, text), is also shown at the end of the range before it
     shown = spark.createDataFrame([(least, heads[i - 1][0]) for i, (_, least) in enumerate(heads)], "least long, shown_in int")
-    base = docs.select(number.alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ghosts = base.join(F.broadcast(shown), base["doc_id"] == shown["least"]).groupBy("doc_id", "shown_in").agg(F.min("text").alias("text"))
-    ghosts = ghosts.select(F.col("shown_in").alias("r"), F.lit(True).alias("ghost"), "doc_id", "text")
-    dealt = base.select("r", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts)
-    return dealt.repartition("r").sortWithinPartitions("r", "ghost", "doc_id", "text").mapInArrow(_neighbours, DDL)
+    base = docs.select(_range_of(place, cuts).alias("r"), place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ghosts = base.join(F.broadcast(shown), base["place"] == shown["least"]).groupBy("place", "shown_in").agg(F.min("text").alias("text"))
+    ghosts = ghosts.select(F.col("shown_in").alias("r"), F.lit(True).alias("ghost"), "place", F.col("place").alias("doc_id"), "text")
+    dealt = base.select("r", F.lit(False).alias("ghost"), "place", "doc_id", "text").unionByName(ghosts)
+    return dealt.repartition("r").sortWithinPartitions("r", "ghost", "place", "text").drop("place").mapInArrow(_neighbours, DDL)
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:

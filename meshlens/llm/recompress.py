@@ -8,11 +8,12 @@ the words they depend on, all lie inside the window.
 
 Each window takes as its key the highest-level interior symbol of least hash; neighbouring windows mostly take the same one
 and make a unit. Spark rounds bring units of one key together. A unit whose words also stand earlier is a repeat as a
-whole. Only where one key has units of different words (edges of passages, edited copies), or a unit repeats inside itself, are the windows of the earliest
-units compared one by one, by 128-bit names.
+whole. Only where one key has units of different words (edges of passages, edited copies), or a unit repeats inside
+itself, are the windows of the earliest units compared one by one, by 128-bit names.
 
-Defined cases: null and empty texts, and those of fewer than 20 words, lose nothing as a whole but may be no source of a
-window either; rows of equal doc_id are taken to be one document and share their decisions; an empty table stays empty.
+Defined cases: null and empty texts, and those of fewer than 20 words, have no window and lose nothing; rows of equal
+doc_id are taken to be one document and share their decisions (of different texts under one id, what lies past a text's
+end is ignored); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql.window import Window
 from meshlens.llm.shared import Words, mix64, pooled, powers, ship, slices, staged, words_of
 
 WINDOW, LEVELS = 20, 2
-_TOP = np.uint64(2**64 - 1)
 
 
 def _follow(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -137,7 +137,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = _repeats_inside(pooled(hashes, WINDOW, 5), begin, count)
             content = _follow(hashes, begin, begin + count + WINDOW - 1)
             key, row, at = keys[begin], text[begin], begin - w.first[:-1][text[begin]]
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = part.column("doc_id")
+            ids = (ids.fill_null(-(2**63)) if pa.types.is_int64(ids.type) else ids).to_numpy(zero_copy_only=False)
             # of equal units in one slice only the earliest has to be brought together with others
             order = np.lexsort((at, ids[row], content, key))
             again = np.zeros(len(order), bool)
@@ -175,18 +176,21 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[p
         place = [np.repeat(r[:, 0], r[:, 1]) + np.arange(r[:, 1].sum()) - np.repeat(np.cumsum(r[:, 1]) - r[:, 1], r[:, 1]) for _, _, r in held]
         row = np.repeat(np.arange(len(held)), [len(p) for p in place])
         at = np.concatenate(place)
+        fits = at + WINDOW <= w.counts()[row]  # a row of the same id may be shorter
+        row, at = row[fits], at[fits]
         x, y = one[at + w.first[row]], two[at + w.first[row]]
-        order = np.lexsort((at, row, y, x))  # documents come in order
+        document = np.cumsum([k and held[k][0] != held[k - 1][0] for k in range(len(held))])[row]
+        order = np.lexsort((at, document, y, x))  # documents come in order
         again = np.zeros(len(order), bool)
         i, j = order[1:], order[:-1]
-        again[i] = (x[i] == x[j]) & (y[i] == y[j]) & ((row[i] != row[j]) | (at[i] != at[j]))
+        again[i] = (x[i] == x[j]) & (y[i] == y[j]) & ((document[i] != document[j]) | (at[i] != at[j]))
         x = np.where(again, mix64(x + row.astype(np.uint64) * np.uint64(1 << 32) + at.astype(np.uint64), 9), x)
         ids = pa.array([k for k, _, _ in held], kind).take(pa.array(row))
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(again)], names=["a", "b", "doc_id", "at", "sure"])
 
     held, size = [], 0
     for key, text, ranges in _with_ranges(batches):
-        if len(ranges) and not (held and held[-1][0] == key):
+        if len(ranges):
             held.append((key, text or "", ranges))
             size += len(held[-1][1])
             if size > 1 << 20:

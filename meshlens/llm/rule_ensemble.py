@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int =
 
 def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row: one projection, no shuffle."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
     measured = docs.select("doc_id", held.alias("held_out"), *[c.cast("double").alias(f"_{n}") for n, c in statistics(F.col("text")).items()])
     found = measured.select("doc_id", "held_out", model.score([F.col(f"_{n}") for n in NAMES]).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -181,4 +181,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group: that of the least doc_id (of repeated rows of it the least text)."""
     groups = near_groups(docs)
     gone = staged(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
