@@ -21,9 +21,9 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 def operations(texts: DataFrame, column: str = "value") -> DataFrame:
     """(path, method, operation_id, has_auth) of OpenAPI documents; text that is no such document gives no rows."""
     spec = texts.select(F.from_json(column, OPENAPI).alias("s"))
-    items = spec.select(F.size("s.security").alias("_g"), F.explode("s.paths").alias("path", "item"))
+    items = spec.select(F.coalesce(F.size("s.security"), F.lit(0)).alias("_g"), F.explode("s.paths").alias("path", "item"))
     ops = items.select("_g", "path", F.explode(F.array(*[F.struct(F.lit(m.upper()).alias("method"), F.col(f"item.{m}").alias("op")) for m in OPERATIONS])).alias("x"))
-    return ops.filter("x.op is not null").select("path", "x.method", F.col("x.op.operationId").alias("operation_id"), ((F.size("x.op.security") > 0) | (F.col("_g") > 0)).alias("has_auth"))
+    return ops.filter("x.op is not null").select("path", "x.method", F.col("x.op.operationId").alias("operation_id"), F.coalesce((F.coalesce(F.size("x.op.security"), F.lit(0)) > 0) | (F.col("_g") > 0), F.lit(False)).alias("has_auth"))
 
 
 def openapi_endpoints(ops: DataFrame, file: str) -> DataFrame:
