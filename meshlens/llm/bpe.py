@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from meshlens.llm.shared import ship, slices, words_of
 
 #: Encodings of runs and words kept from batch to batch, and remembered pairs of tokens.
-KEPT_RUNS, KEPT_WORDS, KEPT_PAIRS = 300_000, 150_000, 300_000
+KEPT_RUNS, KEPT_WORDS, KEPT_PAIRS = 120_000, 80_000, 150_000
 #: Bytes of text whose distinct words make one trie.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Trie nodes up to this depth are kept as well.
 NODE_DEPTH = 8
 
