@@ -126,3 +126,19 @@ def test_config(tmp_path):
     c = config.load_config(str(tmp_path / "c.yaml"))
     assert c["weights"] == {"quality": 9, "contract": 1.5, "operational": 1.0, "security": 2.0} and c["hub_fanin_threshold"] == 7
     assert config.parse_tokens("ann:t1, t2,", "t3") == {"t1": "ann", "t2": "user2", "t3": "default"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from meshlens.plans import cli
+
+    for name, text in (("p/backend/app/api.py", API), ("p/backend/app/models.py", MODELS), ("p/backend/app/store.py", STORE), ("p/frontend/page.tsx", PAGE)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    root, out = str(tmp_path / "p"), str(tmp_path / "out")
+    assert cli.main(["scan", root, "--out", out]) == 0
+    graph = f"{out}/graph.json"
+    assert cli.main(["diff", graph, graph, "--fail-on", "low"]) == 0 and cli.main(["diff", graph, str(tmp_path / "none")]) == 2
+    capsys.readouterr()
+    assert cli.main(["explain", graph, "ep:GET /api/items/{item_id}"]) == 0 and "sql_injection_risk" in capsys.readouterr().out
+    assert cli.main(["explain", graph, "items"]) == 2 and "/api/items" in capsys.readouterr().out
+    assert spark.read.json(f"{out}/history.json").count() == 1
