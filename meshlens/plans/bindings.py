@@ -265,7 +265,7 @@ def top_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("ep5", "node", 1, "missing_auth", "high", "security", "", "", ""), ("ep2", "node", 2, "sql_injection_risk", "critical", "security", "", "", ""), ("ep1", "node", 3, "missing_auth", "high", "security", "", "", ""), ("ep6", "node", 4, "unused_endpoint", "low", "contract", "", "", ""), ("ep1", "node", 5, "unused_endpoint", "low", "contract", "", "", "")]
+    rows = [("ep5", "node", 1, "missing_auth", "high", "security", "", "", ""), ("ep2", "node", 2, "sql_injection_risk", "critical", "security", "", "", ""), ("ep1", "node", 3, "missing_auth", "high", "security", "", "", ""), ("ep6", "node", 4, "unused_endpoint", "low", "contract", "", "", ""), ("ep1", "node", 5, "unused_endpoint", "low", "contract", "", "", ""), ("ep3", "node", 6, "untested_handler", "high", "quality", "", "", ""), ("ep4", "node", 7, "untested_handler", "high", "quality", "", "", "")]
     from meshlens.schema import FLAGS
 
     return spark.createDataFrame(rows, FLAGS)
@@ -280,7 +280,7 @@ def _runtime_flags(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     return found.filter(F.col("code") == code).select("owner_id", "code", "severity", "category")
 
 
-@query(f"WITH {HOT_SQL} SELECT endpoint AS owner_id, 'hot_fragile' AS code, 'critical' AS severity, 'operational' AS category FROM rolled, hot WHERE req_count >= t AND endpoint IN ('ep1', 'ep2', 'ep5')")
+@query(f"WITH {HOT_SQL} SELECT endpoint AS owner_id, 'hot_fragile' AS code, 'critical' AS severity, 'operational' AS category FROM rolled, hot WHERE req_count >= t AND endpoint IN ('ep1', 'ep2', 'ep3', 'ep4', 'ep5')")
 def hot_fragile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runtime_flags(spark, sf_dir, "hot_fragile")
 
@@ -497,7 +497,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, m = table(spark, sf_dir, "lineitem"), F.col("l_suppkey") % 40
     base = F.concat(F.lit("src/m"), (m % 35).cast("string"), F.lit(".py"))
     file = F.when(m % 3 == 0, F.concat(F.lit("/ci/"), base)).when(m == 37, F.lit("/x/src/m7.py")).when(m == 7, F.lit("/y/src/m7.py")).otherwise(base)
-    return li.select(file.alias("file"), (F.col("l_partkey") % 150).cast("int").alias("line"), F.when(F.col("l_returnflag") == "R", "missing").otherwise("executed").alias("state"))
+    return li.select(file.alias("file"), (F.col("l_partkey") % 150).cast("int").alias("line"), F.when(F.col("l_orderkey") % 16 != 0, "missing").otherwise("executed").alias("state"))
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +505,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(k % 5 == 0).select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.concat(F.lit("src/m"), (k % 45).cast("string"), F.lit(".py")).alias("file"), (k % 140).cast("int").alias("line"), F.when(k % 10 == 0, (k % 140 + 12).cast("int")).otherwise(F.when(k % 3 == 0, 0).otherwise((k % 140 + 3).cast("int"))).alias("end_line"), F.lit("h").alias("handler"))
 
 
-COV_SQL = """lines AS (SELECT CASE WHEN m % 3 = 0 THEN '/ci/' || b WHEN m = 37 THEN '/x/src/m7.py' WHEN m = 7 THEN '/y/src/m7.py' ELSE b END AS report, line, max(CASE WHEN state = 'executed' THEN 1 ELSE 0 END) AS ran FROM (SELECT l_suppkey % 40 AS m, 'src/m' || ((l_suppkey % 40) % 35) || '.py' AS b, l_partkey % 150 AS line, CASE WHEN l_returnflag = 'R' THEN 'missing' ELSE 'executed' END AS state FROM lineitem) GROUP BY 1, 2),
+COV_SQL = """lines AS (SELECT CASE WHEN m % 3 = 0 THEN '/ci/' || b WHEN m = 37 THEN '/x/src/m7.py' WHEN m = 7 THEN '/y/src/m7.py' ELSE b END AS report, line, max(CASE WHEN state = 'executed' THEN 1 ELSE 0 END) AS ran FROM (SELECT l_suppkey % 40 AS m, 'src/m' || ((l_suppkey % 40) % 35) || '.py' AS b, l_partkey % 150 AS line, CASE WHEN l_orderkey % 16 <> 0 THEN 'missing' ELSE 'executed' END AS state FROM lineitem) GROUP BY 1, 2),
 bodies AS (SELECT 'p' || p_partkey AS id, 'src/m' || (p_partkey % 45) || '.py' AS file, p_partkey % 140 AS line, CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 140 + 12 WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 140 + 3 END AS end_line FROM part WHERE p_partkey % 5 = 0),
 reports AS (SELECT DISTINCT report FROM lines),
 ends AS (SELECT f.file, count(*) AS n, any_value(r.report) AS report FROM (SELECT DISTINCT file FROM bodies) f JOIN reports r ON suffix(r.report, '/' || f.file) GROUP BY f.file),
