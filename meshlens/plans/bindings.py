@@ -116,42 +116,47 @@ MATCH_SQL = f"WITH {EP_SQL}, {CALL_SQL} "
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of suppliers from their returned lines."""
+    """Flags of orders, one from each of their lines; equal ones merge."""
     li = table(spark, sf_dir, "lineitem")
-    sev = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
-    rows = li.filter(F.col("l_orderkey") % 50 == 0).select(
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("owner_id"), F.lit("node").alias("owner_kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")).alias("code"),
-        sev.alias("severity"), F.when(F.col("l_linestatus") == "O", "security").otherwise("quality").alias("category"), F.lit("m").alias("message"), (F.col("l_partkey") % 3).cast("string").alias("evidence"), F.lit("").alias("suggestion"),
+    sev = F.when(F.col("l_returnflag") == "R", "medium").otherwise("low")
+    rows = li.select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("owner_id"), F.lit("node").alias("owner_kind"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ord"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")).alias("code"),
+        sev.alias("severity"), F.when(F.col("l_linestatus") == "O", "contract").otherwise("quality").alias("category"), F.lit("m").alias("message"), (F.col("l_partkey") % 3).cast("string").alias("evidence"), F.lit("").alias("suggestion"),
     )
-    return graph.merge_flags(rows, suppliers(spark, sf_dir))
+    return graph.merge_flags(rows, graph_nodes(spark, sf_dir))
 
 
-FLAG_SQL = """raw AS (SELECT 's' || l_suppkey AS owner_id, l_orderkey * 10 + l_linenumber AS ord, 'c' || (l_partkey % 5) AS code, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS severity,
-  CASE WHEN l_linestatus = 'O' THEN 'security' ELSE 'quality' END AS category, CAST(l_partkey % 3 AS VARCHAR) AS evidence FROM lineitem WHERE l_orderkey % 50 = 0),
-flags AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, code, evidence ORDER BY ord) AS rn FROM raw) WHERE rn = 1 AND owner_id IN (SELECT 's' || s_suppkey FROM supplier)),
-points AS (SELECT *, CASE severity WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END * CASE category WHEN 'security' THEN 2.0 ELSE 1.0 END AS p FROM flags),
-scores AS (SELECT 's' || s_suppkey AS id, round(least(CAST(coalesce(sum(p), 0) AS DOUBLE) / 20.0 * 100, 100.0), 1) AS risk_score FROM supplier LEFT JOIN points ON owner_id = 's' || s_suppkey GROUP BY s_suppkey)"""
+FLAG_SQL = """raw AS (SELECT 'o' || l_orderkey AS owner_id, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS ord, 'c' || (l_partkey % 5) AS code, CASE WHEN l_returnflag = 'R' THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN l_linestatus = 'O' THEN 'contract' ELSE 'quality' END AS category, CAST(l_partkey % 3 AS VARCHAR) AS evidence FROM lineitem),
+nodes AS (SELECT o_orderkey AS ord, 'o' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'endpoint' ELSE 'api_call' END AS type, 'n' || (o_custkey % 10) AS label, 'src/m' || (o_custkey % 6) || '.py' AS file, CAST(o_orderkey AS INT) AS line FROM orders
+  UNION ALL SELECT 1000000000000 + c_custkey, 'c' || c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'function' ELSE 'db_model' END, c_name, 'lib/m' || c_nationkey || '.py', CAST(c_custkey AS INT) FROM customer),
+flags AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, code, evidence ORDER BY ord) AS rn FROM raw) WHERE rn = 1 AND owner_id IN (SELECT id FROM nodes)),
+points AS (SELECT *, CASE severity WHEN 'medium' THEN 3 ELSE 1 END * CASE category WHEN 'contract' THEN 1.5 ELSE 1.0 END AS p FROM flags),
+scores AS (SELECT id, round(least(CAST(coalesce(sum(p), 0) AS DOUBLE) / 20.0 * 100, 100.0), 1) AS risk_score FROM nodes LEFT JOIN points ON owner_id = id GROUP BY id)"""
 
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    kind = F.when(k % 4 == 0, "db_model").when(k % 4 == 1, "endpoint").otherwise("function")
-    return s.select(k.cast("long").alias("ord"), F.concat(F.lit("s"), k.cast("string")).alias("id"), kind.alias("type"), F.concat(F.lit("n"), (k % 10).cast("string")).alias("label"), F.concat(F.lit("src/m"), (k % 6).cast("string"), F.lit(".py")).alias("file"), k.cast("int").alias("line"))
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    cust = F.col("o_custkey")
+    first = o.select(F.col("o_orderkey").cast("long").alias("ord"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.when(F.col("o_orderstatus") == "F", "endpoint").otherwise("api_call").alias("type"), F.concat(F.lit("n"), (cust % 10).cast("string")).alias("label"), F.concat(F.lit("src/m"), (cust % 6).cast("string"), F.lit(".py")).alias("file"), F.col("o_orderkey").cast("int").alias("line"))
+    then = c.select((F.lit(1_000_000_000_000) + F.col("c_custkey")).cast("long").alias("ord"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "function").otherwise("db_model").alias("type"), F.col("c_name").alias("label"), F.concat(F.lit("lib/m"), F.col("c_nationkey").cast("string"), F.lit(".py")).alias("file"), F.col("c_custkey").cast("int").alias("line"))
+    return first.unionByName(then)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to supplier, from a line to the next supplier number by part."""
-    li, n = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    a, b = F.col("l_suppkey"), F.col("l_partkey") % F.col("n") + 1
-    rows = li.filter(F.col("l_orderkey") % 100 == 0).join(n)
-    kind = F.when(F.col("l_linenumber") % 3 == 0, "http").when(F.col("l_linenumber") % 3 == 1, "calls").otherwise("queries")
-    named = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("s"), a.cast("string"), F.lit("->s"), b.cast("string")).alias("id"), F.concat(F.lit("s"), a.cast("string")).alias("source"), F.concat(F.lit("s"), b.cast("string")).alias("target"), kind.alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "probable").otherwise("certain").alias("confidence"))
+    """Orders to their customers, written once a line: the last line counts."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(li, "o_orderkey")
+    a, b = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    rank = F.substring("o_orderpriority", 1, 1)
+    kind = F.when(rank.isin("1", "2"), "calls").when(rank == "3", "queries").otherwise("http")
+    named = rows.select((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(a, F.lit("->"), b).alias("id"), a.alias("source"), b.alias("target"), kind.alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "probable").otherwise("certain").alias("confidence"))
     return graph.merge_edges(named)
 
 
-EDGE_SQL = """rawe AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 's' || l_suppkey AS source, 's' || (l_partkey % (SELECT count(*) FROM supplier) + 1) AS target, CASE l_linenumber % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'calls' ELSE 'queries' END AS type,
-  CASE WHEN l_linenumber % 2 = 0 THEN 'probable' ELSE 'certain' END AS confidence FROM lineitem WHERE l_orderkey % 100 = 0),
-edges AS (SELECT source || '->' || target AS id, source, target, min(ord) AS ord, arg_max(type, ord) AS type, arg_max(confidence, ord) AS confidence FROM rawe GROUP BY source, target)"""
+EDGE_SQL = """edges AS (SELECT 'o' || o_orderkey || '->c' || o_custkey AS id, 'o' || o_orderkey AS source, 'c' || o_custkey AS target, any_value(CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'calls' WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'queries' ELSE 'http' END) AS type,
+  arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'probable' ELSE 'certain' END, l_linenumber) AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)"""
 SCORE_SQL = f"WITH {FLAG_SQL}, {EDGE_SQL} "
 
 
@@ -237,16 +242,16 @@ def regex_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wires(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Two call sites on each of the first five routes, one on the sixth; every third user's traces have a client span."""
+    """Two call sites on each of the first five routes, one on the sixth; traces have client spans but for views and failures."""
     rows = [(k, f"w{k}", f"call{k}", f"ep{k % 5 + 1}", ROUTES[k % 5][1], ROUTES[k % 5][2].replace("{user_id}", "7").replace("{id}", "9")) for k in range(10)]
     w = spark.createDataFrame(rows, "ord long, id string, source string, target string, method string, url string")
     owners = w.select(F.col("source").alias("call"), F.concat(F.lit("Cmp"), (F.col("ord") % 4).cast("string")).alias("component"), "ord")
-    clients = observations(spark, sf_dir).filter(F.substring_index("trace_id", "-", 1).cast("int") % 3 == 0).select("ord", "trace_id", "method", "path")
+    clients = observations(spark, sf_dir).filter("status = 200 and path not like '%/view'").select("ord", "trace_id", "method", "path")
     return w.select("ord", "id", "source", "target"), w.select(F.col("source").alias("id"), "method", "url"), owners, clients
 
 
 WIRE_SQL = SEEN_SQL + f""", wires AS (SELECT k AS ord, 'w' || k AS id, 'ep' || (k % 5 + 1) AS endpoint, 'Cmp' || (k % 4) AS component, e.method AS cm, e.canon AS cc FROM (SELECT unnest(generate_series(0, 9)) AS k) JOIN eps e ON e.id = 'ep' || (k % 5 + 1)),
-cl AS (SELECT trace_id, arg_max(method, ord) AS cm, arg_max({canon_sql('path')}, ord) AS cc FROM obs WHERE CAST(split_part(trace_id, '-', 1) AS INT) % 3 = 0 GROUP BY trace_id),
+cl AS (SELECT trace_id, arg_max(method, ord) AS cm, arg_max({canon_sql('path')}, ord) AS cc FROM obs WHERE status = 200 AND event_type <> 'view' GROUP BY trace_id),
 hits AS (SELECT endpoint, cm, cc, count(*) AS h FROM seen JOIN cl USING (trace_id) GROUP BY ALL),
 tot AS (SELECT endpoint, count(*) AS t FROM seen GROUP BY endpoint),
 traffic AS (SELECT w.ord, w.id, w.endpoint, w.component, CASE WHEN a.endpoint IS NOT NULL THEN round(coalesce(h, 0) / count(*) OVER (PARTITION BY w.endpoint, w.cm, w.cc), 1) END AS req_count, t AS endpoint_req_count, a.endpoint IS NOT NULL AS attributed
@@ -311,10 +316,10 @@ def cap_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.last_per_key(keyed, "key").select("ord", "key")
 
 
-@query(f"WITH {OBS_SQL}, cl AS (SELECT trace_id, arg_max(method, ord) AS m, arg_max({canon_sql('path')}, ord) AS p FROM obs WHERE ord % 3 = 0 GROUP BY trace_id) SELECT o.ord, o.trace_id, m AS client_method, p AS client_path FROM obs o LEFT JOIN cl USING (trace_id)")
+@query(f"WITH {OBS_SQL}, cl AS (SELECT trace_id, arg_max(method, ord) AS m, arg_max({canon_sql('path')}, ord) AS p FROM obs WHERE method = 'POST' GROUP BY trace_id) SELECT o.ord, o.trace_id, m AS client_method, p AS client_path FROM obs o LEFT JOIN cl USING (trace_id)")
 def trace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir)
-    index = runtime.client_index(o.filter("ord % 3 = 0"))
+    index = runtime.client_index(o.filter("method = 'POST'"))
     return o.select("ord", "trace_id").join(index, "trace_id", "left")
 
 
@@ -351,31 +356,32 @@ def otlp_attr_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- scores
 
 
-@query(SCORE_SQL + ", f AS (SELECT target AS id, count(*) AS n FROM edges WHERE type IN ('calls', 'queries') GROUP BY target) SELECT id AS owner_id, 'hub_function' AS code, 'src/m' || (s_suppkey % 6) || '.py:' || s_suppkey || ' `n' || (s_suppkey % 10) || '` fan-in ' || n AS evidence FROM f JOIN supplier ON id = 's' || s_suppkey WHERE n >= 3 AND s_suppkey % 4 >= 2")
+@query(SCORE_SQL + ", f AS (SELECT target AS id, count(*) AS n FROM edges WHERE type IN ('calls', 'queries') GROUP BY target) SELECT id AS owner_id, 'hub_function' AS code, file || ':' || line || ' `' || label || '` fan-in ' || n AS evidence FROM f JOIN nodes USING (id) WHERE n >= 3 AND type = 'function'")
 def hub_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.hub_flags(suppliers(spark, sf_dir), edges(spark, sf_dir)).select("owner_id", "code", "evidence")
+    return score.hub_flags(graph_nodes(spark, sf_dir), edges(spark, sf_dir)).select("owner_id", "code", "evidence")
 
 
 @query(f"WITH {FLAG_SQL} SELECT * FROM scores")
 def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.node_scores(suppliers(spark, sf_dir), flags(spark, sf_dir))
+    return score.node_scores(graph_nodes(spark, sf_dir), flags(spark, sf_dir))
 
 
 @query(SCORE_SQL + "SELECT e.id, round(greatest(coalesce(a.risk_score, 0), coalesce(b.risk_score, 0)) * 0.8, 1) AS risk_score FROM edges e LEFT JOIN scores a ON a.id = source LEFT JOIN scores b ON b.id = target")
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flags(spark, sf_dir)
-    return score.edge_scores(edges(spark, sf_dir), f, score.node_scores(suppliers(spark, sf_dir), f))
+    return score.edge_scores(edges(spark, sf_dir), f, score.node_scores(graph_nodes(spark, sf_dir), f))
 
 
 @query(f"WITH {FLAG_SQL} SELECT (SELECT count(*) FROM flags) AS total_flags, CAST(0 AS BIGINT) AS critical_flags, (SELECT max(risk_score) FROM scores) AS max_risk_score")
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flags(spark, sf_dir)
-    return score.score_stats(f, score.node_scores(suppliers(spark, sf_dir), f))
+    return score.score_stats(f, score.node_scores(graph_nodes(spark, sf_dir), f))
 
 
-@query(f"WITH {FLAG_SQL} SELECT code, severity, category, CAST(p AS DOUBLE) AS points FROM points WHERE owner_id = 's3'")
+@query(f"WITH {FLAG_SQL} SELECT code, severity, category, CAST(p AS DOUBLE) AS points FROM points WHERE owner_id = (SELECT 'o' || min(o_orderkey) FROM orders)")
 def explain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.explained(flags(spark, sf_dir), "s3")
+    first = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    return score.explained(flags(spark, sf_dir), f"o{first}")
 
 
 @query(f"WITH {FLAG_SQL} SELECT code, count(*) AS n FROM flags GROUP BY code")
@@ -485,7 +491,8 @@ def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT substr(sha256(string_agg('s' || s_suppkey, chr(30) ORDER BY 's' || s_suppkey) || chr(29) || string_agg('s' || s_suppkey || chr(31) || 'c' || (s_suppkey % 3), chr(30) ORDER BY 's' || s_suppkey || chr(31) || 'c' || (s_suppkey % 3))), 1, 16) AS graph_hash FROM supplier")
 def graph_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = suppliers(spark, sf_dir)
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), k.alias("ord"))
     return s.agg(history.hash_of(F.collect_list("id"), F.collect_list(F.struct(F.col("id").alias("owner_id"), F.concat(F.lit("c"), (F.col("ord") % 3).cast("string")).alias("code")))).alias("graph_hash"))
 
 
@@ -502,11 +509,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    return p.filter(k % 5 == 0).select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.concat(F.lit("src/m"), (k % 45).cast("string"), F.lit(".py")).alias("file"), (k % 140).cast("int").alias("line"), F.when(k % 10 == 0, (k % 140 + 12).cast("int")).otherwise(F.when(k % 3 == 0, 0).otherwise((k % 140 + 3).cast("int"))).alias("end_line"), F.lit("h").alias("handler"))
+    return p.select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.concat(F.lit("src/m"), (k % 45).cast("string"), F.lit(".py")).alias("file"), (k % 140).cast("int").alias("line"), F.when(k % 10 == 0, (k % 140 + 12).cast("int")).otherwise(F.when(k % 3 == 0, 0).otherwise((k % 140 + 3).cast("int"))).alias("end_line"), F.lit("h").alias("handler"))
 
 
 COV_SQL = """lines AS (SELECT CASE WHEN m % 3 = 0 THEN '/ci/' || b WHEN m = 37 THEN '/x/src/m7.py' WHEN m = 7 THEN '/y/src/m7.py' ELSE b END AS report, line, max(CASE WHEN state = 'executed' THEN 1 ELSE 0 END) AS ran FROM (SELECT l_suppkey % 40 AS m, 'src/m' || ((l_suppkey % 40) % 35) || '.py' AS b, l_partkey % 150 AS line, CASE WHEN l_orderkey % 16 <> 0 THEN 'missing' ELSE 'executed' END AS state FROM lineitem) GROUP BY 1, 2),
-bodies AS (SELECT 'p' || p_partkey AS id, 'src/m' || (p_partkey % 45) || '.py' AS file, p_partkey % 140 AS line, CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 140 + 12 WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 140 + 3 END AS end_line FROM part WHERE p_partkey % 5 = 0),
+bodies AS (SELECT 'p' || p_partkey AS id, 'src/m' || (p_partkey % 45) || '.py' AS file, p_partkey % 140 AS line, CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 140 + 12 WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 140 + 3 END AS end_line FROM part),
 reports AS (SELECT DISTINCT report FROM lines),
 ends AS (SELECT f.file, count(*) AS n, any_value(r.report) AS report FROM (SELECT DISTINCT file FROM bodies) f JOIN reports r ON suffix(r.report, '/' || f.file) GROUP BY f.file),
 found AS (SELECT f.file, coalesce(r.report, CASE WHEN e.n = 1 THEN e.report END) AS report FROM (SELECT DISTINCT file FROM bodies) f LEFT JOIN reports r ON r.report = f.file LEFT JOIN ends e ON e.file = f.file),
@@ -551,10 +558,10 @@ WALK_SQL = """n AS (SELECT count(*) AS n FROM part),
 fw AS (SELECT p_partkey AS f, 1 AS ord, (p_partkey * 7 + 3) % n + 1 AS t, CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' END AS x0, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'a' END AS x1 FROM part, n UNION ALL SELECT p_partkey, 2, (p_partkey * 11 + 5) % n + 1, 'a', NULL FROM part, n)"""
 
 
-@query(f"""WITH RECURSIVE {WALK_SQL}, w(root, f, d) AS (SELECT 'ep' || p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 97 = 0 UNION SELECT root, t, d + 1 FROM w JOIN fw USING (f) WHERE d < 4 AND t <> f)
+@query(f"""WITH RECURSIVE {WALK_SQL}, w(root, f, d) AS (SELECT 'ep' || p_partkey, p_partkey, 0 FROM part UNION SELECT root, t, d + 1 FROM w JOIN fw USING (f) WHERE d < 4 AND t <> f)
 SELECT DISTINCT CASE WHEN d = 0 THEN root ELSE 'fn:f' || f END AS source, 'fn:f' || t AS target, 'calls' AS type FROM (SELECT root, f, min(d) AS d FROM w GROUP BY root, f) JOIN fw USING (f) WHERE t <> f""")
 def reachability_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    handlers = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").select(F.concat(F.lit("ep"), F.col("p_partkey").cast("string")).alias("parent"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("fqn"))
+    handlers = table(spark, sf_dir, "part").select(F.concat(F.lit("ep"), F.col("p_partkey").cast("string")).alias("parent"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("fqn"))
     none = handlers.select("fqn", F.lit("").alias("model")).filter("false")
     return traverse.call_walk(handlers, _forwards(spark, sf_dir), none).select("source", "target", "type")
 
@@ -597,17 +604,20 @@ def include_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- views and sources
 
 
-@query(SCORE_SQL + ", placed AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'db_model' WHEN 1 THEN 'endpoint' ELSE 'function' END AS type, 'src/m' || (s_suppkey % 6) || '.py' AS file, 's' || s_suppkey AS id FROM supplier), sized AS (SELECT *, count(*) OVER (PARTITION BY type) AS n FROM placed), f AS (SELECT owner_id, count(*) AS c FROM flags GROUP BY 1) SELECT CASE WHEN n > 20 THEN type || '|' || file ELSE sized.id END AS \"row\", type, max(risk_score) AS risk, CAST(sum(coalesce(c, 0)) AS BIGINT) AS flags, count(*) AS members FROM sized JOIN scores ON scores.id = sized.id LEFT JOIN f ON owner_id = sized.id GROUP BY 1, 2")
+ROWS_SQL = SCORE_SQL + ", sized AS (SELECT *, count(*) OVER (PARTITION BY type) AS n FROM nodes), shown AS (SELECT id, type, CASE WHEN n > 60 THEN type || '|' || file ELSE id END AS r FROM sized)"
+
+
+@query(ROWS_SQL + ", f AS (SELECT owner_id, count(*) AS c FROM flags GROUP BY 1) SELECT r AS \"row\", type, max(risk_score) AS risk, CAST(sum(coalesce(c, 0)) AS BIGINT) AS flags, count(*) AS members FROM shown JOIN scores USING (id) LEFT JOIN f ON owner_id = id GROUP BY 1, 2")
 def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, f = suppliers(spark, sf_dir), flags(spark, sf_dir)
-    return views.group_rollup(s.join(score.node_scores(s, f), "id"), f, 20)
+    s, f = graph_nodes(spark, sf_dir), flags(spark, sf_dir)
+    return views.group_rollup(s.join(score.node_scores(s, f), "id"), f)
 
 
-@query(SCORE_SQL + ", sized AS (SELECT 's' || s_suppkey AS id, 'src/m' || (s_suppkey % 6) || '.py' AS file, CASE s_suppkey % 4 WHEN 0 THEN 'db_model' WHEN 1 THEN 'endpoint' ELSE 'function' END AS type, count(*) OVER (PARTITION BY CASE s_suppkey % 4 WHEN 0 THEN 'db_model' WHEN 1 THEN 'endpoint' ELSE 'function' END) AS n FROM supplier), r AS (SELECT id, CASE WHEN n > 20 THEN type || '|' || file ELSE id END AS r FROM sized) SELECT a.r AS a, b.r AS b, max(round(greatest(coalesce(x.risk_score, 0), coalesce(y.risk_score, 0)) * 0.8, 1)) AS risk, count(*) AS n, CASE WHEN bool_or(confidence = 'probable') THEN 'probable' ELSE 'certain' END AS confidence FROM edges JOIN r a ON a.id = source JOIN r b ON b.id = target LEFT JOIN scores x ON x.id = source LEFT JOIN scores y ON y.id = target GROUP BY 1, 2")
+@query(ROWS_SQL + " SELECT a.r AS a, b.r AS b, max(round(greatest(x.risk_score, y.risk_score) * 0.8, 1)) AS risk, count(*) AS n, CASE WHEN bool_or(confidence = 'probable') THEN 'probable' ELSE 'certain' END AS confidence FROM edges JOIN shown a ON a.id = source JOIN shown b ON b.id = target JOIN scores x ON x.id = source JOIN scores y ON y.id = target GROUP BY 1, 2")
 def wire_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, f, e = suppliers(spark, sf_dir), flags(spark, sf_dir), edges(spark, sf_dir)
+    s, f, e = graph_nodes(spark, sf_dir), flags(spark, sf_dir), edges(spark, sf_dir)
     scored = e.join(score.edge_scores(e, f, score.node_scores(s, f)), "id")
-    return views.bundles(scored, views.rows_of(s, f, 20))
+    return views.bundles(scored, views.rows_of(s, f))
 
 
 @query()
@@ -615,13 +625,14 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sample(flags(spark, sf_dir).select("code", F.concat_ws("|", "owner_id", "evidence").alias("id")), "code", "id", 5)
 
 
-@query("SELECT page_id, sha256(html) AS sha FROM pages WHERE page_id % 4 <> 0")
+@query("SELECT page_id, sha256(html) AS sha FROM pages WHERE NOT starts_with(url, 'https:')")
 def sha_cache_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache holds secure pages as they are, blogs as they were, and no others."""
     from meshlens.sources.cache import stale
 
-    files = table(spark, sf_dir, "pages").select(F.lit("html").alias("section"), F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
-    cache = files.filter("cast(path as int) % 4 = 0").select("section", "path", fx.content_hash(F.col("content")).alias("sha")).unionByName(files.filter("cast(path as int) % 4 = 1").select("section", "path", F.lit("old").alias("sha")))
-    return stale(files, cache).select(F.col("path").cast("long").alias("page_id"), "sha")
+    files = table(spark, sf_dir, "pages").select(F.lit("html").alias("section"), F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"), "url")
+    cache = files.filter("url like 'https:%'").select("section", "path", fx.content_hash(F.col("content")).alias("sha")).unionByName(files.filter("url like 'http://blog%'").select("section", "path", F.lit("old").alias("sha")))
+    return stale(files.drop("url"), cache).select(F.col("path").cast("long").alias("page_id"), "sha")
 
 
 def queries() -> dict[str, Query]:
