@@ -67,10 +67,12 @@ def apportion(groups: DataFrame) -> DataFrame:
         mid = (at["lo"] + at["hi"]) / 2
         return F.when(given(mid) <= F.col("seats"), F.struct(mid.alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), mid.alias("hi")))
 
-    found = groups.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve))
+    # written between the steps: else Spark puts a step's expression into the next one's lambdas and works it out for every element
+    found = staged(groups.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve)), "mix-bracket")
     steps = lambda p: F.when(least(F.col("_b.hi"), p) > least(F.col("_b.lo"), p), F.sequence(least(F.col("_b.lo"), p), least(F.col("_b.hi"), p) - 1)).otherwise(F.array().cast("array<bigint>"))
     open_ = F.array_sort(F.flatten(F.transform("ps", lambda p: F.transform(steps(p), lambda k: F.struct((-p["weight"] / (2 * k + 1)).alias("q"), p["ord"].alias("ord"))))))
-    found = found.withColumn("_more", F.slice(open_, F.lit(1), F.greatest(F.lit(0), F.col("seats") - given(F.col("_b.lo"))).cast("int")))
+    found = found.withColumn("_open", open_).withColumn("_left", F.greatest(F.lit(0), F.col("seats") - given(F.col("_b.lo"))).cast("int"))
+    found = staged(found.withColumn("_more", F.slice("_open", F.lit(1), F.col("_left"))).drop("_open", "_left"), "mix-more")
     quota = lambda p: least(F.col("_b.lo"), p) + F.size(F.filter("_more", lambda m: m["ord"] == p["ord"]))
     return found.withColumn("ps", F.transform("ps", lambda p: p.withField("quota", quota(p).cast("long")))).drop("_b", "_more")
 
