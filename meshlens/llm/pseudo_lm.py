@@ -1,13 +1,16 @@
 """LM scoring by masked pseudo-likelihood.
 
 A small network predicts each token from the two tokens before and the two after it, never from itself: embeddings by
-position are summed, squashed, and mapped to a distribution over the vocabulary. A document's score is the sum of the
-log-probabilities of its tokens, and that sum over their number.
+position are summed, squashed, and mapped to a distribution over 256 tokens. A document's score is the sum of the
+log-probabilities of its words, and that sum over their number.
 
 Tokens are the 192 most frequent words of the corpus, exactly counted over all documents, and 64 hash classes of the rest.
+The softmax is factored: a class's probability, which depends on the words around, times the word's share of its class. The
+shares are the exact counts of all words that stand LEAST times or more, a table that grows with the corpus. Rarer words
+have their class's share of such words times their spelling's probability, by exact counts of byte pairs over all of them.
 Training is in numpy where the data lie: each task takes steps through all its documents, on every ``stride``-th token
 from a place that depends on the document; the tasks' weights are averaged by tokens seen, and the next round starts
-from there. What is gathered (word counts, one set of weights a task and round) grows with the corpus.
+from there. What is gathered (the vocabulary, word counts, one set of weights a task and round) grows with the corpus.
 
 Defined cases: null and texts without words have no tokens and score 0; an empty corpus leaves the first weights.
 """
@@ -15,18 +18,32 @@ Defined cases: null and texts without words have no tokens and score 0; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.shared import ship, slices, words_of
+from meshlens.llm.shared import Words, ship, slices, staged, words_of
 
 FREQUENT, CLASSES, WIDTH, CONTEXT, CHUNK = 192, 64, 16, (-2, -1, 1, 2), 1 << 13
 SIZE = FREQUENT + CLASSES
 SHAPES = [(len(CONTEXT), SIZE + 1, WIDTH), (WIDTH,), (WIDTH, SIZE), (SIZE,)]
 CLIP = 4.0
+LEAST, EDGE = 5, 256
+
+
+class Model(NamedTuple):
+    """words: hashes of the vocabulary, ascending; token and share: their tokens, and log-shares of these; rare: log-share of all
+    other words in each class; spelling: log-probabilities of bytes by the byte before (EDGE: a word's ends)."""
+
+    words: np.ndarray
+    token: np.ndarray
+    share: np.ndarray
+    rare: np.ndarray
+    spelling: np.ndarray
+    weights: list[np.ndarray]
 
 
 def first_weights(seed: int = 5) -> list[np.ndarray]:
@@ -43,15 +60,43 @@ def shaped(values: np.ndarray) -> list[np.ndarray]:
     return [p.reshape(s).astype(np.float32) for p, s in zip(np.split(values, cuts), SHAPES, strict=True)]
 
 
-def tokens_of(texts: pa.Array, vocabulary: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts end to end, and where each text's begin. vocabulary: word hashes, ascending; number: their token numbers."""
-    w = words_of(texts)
-    h = w.hashes()
-    out = (FREQUENT + h % np.uint64(CLASSES)).astype(np.int64)
-    if len(vocabulary) and len(h):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        out = np.where(vocabulary[at] == h, number[at], out)
-    return out, w.first
+def places(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where each hash stands among words (ascending); -1 where it doesn't."""
+    if not len(words):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return np.where(words[at] == hashes, at, -1)
+
+
+def tokens_of(hashes: np.ndarray, frequent: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Token numbers. frequent: hashes of the most frequent words, ascending; number: their token numbers."""
+    out = (FREQUENT + hashes % np.uint64(CLASSES)).astype(np.int64)
+    at = places(hashes, frequent)
+    out[at >= 0] = number[at[at >= 0]]
+    return out
+
+
+def byte_pairs(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring bytes (before * 257 + after) of some words, ends included, and where each word's begin."""
+    size = w.end[which] - w.start[which] + 1
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(first, size)
+    at = np.repeat(w.start[which], size) + step
+    before = np.where(step == 0, EDGE, w.data[at - 1].astype(np.int64))
+    after = np.where(step == np.repeat(size - 1, size), EDGE, w.data[np.minimum(at, len(w.data) - 1)].astype(np.int64))
+    return before * (EDGE + 1) + after, first
+
+
+def inside_token(model: Model, w: Words, hashes: np.ndarray) -> np.ndarray:
+    """Log-probability of each word given its token."""
+    at = places(hashes, model.words)
+    rest = np.flatnonzero(at < 0)
+    out = np.zeros(len(hashes))
+    out[at >= 0] = model.share[at[at >= 0]]
+    if len(rest):
+        pairs, first = byte_pairs(w, rest)
+        out[rest] = model.rare[(hashes[rest] % np.uint64(CLASSES)).astype(np.int64)] + np.add.reduceat(model.spelling.ravel()[pairs], first)
+    return out
 
 
 def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -115,12 +160,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(vocabulary, weights)."""
+def byte_pair_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """How often each pair of bytes stands in words outside the vocabulary, over all documents."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((EDGE + 1) ** 2, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                w = words_of(part.column(0))
+                total += np.bincount(byte_pairs(w, np.flatnonzero(places(w.hashes(), held.value) < 0))[0], minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+
+    found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((EDGE + 1) ** 2, np.int64)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(EDGE + 1, EDGE + 1)
+
+
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, Model]:
+    """The most frequent words' hashes in token order, and a model without weights."""
+    counts = staged(word_counts(docs), "lm-words")
+    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    ranked = np.array(top, np.int64).view(np.uint64)
+    known = (F.col("n") >= LEAST) | F.col("word").isin(top)
+    found = counts.filter(known).toArrow()  # grows with the corpus's vocabulary, 16 bytes a word
+    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    by_rank = np.argsort(ranked)
+    token = tokens_of(words, ranked[by_rank], by_rank)
+    below = np.zeros(CLASSES)
+    for r in counts.filter(~known).groupBy(F.col("word").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("n").alias("n")).collect():
+        below[r["k"]] = r["n"]
+    total = np.bincount(token, n, SIZE).astype(float)
+    total[FREQUENT:] += below + 1  # one for words not seen
+    pairs = byte_pair_counts(docs, words) + 1.0
+    share = np.log(n / total[token]).astype(np.float32)
+    return ranked, Model(words, token.astype(np.uint8), share, np.log((below + 1) / total[FREQUENT:]), np.log(pairs / pairs.sum(1, keepdims=True)), [])
+
+
+def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> Model:
     spark = docs.sparkSession
     ship(spark)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    ranked = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    ranked, model = vocabulary(docs)
     weights = flat(first_weights())
     for turn in range(rounds):
         held = spark.sparkContext.broadcast((ranked, weights))  # of fixed size
@@ -132,7 +216,8 @@ def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> tuple[np.ndarray
             speed = [np.zeros_like(w) for w in own]
             for batch in batches:
                 for part in slices(batch):
-                    tokens, first = tokens_of(part.column(0), words[order], order)
+                    w = words_of(part.column(0))
+                    tokens, first = tokens_of(w.hashes(), words[order], order), w.first
                     around = contexts(tokens, first)
                     pick = np.flatnonzero((np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first)) + np.repeat(first[1:] - first[:-1], np.diff(first)) + turn * 3) % stride == 0)
                     for i in range(0, len(pick), 2048):
@@ -147,22 +232,26 @@ def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> tuple[np.ndarray
         found = sums.orderBy("at").toArrow()  # one number for each weight
         if found.num_rows:
             weights = found.column("value").to_numpy().astype(np.float32)
-    return ranked, shaped(weights)
+    return model._replace(weights=shaped(weights))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]]) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_probability, score) of every row; narrow."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # of fixed size
+    held = spark.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = held.value
-        order = np.argsort(words)
+        model = Model(*held.value)
+        frequent = model.token < FREQUENT
+        words, number = model.words[frequent], model.token[frequent]
         for batch in batches:
             for part in slices(batch):
-                tokens, first = tokens_of(part.column("text"), words[order], order)
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, tokens, contexts(tokens, first)))])
+                w = words_of(part.column("text"))
+                hashes, first = w.hashes(), w.first
+                tokens = tokens_of(hashes, words, number)
+                each = log_probabilities(model.weights, tokens, contexts(tokens, first)) + inside_token(model, w, hashes)
+                total = np.concatenate([[0.0], np.cumsum(each)])
                 n, value = np.diff(first), total[first[1:]] - total[first[:-1]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(value), pa.array(value / np.maximum(n, 1))], names=["doc_id", "n_tokens", "log_probability", "score"])
 

@@ -255,6 +255,22 @@ def test_lm_prefers_what_it_saw(docs):
     assert pseudo_lm.scored(d.limit(0), pseudo_lm.train(d.limit(0))).count() == 0
 
 
+def test_lm_tells_rare_words_apart(docs):
+    r = random.Random(3)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(600)]
+    kind = lambda t: int(shared.words_of(column([t])).hashes()[0] % np.uint64(pseudo_lm.CLASSES))
+    texts = [" ".join(r.choices(words, [1 / (k + 1) for k in range(600)], k=200)) for _ in range(60)]
+    model = pseudo_lm.train(docs(texts))
+    counts = collections.Counter(" ".join(texts).split())
+    assert len(model.words) == max(pseudo_lm.FREQUENT, sum(n >= pseudo_lm.LEAST for n in counts.values())) > pseudo_lm.FREQUENT
+    order = sorted((w for w, n in counts.most_common()[pseudo_lm.FREQUENT + 5 :] if n >= pseudo_lm.LEAST), key=counts.get)
+    one = order[-1]
+    other = next(w for w in order if kind(w) == kind(one) and counts[w] < counts[one])
+    junk = next(w for w in ("".join(r.choice("qxzjkvw") for _ in range(6)) for _ in range(10**5)) if kind(w) == kind(one))
+    first, second, third = (x["score"] for x in sorted(pseudo_lm.scored(docs([f"{texts[0]} {w}" for w in (one, other, junk)]), model).collect()))
+    assert first > second > third
+
+
 # ------------------------------------------------------------------ 6: substrings
 
 
