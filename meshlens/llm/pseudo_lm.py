@@ -8,9 +8,9 @@ Tokens are the 192 most frequent words of the corpus, exactly counted over all d
 The softmax is factored: a class's probability, which depends on the words around, times the word's share of its class. The
 shares are the exact counts of all words that stand LEAST times or more, a table that grows with the corpus. Rarer words
 have their class's share of such words times their spelling's probability, by exact counts of byte pairs over all of them.
-Training is in numpy where the data lie: each task takes steps through all its documents, on every ``stride``-th token
-from a place that depends on the document; the tasks' weights are averaged by tokens seen, and the next round starts
-from there. What is gathered (the vocabulary, word counts, one set of weights a task and round) grows with the corpus.
+Training is in numpy where the data lie: in each of ``stride`` rounds, each task takes steps through all its documents on
+every ``stride``-th token, another residue each round, so that all tokens are targets once; the tasks' weights are averaged
+by tokens seen, and the next round starts from there. What is gathered (the vocabulary, word counts, one set of weights a task and round) grows with the corpus.
 
 Defined cases: null and texts without words have no tokens and score 0; an empty corpus leaves the first weights.
 """
@@ -201,7 +201,16 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, Model]:
     return ranked, Model(words, token.astype(np.uint8), share, np.log((below + 1) / total[FREQUENT:]), np.log(pairs / pairs.sum(1, keepdims=True)), [])
 
 
-def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> Model:
+def picked(first: np.ndarray, stride: int, turn: int) -> np.ndarray:
+    """Positions of the tokens that are targets in a round: each of a text's tokens in one of stride rounds."""
+    size = np.diff(first)
+    return np.flatnonzero((np.arange(first[-1]) - np.repeat(first[:-1] - size, size) + turn) % stride == 0)
+
+
+def train(docs: DataFrame, rounds: int = 2, stride: int = 2) -> Model:
+    """Rounds are a multiple of stride, so that every token trains."""
+    if rounds % stride:
+        raise ValueError(f"{rounds} rounds of stride {stride} leave tokens out")
     spark = docs.sparkSession
     ship(spark)
     ranked, model = vocabulary(docs)
@@ -219,7 +228,7 @@ def train(docs: DataFrame, rounds: int = 2, stride: int = 8) -> Model:
                     w = words_of(part.column(0))
                     tokens, first = tokens_of(w.hashes(), words[order], order), w.first
                     around = contexts(tokens, first)
-                    pick = np.flatnonzero((np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first)) + np.repeat(first[1:] - first[:-1], np.diff(first)) + turn * 3) % stride == 0)
+                    pick = picked(first, stride, turn)
                     for i in range(0, len(pick), 2048):
                         at = pick[i : i + 2048]
                         train_step(own, speed, tokens[at], around[:, at])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -271,6 +272,17 @@ def test_lm_tells_rare_words_apart(docs):
     assert first > second > third
 
 
+def test_lm_trains_on_every_token(docs):
+    use = {k: p.default for k, p in inspect.signature(pseudo_lm.train).parameters.items()}
+    first = np.array([0, 1, 1, 3, 10, 30])
+    seen = np.concatenate([pseudo_lm.picked(first, use["stride"], turn) for turn in range(use["rounds"])])
+    assert sorted(seen.tolist()) == list(range(30))
+    weights = pseudo_lm.train(docs(["a"] * 20)).weights
+    assert not np.array_equal(pseudo_lm.flat(weights), pseudo_lm.flat(pseudo_lm.first_weights()))
+    with pytest.raises(ValueError, match="leave tokens out"):
+        pseudo_lm.train(docs(["a"]), 2, 8)
+
+
 # ------------------------------------------------------------------ 6: substrings
 
 
