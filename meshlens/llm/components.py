@@ -41,6 +41,18 @@ def connected(links: DataFrame) -> DataFrame:
     return named
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with _row: a key of id and text, so that rows of no or of one id with different texts are told apart."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each component of groups(_row, component): that of the least doc_id (null last), then of the least text."""
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
+    named = row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))).join(groups.select("_row", "component").distinct(), "_row")
+    return named.groupBy("component").agg(F.min_by("_all", place).alias("_all")).select("_all.*")
+
+
 def trees(members: list, near: Callable[[object, list], np.ndarray]) -> list[tuple[int, int]]:
     """Links (positions) of a spanning forest of one bucket; near(x, others) says which others are linked to x."""
     left, out = list(range(1, len(members))), []

@@ -397,6 +397,36 @@ def test_minhash_classes(docs):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 4}
 
 
+def test_minhash_loses_no_link(spark, docs):
+    r = random.Random(12)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = []
+    for k in range(150):
+        w = [f"t{k}w{j}" for j in range(60)]
+        texts += [" ".join(w), " ".join([*w[: r.randint(52, 57)], *(f"u{k}w{j}" for j in range(r.randint(0, 4)))]), f"{line} x{k}"]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    above = list(range(len(texts)))
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                above[max(top(i), top(j))] = min(top(i), top(j))
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(docs(texts)).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+    # two texts under one id, and none: neither's links are lost
+    one, two, three = (texts[k] for k in (0, 3, 6))
+    rows = [(7, one), (7, two), (8, f"{two} end"), (None, three), (None, f"{three} end"), (None, "some other text without any id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    named = collections.Counter(x["class_id"] for x in minhash.near_duplicates(d).collect())
+    assert sorted(named.values()) == [1, 2, 3]
+
+
+
 # ------------------------------------------------------------------ 9: quality rules
 
 
