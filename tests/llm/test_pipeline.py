@@ -31,3 +31,11 @@ def test_query_against_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     line = lambda row, cols: repr(tuple(row[cols.index(c)] for c in sorted(names)))
     assert sorted(line(tuple(r), df.columns) for r in df.collect()) == sorted(line(r, names) for r in found.fetchall())
+
+
+def test_near_dedup_at_its_likeness(spark):
+    words = [f"w{k}" for k in range(100)]
+    near, far = [*words[:94], "x"], [*words[:70], "y"]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == [1, 3]
