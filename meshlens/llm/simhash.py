@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.components import LINKS, code_links, connected
+from meshlens.llm.components import LINKS, code_links, connected, first_rows, row_key
 from meshlens.llm.shared import bytes_of, ship, slices, staged
 
 SHINGLE, SEED, MOST_BITS, LARGEST = 3, 42, 3, 20_000
@@ -162,24 +162,27 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text")).view(np.int64))], names=["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(fingerprints_of(part.column("text")).view(np.int64))], names=["_row", "doc_id", "code"])
 
 
-def near_groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(doc_id, code, component_id) of every row: component_id is the least doc_id reachable over links."""
+def _grouped(docs: DataFrame, largest: int) -> DataFrame:
+    """(_row, doc_id, code, component, component_id) of every row."""
     ship(docs.sparkSession)
-    prints = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprinted, "doc_id long, code long"), "simhash")
+    rows = row_key(docs.select("doc_id", "text")).select("_row", F.col("doc_id").cast("long"), "text")
+    prints = staged(rows.mapInArrow(_fingerprinted, "_row long, doc_id long, code long"), "simhash")
     codes = staged(prints.groupBy("code").agg(F.min("doc_id").alias("rep")), "simhash-codes")
     labels = code_components(codes.select("code"), largest).withColumnRenamed("node", "code")
     named = codes.join(labels, "code", "left").withColumn("component", F.coalesce("component", "code"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = staged(named.join(least, "component").select("code", "component_id"), "simhash-named")
-    return prints.join(named, "code").select("doc_id", "code", "component_id")
+    named = staged(named.join(least, "component").select("code", "component", "component_id"), "simhash-named")
+    return prints.join(named, "code").select("_row", "doc_id", "code", "component", "component_id")
+
+
+def near_groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(doc_id, code, component_id) of every row: component_id is the least doc_id reachable over links."""
+    return _grouped(docs, largest).select("doc_id", "code", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the least doc_id (of repeated rows of it the least text)."""
-    groups = near_groups(docs)
-    gone = staged(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    """One row of each group: that of the least doc_id (null last; of repeated rows of it the least text)."""
+    return first_rows(docs, staged(_grouped(docs, LARGEST), "simhash-groups"))

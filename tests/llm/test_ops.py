@@ -397,6 +397,14 @@ def test_minhash_classes(docs):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 4}
 
 
+def test_keep_first_keeps_unlike_rows_of_one_id(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(80)) for x in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[3])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in (simhash, minhash):
+        assert sorted((r["doc_id"] or 0, r["text"][0]) for r in module.keep_first(d).collect()) == [(0, "a"), (0, "b"), (5, "c"), (5, "d")]
+
+
 def test_minhash_loses_no_link(spark, docs):
     r = random.Random(12)
     line = " ".join(f"common{k}" for k in range(12))
