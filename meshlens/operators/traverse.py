@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlens.plans.staging import staged
+
 
 def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
     """calls(fqn, ord, callee) with target, the known function that is meant, or null.
@@ -77,7 +79,16 @@ def _recursive(query: str, **tables: DataFrame) -> DataFrame:
     names = {k: f"_{k}_{uuid.uuid4().hex}" for k in tables}
     for k, df in tables.items():
         df.createOrReplaceTempView(names[k])
-    return spark.sql(query.format(**names))
+    # limits are read when the query is planned, so it runs here
+    limits = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
+    before = [spark.conf.get(k) for k in limits]
+    try:
+        for k in limits:
+            spark.conf.set(k, "-1")
+        return staged(spark.sql(query.format(**names)), "recursive")
+    finally:
+        for k, v in zip(limits, before, strict=True):
+            spark.conf.set(k, v)
 
 
 def inherited_fields(fields: DataFrame, bases: DataFrame) -> DataFrame:
