@@ -93,7 +93,7 @@ class BpeModel:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.characters = byte_characters()
-        self.longest = max(map(len, self.vocab))
+        self.sizes = self._sizes()
         self.valid: dict[tuple[str, str], bool] = {}
         self.formed: dict[str, tuple[int, str, str] | None] = {}
         self.words: dict[str, bytes] = Kept(KEPT_WORDS)
@@ -101,12 +101,24 @@ class BpeModel:
         self.nodes: dict[str, str] = Kept(KEPT_WORDS)
         self.spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
+    def _sizes(self) -> tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]:
+        """For the last two symbols of a prefix, and of a whole word: the lengths of the tokens that end so, longest first."""
+        found: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+        for token in self.vocab:
+            whole = bool(self.suffix) and token.endswith(self.suffix)
+            body = token[: -len(self.suffix)] if whole else token
+            found[whole].setdefault(body[-2:], set()).add(len(body))
+        for table in found:
+            for end in [e for e in table if len(e) == 2]:
+                table[end] |= table.get(end[-1], set())
+        return tuple({e: tuple(sorted(n, reverse=True)) for e, n in table.items()} for table in found)
+
     # -- texts to words
 
     def pieces(self, run: bytes) -> list[str | int]:
         """Words, as characters for bytes, and ids of special strings of one run without white space."""
         text = run.decode("utf-8", "replace")
-        if self.special is None or "<|" not in text:
+        if self.special is None or not any(a in text for a in self.added):
             return self._words(text)
         out: list[str | int] = []
         for part in self.special.split(text):
@@ -168,37 +180,41 @@ class BpeModel:
         self.valid[key] = found
         return found
 
-    def last_token(self, prefix: str, lasts: list[str], tail: str = "") -> str:
-        """The last token of a prefix, given those of its shorter prefixes (lasts[i] is that of the first i symbols)."""
-        n, vocab, valid = len(prefix), self.vocab, self.valid
-        for start in range(max(0, n - self.longest), n):
-            token = prefix[start:] + tail
+    def last_token(self, word: str, end: int, lasts: list[str], tail: str = "") -> str:
+        """The last token of word[:end], given those of its shorter prefixes (lasts[i] is that of the first i symbols)."""
+        vocab, valid, sizes = self.vocab, self.valid, self.sizes[bool(tail)]
+        for size in sizes.get(word[max(0, end - 2) : end]) or sizes.get(word[end - 1 : end], ()):
+            if size > end:
+                continue
+            token = word[end - size : end] + tail
             if token in vocab:
-                known = valid.get((lasts[start], token))
-                if known or known is None and self.follows(lasts[start], token):
+                known = valid.get((lasts[end - size], token))
+                if known or known is None and self.follows(lasts[end - size], token):
                     return token
-        raise ValueError(f"no token ends {prefix!r}")
+        raise ValueError(f"no token ends {word[max(0, end - 50) : end]!r}")
 
     def encode_words(self, words: Iterable[str]) -> None:
         """Keeps the ids of each word. Sorted words are the trie's depth-first order: the path to the node at hand is a stack; nodes near the root stay from batch to batch."""
         path, lasts, nodes, tail, width = "", [""], self.nodes, self.suffix, len(self.suffix)
         for word in sorted(words):
-            same, body = 0, word[:-1]
-            for a, b in zip(path, body, strict=False):
+            same, inner = 0, len(word) - 1
+            for a, b in zip(path, word, strict=False):
                 if a != b:
                     break
                 same += 1
+            same = min(same, inner)
             del lasts[same + 1 :]
             for i in range(same + 1, len(word)):
+                if i > NODE_DEPTH:
+                    lasts.append(self.last_token(word, i, lasts))
+                    continue
                 prefix = word[:i]
-                last = nodes[prefix] if i <= NODE_DEPTH and prefix in nodes else None
+                last = nodes[prefix] if prefix in nodes else None
                 if last is None:
-                    last = self.last_token(prefix, lasts)
-                    if i <= NODE_DEPTH:
-                        nodes[prefix] = last
+                    last = nodes[prefix] = self.last_token(word, i, lasts)
                 lasts.append(last)
-            path = body
-            token = self.last_token(word, lasts, tail)
+            path = word[:inner]
+            token = self.last_token(word, len(word), lasts, tail)
             at, ids = len(word) - len(token) + width, [self.vocab[token]]
             while at:
                 token = lasts[at]
@@ -228,7 +244,7 @@ class BpeModel:
         for kept in (self.runs, self.words, self.nodes):
             kept.age()
         w = words_of(texts)
-        _, at, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        which, at = w.numbered()
         raw = w.data.tobytes()
         found = self.learn([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,32 +42,17 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> DataFrame:
-    """docs with _row: a key of id and text, so that rows of no or of one id with different texts are told apart."""
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    """docs with _row: 128 bits of id and text, so that rows of no or of one id with different texts are told apart."""
+    part = lambda c: F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(c).cast("string"), F.lit("\0")))
+    return docs.withColumn("_row", F.unhex(F.md5(F.concat(part("doc_id"), part("text")).cast("binary"))))
 
 
 def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of docs for each component of groups(_row, component): that of the least doc_id (null last), then of the least text."""
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
-    named = row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))).join(groups.select("_row", "component").distinct(), "_row")
-    return named.groupBy("component").agg(F.min_by("_all", place).alias("_all")).select("_all.*")
-
-
-def trees(members: list, near: Callable[[object, list], np.ndarray]) -> list[tuple[int, int]]:
-    """Links (positions) of a spanning forest of one bucket; near(x, others) says which others are linked to x."""
-    left, out = list(range(1, len(members))), []
-    queue = [0] if members else []
-    while queue or left:
-        if not queue:
-            queue.append(left.pop(0))
-        at = queue.pop()
-        if not left:
-            continue
-        hit = near(members[at], [members[i] for i in left])
-        out += [(at, i) for i, h in zip(left, hit, strict=True) if h]
-        queue += [i for i, h in zip(left, hit, strict=True) if h]
-        left = [i for i, h in zip(left, hit, strict=True) if not h]
-    return out
+    """One row of docs for each component of groups(_row, doc_id, component): that of the least doc_id (null last), then of the least key. The texts move once."""
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = staged(groups.groupBy("component").agg(F.min_by("_row", place).alias("_row")).select("_row"), "first-rows")
+    named = row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))).select("_row", "_all")
+    return named.join(first, "_row", "left_semi").groupBy("_row").agg(F.first("_all").alias("_all")).select("_all.*")
 
 
 def code_trees(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

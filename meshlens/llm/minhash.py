@@ -2,9 +2,8 @@
 
 A text's shingles are its runs of five consecutive words (the whole sequence if it has fewer). Each of 128 hash functions
 ``(a * x + b) mod 2**64 >> 32`` keeps its least value over the shingles; the shares of equal values of two fingerprints
-estimate the Jaccard likeness of their shingle sets. ``near_duplicates`` joins bands of the signatures in Spark, verifies
-the Jaccard likeness on the shingles, finds the links that bands miss by prefixes of the sets, and gives one row a document
-with the id of its class.
+estimate the Jaccard likeness of their shingle sets. ``near_duplicates`` joins bands of the signatures in Spark; ``likeness``
+verifies the Jaccard likeness on the texts and finds the links that bands miss; one row a document has the id of its class.
 
 Defined cases: null is the empty text; all texts without words share one fingerprint (every value at its maximum) and
 are alike at 1; equal texts have equal fingerprints; repeated ids go by text, then the order is arbitrary among equals.
@@ -13,47 +12,30 @@ are alike at 1; equal texts have equal fingerprints; repeated ids go by text, th
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.components import connected, first_rows, row_key
-from meshlens.llm.shared import mix64, pooled, ship, slices, staged, words_of
+from meshlens.llm import likeness
+from meshlens.llm.components import first_rows, row_key
+from meshlens.llm.shared import mix64, ship, staged
 
-PERMUTATIONS, SHINGLE = 128, 5
+PERMUTATIONS = 128
 _RNG = np.random.default_rng(8)
 MULTIPLY = _RNG.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 ADD = _RNG.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 NONE = np.uint32(2**32 - 1)
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit shingle hashes of all texts end to end, and where each text's begin (one more entry than texts)."""
-    w = words_of(texts)
-    hashes, counts = w.hashes(), w.counts()
-    per_text = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    first = np.concatenate([[0], np.cumsum(per_text)])
-    out = np.zeros(first[-1], np.uint64)
-    whole = pooled(hashes, size)
-    full = np.flatnonzero(counts >= size)
-    place = np.arange(first[-1]) - np.repeat(first[:-1], per_text) + np.repeat(w.first[:-1], per_text)
-    long = np.repeat(counts >= size, per_text)
-    if len(full):
-        out[long] = whole[place[long]]
-    for i in np.flatnonzero((counts > 0) & (counts < size)):
-        part = hashes[w.first[i] : w.first[i + 1]]
-        out[first[i]] = pooled(part, len(part), 1)[0]
-    return out, first
+def signatures(texts: pa.Array) -> np.ndarray:
+    """One row of 128 32-bit values a text."""
+    return signed(*likeness.shingle_sets(texts))
 
 
-def signatures(texts: pa.Array) -> np.ndarray:
-    """One row of 128 32-bit values a text. Works through the shingles in runs, so that a run stays in the processor's cache."""
-    shingles, first = shingle_sets(texts)
+def signed(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.full((len(first) - 1, PERMUTATIONS), NONE, np.uint32)
     filled = np.flatnonzero(np.diff(first))
     if len(filled):
@@ -64,7 +46,7 @@ def signatures(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1) if len(a) else np.zeros(0)
 
 
@@ -90,7 +72,7 @@ def _compared(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     own, other = signatures(pa.array(texts, pa.large_string())), signatures(pa.array(edited, pa.large_string()))
     n = len(edited)
     return pa.RecordBatch.from_arrays(
-        [pa.array(v, t) for v, (_, t) in zip((ids[:n], [len(x) for x in texts[:n]], [hashlib.sha256(x.encode()).hexdigest() for x in edited], as_hex(own[:n]), as_hex(other), likeness(own[:n], other), likeness(own[:n], own[1:])), FIELDS, strict=True)],
+        [pa.array(v, t) for v, (_, t) in zip((ids[:n], [len(x) for x in texts[:n]], [hashlib.sha256(x.encode()).hexdigest() for x in edited], as_hex(own[:n]), as_hex(other), agreement(own[:n], other), agreement(own[:n], own[1:])), FIELDS, strict=True)],
         names=[f for f, _ in FIELDS],
     )
 
@@ -161,106 +143,34 @@ def _range_of(value: Column, cuts: list[int]) -> Column:
 # ------------------------------------------------------------- near duplicates
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, most=1 << 22):
-            shingles, first = shingle_sets(part.column(0))
-            sets = [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["shingle", "n"])
-
+def _bands(shingles: np.ndarray, first: np.ndarray, bands: int) -> list[np.ndarray]:
+    """One hash for each band of each text's signature."""
+    values = signed(shingles, first).reshape(len(first) - 1, bands, -1).astype(np.uint64)
+    h = np.zeros(values.shape[:2], np.uint64)
+    for k in range(values.shape[2]):
+        h = mix64(h + values[:, :, k], k)
+    return list((h + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64))
 
-def common_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
-    """Shingles of many texts, rarest first. They come last in the order of prefixes; any order gives the same links."""
-    found = docs.select("text").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return np.array([r["shingle"] for r in found.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1], np.int64).view(np.uint64)
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """Each member of a band's bucket with the least one."""
+    banded = nodes.select("node", F.explode("keys").alias("band"))
+    least = banded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
+    return banded.join(least, "band").filter("a != node").select("a", F.col("node").alias("b"))
 
-def prefix(own: np.ndarray, common: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
-    """The first shingles of a set in the global order: sets alike at the threshold share one. common: ascending; order: their places."""
-    place = np.zeros(len(own), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        place = np.where(common[at] == own, order[at] + 1, 0)
-    most = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
-    return own[np.lexsort((own, place))[:most]]
 
+def near_groups(docs: DataFrame, threshold: float = likeness.THRESHOLD, bands: int = 16) -> DataFrame:
+    """(_row, doc_id, component) of every different row: bands joined in Spark, Jaccard verified, and the links that bands miss."""
+    return likeness.groups(docs, lambda shingles, first: _bands(shingles, first, bands), _met, threshold)
 
-def _keyed(batches: Iterator[pa.RecordBatch], bands: int, threshold: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rows = PERMUTATIONS // bands
-    order = np.argsort(common)
-    common = common[order]
-    for batch in batches:
-        for part in slices(batch):
-            texts = part.column("text")
-            shingles, first = shingle_sets(texts)
-            sets = [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
-            keys = signatures(texts).reshape(len(sets), bands, rows).astype(np.uint64)
-            h = np.zeros((len(sets), bands), np.uint64)
-            for k in range(rows):
-                h = mix64(h + keys[:, :, k], k)
-            h += np.arange(bands, dtype=np.uint64)[None, :]
-            same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_row"), part.column("doc_id"), pa.array(same.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(list(h.astype(np.int64)), longs), pa.array([prefix(x, common, order, threshold).view(np.int64) for x in sets], longs)],
-                names=["_row", "doc_id", "same", "n", "bands", "prefix"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            shingles, first = shingle_sets(part.column("text"))
-            sets = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("same"), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
-
-def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 16) -> DataFrame:
-    """(_row, doc_id, component) of every row: components of shingle sets over all links of a Jaccard likeness of the threshold.
-
-    Equal sets are one node, named by its hash. First each member of a signature band's bucket is compared with the least
-    one. The links that this misses are found by prefixes: two sets that are alike share one of the first
-    n - ceil(threshold * n) + 1 shingles in any global order. There only sets of different components are compared.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    common = common_shingles(docs)
-    held = spark.sparkContext.broadcast(common)  # of fixed size
-    rows = row_key(docs.select("doc_id", "text"))
-    sets = staged(rows.mapInArrow(lambda b: _keyed(b, bands, threshold, held.value), f"_row long, doc_id {dict(docs.dtypes)['doc_id']}, same long, n long, bands array<long>, prefix array<long>"), "minhash-sets")
-    reps = staged(sets.dropDuplicates(["same"]).select("same", "_row", "n", "bands", "prefix"), "minhash-reps")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = staged(pairs.distinct(), f"{tag}-pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-        wanted = reps.join(nodes, "same", "left_semi").select("_row", "same")
-        found = staged(rows.join(wanted, "_row").select("same", "text").mapInArrow(_sets, "same long, shingles array<long>").dropDuplicates(["same"]), f"{tag}-sets")
-        met = pairs.join(found.select(F.col("same").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("same").alias("b"), F.col("shingles").alias("y")), "b")
-        met = met.withColumn("both", F.size(F.array_intersect("x", "y")))
-        return staged(met.filter(F.col("both") + 1e-9 >= threshold * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), f"{tag}-links")
-
-    banded = reps.select("same", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("same").alias("a"))
-    links = verified(banded.join(least, "band").filter("a != same").select("a", F.col("same").alias("b")), "bands")
-    joined = reps.join(connected(links).withColumnRenamed("node", "same"), "same", "left")
-    keyed = joined.select("same", "n", F.coalesce("component", "same").alias("c"), F.explode("prefix").alias("key"))
-    open_ = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("key")
-    keyed = staged(keyed.join(open_, "key"), "minhash-prefixes")
-    one, two = keyed.select("key", *[F.col(c).alias(f"{c}1") for c in ("same", "n", "c")]), keyed.select("key", *[F.col(c).alias(f"{c}2") for c in ("same", "n", "c")])
-    like = (F.col("same1") < F.col("same2")) & (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") + 1e-9 >= threshold * F.greatest("n1", "n2"))
-    more = verified(one.join(two, "key").filter(like).select(F.col("same1").alias("a"), F.col("same2").alias("b")), "prefixes")
-    labels = connected(links.unionByName(more)).withColumnRenamed("node", "same")
-    return sets.join(labels, "same", "left").select("_row", "doc_id", F.coalesce("component", "same").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = likeness.THRESHOLD, bands: int = 16) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the least doc_id of its component (of one without ids: the component)."""
     groups = staged(near_groups(docs, threshold, bands), "minhash-groups")
-    named = groups.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return groups.join(named, "component").select("doc_id", F.coalesce("class_id", "component").alias("class_id"))
+    named = groups.join(groups.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("_row", F.coalesce("class_id", "component").alias("class_id"))
+    return row_key(docs.select("doc_id", "text")).select("_row", "doc_id").join(named, "_row").select("doc_id", "class_id")
 
 
-def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = likeness.THRESHOLD) -> DataFrame:
     """One row of each component."""
     return first_rows(docs, staged(near_groups(docs, threshold), "minhash-groups"))

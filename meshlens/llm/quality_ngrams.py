@@ -11,7 +11,7 @@ and the base rules decide alone; repeated rows are judged alike; extra columns p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.llm.shared import bytes_of, mix64, pooled, powers, ship, slices, staged, words_of
-from meshlens.llm.shared import _BYTE as BYTE_HASH
 
 BITS = 15
 WORD_GRAMS, CHAR_GRAMS = (1, 2), (2, 4)
@@ -28,6 +27,7 @@ KINDS = len(WORD_GRAMS) + len(CHAR_GRAMS)
 #: A text of fewer words, or with a larger share (in percent) of words in repeated windows, fails.
 MIN_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 THRESHOLD = 0.5
+BYTE_HASH = mix64(np.arange(256, dtype=np.uint64), 77)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -60,6 +60,16 @@ def gram_buckets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
     return out
 
 
+def _confirmed(names: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], bool], whole: Callable[[int], tuple]) -> np.ndarray:
+    """The names as they are if all places of equal names are alike; else numbers by whole values."""
+    order = np.argsort(names, kind="stable")
+    same = np.flatnonzero(names[order[1:]] == names[order[:-1]])
+    if not len(same) or alike(order[same], order[same + 1]):
+        return names
+    numbers: dict[tuple, int] = {}
+    return np.array([numbers.setdefault(whole(i), len(numbers)) for i in range(len(names))], np.uint64)
+
+
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     w = words_of(texts)
@@ -85,12 +95,16 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     total = np.zeros(len(w.data) + 1, np.uint64)
     np.cumsum(BYTE_HASH[w.data] * up[: len(w.data)], out=total[1:])
     lines = mix64((total[line_end] - total[line_start]) * down[line_start] + (line_end - line_start).astype(np.uint64)) + mix64(line_text.astype(np.uint64), 5)
+    raw = w.data.tobytes()
+    lines = _confirmed(lines, lambda i, j: all(line_text[a] == line_text[b] and raw[line_start[a] : line_end[a]] == raw[line_start[b] : line_end[b]] for a, b in zip(i.tolist(), j.tolist(), strict=True)), lambda i: (line_text[i], raw[line_start[i] : line_end[i]]))
     single, at = np.unique(lines, return_index=True)
     dup_lines = np.bincount(line_text, minlength=n_texts) - np.bincount(line_text[at], minlength=n_texts)
     # windows of words found twice in one text
+    numbers = w.numbered()[0]
     h = pooled(hashes, WINDOW)
     valid = np.flatnonzero(np.arange(len(h)) + WINDOW <= w.first[1:][per_text[: len(h)]]) if len(h) else np.zeros(0, np.int64)
-    key = h[valid] + mix64(per_text[valid].astype(np.uint64), 7)
+    alike = lambda i, j: bool((per_text[valid[i]] == per_text[valid[j]]).all()) and all((numbers[valid[i] + k] == numbers[valid[j] + k]).all() for k in range(WINDOW))
+    key = _confirmed(h[valid] + mix64(per_text[valid].astype(np.uint64), 7), alike, lambda i: (per_text[valid[i]], *numbers[valid[i] : valid[i] + WINDOW].tolist()))
     ordered = np.sort(key)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     cover = np.zeros(len(hashes) + 1, np.int64)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="meshlens-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -68,8 +72,9 @@ def word_count(text: Column) -> Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RNG = np.random.default_rng(20240117)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+#: Words of more bytes are named by one digest.
+_LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -114,11 +119,44 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        up, down = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * down[self.start])
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes from each byte on, as one number."""
+        return np.ndarray((len(self.data) + 1,), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """64-bit names: eight bytes after eight are mixed in, so words of equal length up to eight bytes never collide."""
+        size, lanes = self.end - self.start, self._lanes()
+        out = mix64(mix64(lanes[self.start] & _MASK[np.minimum(size, 8)], salt) + size.astype(np.uint64), salt + 1)
+        for step in range(8, _LONG, 8):
+            at = np.flatnonzero(size > step)
+            if not len(at):
+                return out
+            out[at] = mix64(out[at] ^ (lanes[self.start[at] + step] & _MASK[np.minimum(size[at] - step, 8)]), salt + 1)
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]], salt)
+        return out
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, equal for equal words only (names are confirmed on the bytes), and a place where each number stands."""
+        _, at, number = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        size, lanes, one = self.end - self.start, self._lanes(), at[number]
+        differ = size != size[one]
+        for step in range(0, _LONG, 8):
+            i = np.flatnonzero((size > max(step, 8)) & ~differ)
+            if not len(i):
+                break
+            differ[i] = (lanes[self.start[i] + step] ^ lanes[self.start[one[i]] + step]) & _MASK[np.minimum(size[i] - step, 8)] != 0
+        for i in np.flatnonzero((size > _LONG) & ~differ & (np.arange(len(size)) != one)):
+            differ[i] = not np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[one[i]] : self.end[one[i]]])
+        again: dict[bytes, int] = {}
+        places = at.tolist()
+        for i in np.flatnonzero(differ).tolist():
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            if word not in again:
+                again[word] = len(places)
+                places.append(i)
+            number[i] = again[word]
+        return number, np.array(places, np.int64)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.components import LINKS, code_links, connected, first_rows, row_key
+from meshlens.llm import likeness
+from meshlens.llm.components import LINKS, code_links, connected, first_rows
 from meshlens.llm.shared import bytes_of, ship, slices, staged
 
 SHINGLE, SEED, MOST_BITS, LARGEST = 3, 42, 3, 20_000
@@ -118,8 +119,8 @@ def _keyed(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[at])], names=["key", "code"])
 
 
-def code_components(codes: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(node, component) of the different 64-bit codes that have a neighbour within three bits."""
+def code_pairs(codes: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(a, b): links of different 64-bit codes within three bits, as spanning forests of buckets."""
     ship(codes.sparkSession)
 
     def found(df: DataFrame, exact: bool) -> DataFrame:
@@ -128,17 +129,34 @@ def code_components(codes: DataFrame, largest: int = LARGEST) -> DataFrame:
 
     links = staged(found(codes, False), "golay-links")
     again = links.filter("refine").select(F.col("a").alias("code")).distinct()
-    links = links.filter("not refine").select("a", "b").unionByName(found(again, True).select("a", "b"))
-    return connected(links)
+    return links.filter("not refine").select("a", "b").unionByName(found(again, True).select("a", "b"))
+
+
+def code_components(codes: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(node, component) of the different 64-bit codes that have a neighbour within three bits."""
+    return connected(code_pairs(codes, largest))
 
 
-BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each text's hashes."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    if len(hashes):
+        counts = np.diff(first)
+        lanes = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+        row = np.repeat(np.arange(len(out)) * 256, counts)
+        # how often each byte value stands in each lane of a text, times the bits of that value
+        ones = np.concatenate([np.bincount(row + lanes[:, k], minlength=256 * len(out)).reshape(-1, 256) @ BYTE_BITS for k in range(8)], axis=1)
+        out[:] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def fingerprints_of(texts: pa.Array) -> np.ndarray:
     data, offsets = bytes_of(texts)
     raw = data.tobytes().lower()  # of bytes: A-Z only
-    digest, out = xxhash.xxh64_intdigest, np.zeros(len(offsets) - 1, np.uint64)
+    digest = xxhash.xxh64_intdigest
     hashes, first = [], [0]
     for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
         words = raw[a:b].split()
@@ -149,40 +167,45 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
         elif words:
             hashes.append(digest(b" ".join(words), SEED))
         first.append(len(hashes))
-    if hashes:
-        counts = np.diff(first)
-        lanes = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-        row = np.repeat(np.arange(len(out)) * 256, counts)
-        # how often each byte value stands in each lane of a text, times the bits of that value
-        ones = np.concatenate([np.bincount(row + lanes[:, k], minlength=256 * len(out)).reshape(-1, 256).astype(np.float32) @ BYTE_BITS for k in range(8)], axis=1)
-        out[:] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return majority(np.array(hashes, np.uint64), np.array(first))
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(fingerprints_of(part.column("text")).view(np.int64))], names=["_row", "doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text")).view(np.int64))], names=["doc_id", "code"])
 
 
-def _grouped(docs: DataFrame, largest: int) -> DataFrame:
-    """(_row, doc_id, code, component, component_id) of every row."""
+def near_groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(doc_id, code, component_id) of every row: component_id is the least doc_id reachable over links of three bits."""
     ship(docs.sparkSession)
-    rows = row_key(docs.select("doc_id", "text")).select("_row", F.col("doc_id").cast("long"), "text")
-    prints = staged(rows.mapInArrow(_fingerprinted, "_row long, doc_id long, code long"), "simhash")
+    prints = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprinted, "doc_id long, code long"), "simhash")
     codes = staged(prints.groupBy("code").agg(F.min("doc_id").alias("rep")), "simhash-codes")
     labels = code_components(codes.select("code"), largest).withColumnRenamed("node", "code")
     named = codes.join(labels, "code", "left").withColumn("component", F.coalesce("component", "code"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = staged(named.join(least, "component").select("code", "component", "component_id"), "simhash-named")
-    return prints.join(named, "code").select("_row", "doc_id", "code", "component", "component_id")
+    named = staged(named.join(least, "component").select("code", "component_id"), "simhash-named")
+    return prints.join(named, "code").select("doc_id", "code", "component_id")
 
 
-def near_groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(doc_id, code, component_id) of every row: component_id is the least doc_id reachable over links."""
-    return _grouped(docs, largest).select("doc_id", "code", "component_id")
+def _codes(shingles: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    return majority(shingles, first).view(np.int64)[:, None].tolist()
+
+
+def _linked(nodes: DataFrame) -> DataFrame:
+    """Nodes of one code with the least one of it, and these of codes within three bits."""
+    coded = nodes.select("node", F.element_at("keys", 1).alias("code"))
+    least = staged(coded.groupBy("code").agg(F.min("node").alias("a")), "simhash-least")
+    same = coded.join(least, "code").filter("a != node").select("a", F.col("node").alias("b"))
+    pairs = code_pairs(least.select("code"))
+    ends = [least.select(F.col("code").alias(c), F.col("a").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    return same.unionByName(pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
 
+def keep_first(docs: DataFrame, threshold: float = likeness.THRESHOLD) -> DataFrame:
+    """One row of each group of texts alike on five-word shingles: that of the least doc_id (null last).
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the least doc_id (null last; of repeated rows of it the least text)."""
-    return first_rows(docs, staged(_grouped(docs, LARGEST), "simhash-groups"))
+    Fuzzy keys find the candidates within three bits; at a likeness of 0.8, where about ten bits differ, they find one in a
+    hundred, so ``likeness`` verifies them and finds the rest exactly.
+    """
+    return first_rows(docs, staged(likeness.groups(docs, _codes, _linked, threshold), "simhash-groups"))

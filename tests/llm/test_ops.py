@@ -44,6 +44,33 @@ def test_words(texts):
     assert len(set(w.hashes().tolist())) == len(set(flat))
 
 
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo powers of two are equal."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+def test_words_of_equal_names_are_told_apart(model, monkeypatch):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [" ".join(thue_morse(n)) for n in (1024, 2048, 4096)] + ["\n".join(thue_morse(2048)), " ".join([*(f"w{k}" for k in range(6))] * 2), "abcdefghij abcdefghik abcdefgh1 abcdefgh2 x", None]
+    texts += ["one line\none lino\none line", " ".join([*(f"longerword{k}" for k in range(4)), "x"] * 2 + [*(f"longerword{k}" for k in range(5, 9)), "x"])]
+    named = shared.Words.hashes
+    for collide in (False, True):
+        if collide:  # all longer words of one length have one name
+            monkeypatch.setattr(shared.Words, "hashes", lambda self, salt=0: np.where(self.end - self.start > 8, (self.end - self.start).astype(np.uint64), named(self, salt)))
+        for t in texts[:6]:
+            assert model.encode(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        got = quality_ngrams.base_counts(column(texts))
+        assert [tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for i in range(len(texts))] == [brute_counts(t or "") for t in texts]
+
+
+def test_very_long_word(model):
+    w = "etaoin" * 50_000
+    assert model.encode(pa.array([w]))[0].tolist() == Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(w, add_special_tokens=False).ids
+
+
 # ------------------------------------------------------------------ 1: mixing
 
 
@@ -122,9 +149,48 @@ def test_simhash_groups(docs):
     for largest in (20_000, 1):  # 1: every bucket goes on under exact keys
         got = {r["doc_id"]: (r["code"] % 2**64, r["component_id"]) for r in simhash.near_groups(d, largest).collect()}
         assert got == {i: (prints[i], want[i]) for i in prints}
-    kept = simhash.keep_first(d)
-    assert {r["doc_id"] for r in kept.collect()} == set(want.values()) and kept.columns == d.columns
-    assert simhash.near_groups(d.limit(0)).count() == 0
+    kept = simhash.keep_first(d)  # goes by Jaccard likeness
+    assert {r["doc_id"] for r in kept.collect()} == set(brute_classes(texts)) and kept.columns == d.columns
+    assert simhash.near_groups(d.limit(0)).count() == 0 and simhash.keep_first(d.limit(0)).count() == 0
+
+
+def brute_classes(texts):
+    """The least text of each text's class: five-word shingles, links at a Jaccard likeness of 0.8."""
+    words = [WORD.findall(t or "") for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    above = list(range(len(texts)))
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                above[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+def around_threshold(seed=12):
+    """Texts with copies a little above and below the threshold, chains of them, and a line that many share."""
+    r = random.Random(seed)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = []
+    for k in range(110):
+        w = [f"t{k}w{j}" for j in range(r.randint(20, 60))]
+        cut = r.randint(len(w) * 4 // 5, len(w))
+        texts += [" ".join(w), " ".join([*w[:cut], *(f"u{k}w{j}" for j in range(r.randint(0, 4)))]), f"{line} x{k}"]
+        w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_dedup_loses_no_link(docs):
+    texts = around_threshold()
+    want = brute_classes(texts)
+    assert 200 < len(set(want)) < len(texts) - 50
+    assert {r["doc_id"] for r in simhash.keep_first(docs(texts)).collect()} == set(want)
 
 
 def test_golay_keys_find_three_errors():
@@ -406,28 +472,12 @@ def test_keep_first_keeps_unlike_rows_of_one_id(spark):
 
 
 def test_minhash_loses_no_link(spark, docs):
-    r = random.Random(12)
-    line = " ".join(f"common{k}" for k in range(12))
-    texts = []
-    for k in range(150):
-        w = [f"t{k}w{j}" for j in range(60)]
-        texts += [" ".join(w), " ".join([*w[: r.randint(52, 57)], *(f"u{k}w{j}" for j in range(r.randint(0, 4)))]), f"{line} x{k}"]
-    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
-    above = list(range(len(texts)))
-
-    def top(i):
-        while above[i] != i:
-            i = above[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                above[max(top(i), top(j))] = min(top(i), top(j))
+    texts = around_threshold(13)
+    want = brute_classes(texts)
     got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(docs(texts)).collect()}
-    assert got == {i: top(i) for i in range(len(texts))}
+    assert got == dict(enumerate(want))
     # two texts under one id, and none: neither's links are lost
-    one, two, three = (texts[k] for k in (0, 3, 6))
+    one, two, three = (' '.join(f'{x}{k}' for k in range(60)) for x in 'xyz')
     rows = [(7, one), (7, two), (8, f"{two} end"), (None, three), (None, f"{three} end"), (None, "some other text without any id")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     named = collections.Counter(x["class_id"] for x in minhash.near_duplicates(d).collect())
