@@ -4,8 +4,8 @@ A text's shingles are its runs of five consecutive words (the whole sequence if
 Candidates, and one member of each bucket of an index prefix against all its others, are verified on the texts, which
 meet at a hub: its members are dealt out in shares of bounded size, the hub's text goes with each share. What that misses
 is found by prefixes. In any global order of shingles, two sets alike at the threshold t share a shingle among the first
-n - ceil(t n) + 1 of the larger one and the first m - ceil(2t / (1 + t) m) + 1 of the smaller one. Only nodes of different
-components are paired there, by components first, so that no pairs are made within a group.
+n - ceil(t n) + 1 of the larger one and the first m - ceil(2t / (1 + t) m) + 1 of the smaller one. Shingles there whose nodes
+are of one component are done with; the nodes of any other are compared in blocks, across components only.
 
 Defined cases: null is the empty text; texts without words are one node; rows of equal or no id are told apart by their
 texts, and equal rows are one row; an empty table has no groups.
@@ -28,6 +28,8 @@ from meshlens.llm.shared import pooled, ship, slices, staged, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a hub that one task compares at a time.
 SHARE = 500
+#: Nodes of a key that make a block, and shingles of them.
+BLOCK, BLOCK_SHINGLES = 500, 1 << 20
 #: Shingles that are put last in the order of prefixes, most frequent last; the order decides on cost alone.
 COMMON = 100_000
 
@@ -125,6 +127,110 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: floa
     return staged(met.mapInArrow(lambda b: _compared(b, threshold), "a long, b long"), f"{tag}-links")
 
 
+MET = "key long, i long, j long, block long, node long, n long, c long, at int, indexed boolean, before array<long>"
+
+
+#: Groups of so many rows at most are compared row against following row, all groups at once.
+SMALL = 24
+
+
+def may_link(met: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger, smaller) of rows of one (key, i, j), whole groups at hand, that could be links: of different components, near in size, with enough left after the key, and without an earlier key in common, where they would meet as well."""
+    key, i, j, block, node, n, c, at, indexed = (met.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "block", "node", "n", "c", "at", "indexed"))
+    before, flat = met.column("before").offsets.to_numpy(), met.column("before").values.to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.append(begin, len(key)))
+    group = np.repeat(np.arange(len(begin)), size)
+
+    def could(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.where((n[y] < n[x]) | (n[y] == n[x]) & (node[y] < node[x]), (x, y), (y, x))
+        hit = (c[x] != c[y]) & indexed[y] & (n[y] + 1e-9 >= threshold * n[x]) & ((i[x] == j[x]) | (block[x] != block[y]))
+        hit &= np.minimum(n[x] - at[x], n[y] - at[y]) + 1e-9 >= threshold / (1 + threshold) * (n[x] + n[y])
+        x, y = x[hit], y[hit]
+        new = [not set(flat[before[a] : before[a + 1]].tolist()) & set(flat[before[b] : before[b + 1]].tolist()) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        return x[new], y[new]
+
+    def within(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.triu_indices(len(rows), 1)
+        x, y = rows[x], rows[y]
+        parts = [before[r + 1] - before[r] for r in rows]
+        _, number = np.unique(np.concatenate([flat[before[r] : before[r + 1]] for r in rows]), return_inverse=True)
+        early = np.zeros((len(rows), int(number.max(initial=0)) + 1), np.float32)
+        early[np.repeat(np.arange(len(rows)), parts), number] = 1
+        shared = early @ early.T
+        apart = shared[x - rows[0], y - rows[0]] == 0
+        return x[apart], y[apart]
+
+    some: list[tuple[np.ndarray, np.ndarray]] = [could(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    little = np.flatnonzero(size[group] <= SMALL)
+    for lag in range(1, SMALL):
+        x = little[little + lag < len(key)]
+        x = x[group[x] == group[x + lag]]
+        if not len(x):
+            break
+        some.append(could(x, x + lag))
+    some += [could(*within(np.arange(begin[g], begin[g] + size[g]))) for g in np.flatnonzero(size > SMALL)]
+    return tuple(np.concatenate(e).astype(np.int64) for e in zip(*some, strict=True))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of whole groups of equal (key, i, j), which come first; one batch and one group are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != int(keys[k][0]) for k in range(3)):
+            new = np.concatenate([[0], new])
+        if len(new):
+            held.append(batch.slice(0, new[-1]))
+            yield pa.concat_batches(held)
+            held = [batch.slice(new[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _open(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a pair which could be a link."""
+    for met in _whole_groups(batches):
+        use = np.zeros(met.num_rows, bool)
+        for end in may_link(met, threshold):
+            use[end] = True
+        yield met.filter(pa.array(use))
+
+
+def _rest(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for met in _whole_groups(batches):
+        node, sets, found = met.column("node").to_numpy(), distinct(*shingle_sets(met.column("text"))), []
+        for x, y in zip(*may_link(met, threshold), strict=True):
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both + 1e-9 >= threshold * (len(sets[x]) + len(sets[y]) - both):
+                found.append((x, y))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+
+def between(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links between nodes of different components that share a key, from nodes(node, _row, n, c, open).
+
+    A key's nodes are dealt into blocks, and each pair of blocks is compared by one task: rows grow with a key's nodes times
+    its blocks, and no pair is a row. Texts go only where their sizes and places leave a link possible.
+    """
+    keyed = nodes.select("node", "n", "c", "open", F.posexplode("open").alias("pos", "o"))
+    keyed = keyed.select("node", "n", "c", "o.*", F.slice("open.key", F.lit(1), F.col("pos")).alias("before"))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("key", "node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = keyed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "c", "at", "indexed", "before")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = staged(dealt(met).mapInArrow(lambda b: _open(b, threshold), MET), "like-met")
+    asked = staged(met.join(nodes.select("node", "_row"), "node"), "like-asked")
+    texts = rows.join(asked.select("_row").distinct(), "_row", "left_semi").select("_row", "text").dropDuplicates(["_row"])
+    met = asked.join(texts, "_row").select(*met.columns, "text")
+    return staged(dealt(met).mapInArrow(lambda b: _rest(b, threshold), "a long, b long"), "like-rest-links")
+
+
 def groups(docs: DataFrame, keys: Callable[[np.ndarray, np.ndarray], list], candidates: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """(_row, doc_id, component) of every different row: components over all links of a Jaccard likeness of the threshold.
 
@@ -151,16 +257,12 @@ def groups(docs: DataFrame, keys: Callable[[np.ndarray, np.ndarray], list], cand
     named = reps.select("node", "same").join(connected(links), "node", "left").select("node", "same", F.coalesce("component", "node").alias("c"))
     named = staged(named, "like-named")
     keyed = placed.join(named.select("node", "c"), "node").select("key", "node", "n", "c", "at", "indexed")
-    open_ = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("indexed").alias("i")).filter("i and x != y").select("key")
-    keyed = staged(keyed.join(open_, "key"), "like-open")
-    one = keyed.select("key", "node", "n", "at", "c")
-    two = keyed.filter("indexed").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-    between = one.select("key", "c").distinct().join(two.select("key", "c2").distinct(), "key").filter("c != c2")
-    left = F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
-    larger = (F.col("n2") < F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node"))
-    may = larger & sized(F.col("n"), F.col("n2")) & (left + 1e-9 >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")))
-    more = one.join(between, ["key", "c"]).join(two, ["key", "c2"]).filter(may).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    more = verified(rows, reps, more, threshold, "like-more")
+    open_ = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("indexed").alias("i"), F.count("*").alias("met"), F.sum("n").alias("shingles")).filter("i and x != y")
+    blocks = F.ceil(F.greatest(F.col("met") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    keyed = staged(keyed.join(open_.select("key", blocks), "key"), "like-open")
+    held_keys = keyed.groupBy("node", "n", "c").agg(F.array_sort(F.collect_list(F.struct("at", "key", "indexed", "blocks"))).alias("open"))  # a prefix at most
+    held_keys = held_keys.join(reps.select("node", "_row"), "node").select("_row", "node", "n", "c", "open")
+    more = between(rows, staged(held_keys, "like-rest"), threshold)
     labels = connected(links.unionByName(more)).withColumnRenamed("node", "label_of")
     named = named.join(labels, named["node"] == labels["label_of"], "left").select("same", F.coalesce("component", "node").alias("component"))
     return sets.select("_row", "doc_id", "same").join(named, "same").select("_row", "doc_id", "component").distinct()
