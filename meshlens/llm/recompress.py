@@ -7,30 +7,36 @@ itself and one symbol to either side only. Equal windows therefore hold the same
 the words they depend on, all lie inside the window.
 
 Each window takes as its key the highest-level interior symbol of least hash; neighbouring windows mostly take the same one
-and make a unit. Spark rounds bring units of one key together. A unit whose words also stand earlier is a repeat as a
-whole. Only where one key has units of different words (edges of passages, edited copies), or a unit repeats inside
-itself, are the windows of the earliest units compared one by one, by 128-bit names.
+and make a unit. Spark rounds bring units of one key together. A unit whose words also stand earlier, by a 128-bit name that
+is independent of the symbols' names, is a repeat as a whole. Only where one key has units of different words (edges of
+passages, edited copies), or a unit repeats inside itself, are the windows of the earliest units compared one by one, by
+128-bit names of their own.
+
+Equal units of a slice of text are brought together once, and units of the most frequent keys go on under key and words, so
+the edges of a passage that very many documents hold don't meet in one task.
 
 Defined cases: null and empty texts, and those of fewer than 20 words, have no window and lose nothing; rows of equal
-doc_id are taken to be one document and share their decisions (of different texts under one id, what lies past a text's
-end is ignored); an empty table stays empty.
+doc_id and text are one document and share their decisions; different texts under one id, or none, are documents of their
+own, in the order of a hash of their texts, those without id last; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshlens.llm.shared import Words, mix64, pooled, powers, ship, slices, staged, words_of
+from meshlens.llm.shared import Words, mix64, pooled, powers, ship, slices, staged, told_apart, words_of
 
 WINDOW, LEVELS = 20, 2
+#: So many of the most frequent keys have their units told apart by their words; any other key has at most that share of all units.
+FREQUENT_KEYS = 10_000
 
 
 def _follow(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -102,7 +108,28 @@ def window_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return best, hashes
 
 
-UNITS = "key long, content long, doc_id {kind}, at int, n int, sure boolean, inner boolean"
+UNITS = "key long, content long, content2 long, doc_id {kind}, part long, at int, n int, sure boolean, inner boolean"
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            h, n = np.unique(window_keys(words_of(part.column(0)))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["key", "n"])
+
+
+def frequent_keys(docs: DataFrame) -> np.ndarray:
+    """The most frequent window keys, ascending. They decide where units meet, not what is a repeat."""
+    found = docs.select("text").mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).collect()], np.int64).view(np.uint64))
+
+
+def _documents(part: pa.RecordBatch) -> np.ndarray:
+    """A number for each row's document, in the order of documents."""
+    ids, parts = part.column("doc_id"), part.column("_part").to_numpy()
+    place = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    _, number = np.unique(np.stack([place, parts], 1), axis=0, return_inverse=True)
+    return number.ravel()
 
 
 def _repeats_inside(windows: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -117,7 +144,7 @@ def _repeats_inside(windows: np.ndarray, begin: np.ndarray, count: np.ndarray) -
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             w = words_of(part.column("text"))
@@ -135,29 +162,33 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOW
             begin, count = np.repeat(begin, parts) + step, np.minimum(np.repeat(count, parts) - step, WINDOW)
             inner = _repeats_inside(pooled(hashes, WINDOW, 5), begin, count)
-            content = _follow(hashes, begin, begin + count + WINDOW - 1)
+            own = w.hashes(11)
+            content, content2 = (_follow(x, begin, begin + count + WINDOW - 1) for x in (own, mix64(own, 12)))
             key, row, at = keys[begin], text[begin], begin - w.first[:-1][text[begin]]
-            ids = part.column("doc_id")
-            ids = (ids.fill_null(-(2**63)) if pa.types.is_int64(ids.type) else ids).to_numpy(zero_copy_only=False)
             # of equal units in one slice only the earliest has to be brought together with others
-            order = np.lexsort((at, ids[row], content, key))
+            document = _documents(part)[row]
+            order = np.lexsort((at, document, content2, content, key))
             again = np.zeros(len(order), bool)
             a, b = order[1:], order[:-1]
-            again[a] = (key[a] == key[b]) & (content[a] == content[b]) & ((ids[row[a]] != ids[row[b]]) | (at[a] != at[b]))
+            again[a] = (key[a] == key[b]) & (content[a] == content[b]) & (content2[a] == content2[b]) & ((document[a] != document[b]) | (at[a] != at[b]))
+            if len(frequent):
+                hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+                key, inner = np.where(hot, mix64(key + content, 10), key), inner | hot
             key = np.where(again, mix64(mix64(key, 8) + row.astype(np.uint64) * np.uint64(1 << 32) + at.astype(np.uint64), 9), key)
+            row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), pa.array(inner)],
-                names=["key", "content", "doc_id", "at", "n", "sure", "inner"],
+                [*(pa.array(x.view(np.int64)) for x in (key, content, content2)), part.column("doc_id").take(row), part.column("_part").take(row), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), pa.array(inner)],
+                names=["key", "content", "content2", "doc_id", "part", "at", "n", "sure", "inner"],
             )
 
 
 def _with_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, np.ndarray]]:
-    """(doc_id, payload, ranges) of each document, from rows (doc_id, kind, at, n, payload) sorted by doc_id and kind: its ranges, then itself."""
+    """(document, payload, ranges) of each row, from rows (doc_id, part, kind, at, n, payload) sorted by the first three: a document's ranges, then its rows."""
     here, ranges = object(), []
     for batch in batches:
-        ids, kinds, ats, ns = (batch.column(i).to_pylist() for i in range(4))
-        payload = batch.column(4)
-        for i, (key, kind) in enumerate(zip(ids, kinds, strict=True)):
+        ids, parts, kinds, ats, ns = (batch.column(i).to_pylist() for i in range(5))
+        payload = batch.column(5)
+        for i, (key, kind) in enumerate(zip(zip(ids, parts, strict=True), kinds, strict=True)):
             if key != here:
                 here, ranges = key, []
             if kind:
@@ -167,17 +198,14 @@ def _with_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, ob
 
 
 def _windows(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(a, b, doc_id, at, sure) of every window in the ranges: 128-bit names; sure where an earlier equal one is at hand."""
+    """(a, b, doc_id, part, at, sure) of every window in the ranges: 128-bit names; sure where an earlier equal one is at hand."""
 
     def flushed(held: list[tuple[object, str, np.ndarray]]) -> pa.RecordBatch:
         w = words_of(pa.array([x for _, x, _ in held], pa.large_string()))
-        hashes = w.hashes()
-        one, two = pooled(hashes, WINDOW, 5), pooled(mix64(hashes, 6), WINDOW, 7)
+        one, two = pooled(w.hashes(), WINDOW, 5), pooled(w.hashes(11), WINDOW, 7)
         place = [np.repeat(r[:, 0], r[:, 1]) + np.arange(r[:, 1].sum()) - np.repeat(np.cumsum(r[:, 1]) - r[:, 1], r[:, 1]) for _, _, r in held]
         row = np.repeat(np.arange(len(held)), [len(p) for p in place])
         at = np.concatenate(place)
-        fits = at + WINDOW <= w.counts()[row]  # a row of the same id may be shorter
-        row, at = row[fits], at[fits]
         x, y = one[at + w.first[row]], two[at + w.first[row]]
         document = np.cumsum([k and held[k][0] != held[k - 1][0] for k in range(len(held))])[row]
         order = np.lexsort((at, document, y, x))  # documents come in order
@@ -185,8 +213,8 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[p
         i, j = order[1:], order[:-1]
         again[i] = (x[i] == x[j]) & (y[i] == y[j]) & ((document[i] != document[j]) | (at[i] != at[j]))
         x = np.where(again, mix64(x + row.astype(np.uint64) * np.uint64(1 << 32) + at.astype(np.uint64), 9), x)
-        ids = pa.array([k for k, _, _ in held], kind).take(pa.array(row))
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(again)], names=["a", "b", "doc_id", "at", "sure"])
+        ids, parts = (pa.array([k[i] for k, _, _ in held], t).take(pa.array(row)) for i, t in ((0, kind), (1, pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), ids, parts, pa.array(at.astype(np.int32)), pa.array(again)], names=["a", "b", "doc_id", "part", "at", "sure"])
 
     held, size = [], 0
     for key, text, ranges in _with_ranges(batches):
@@ -211,39 +239,33 @@ def removed_mask(n_words: int, ranges: np.ndarray) -> np.ndarray:
 
 def _meeting(docs: DataFrame, ranges: DataFrame, payload: str) -> DataFrame:
     """Rows of documents and of their ranges side by side: one shuffle, no join."""
-    rows = docs.select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("n"), F.col(payload).alias("payload"))
+    rows = docs.select("doc_id", F.col("_part").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("n"), F.col(payload).alias("payload"))
     kind = dict(rows.dtypes)["payload"]
-    marks = ranges.select("doc_id", F.lit(0).alias("kind"), "at", "n", F.lit(None).cast(kind).alias("payload"))
-    return rows.unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id", "kind")
-
-
-def _released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    marks = ranges.select("doc_id", "part", F.lit(0).alias("kind"), "at", "n", F.lit(None).cast(kind).alias("payload"))
+    return rows.unionByName(marks).repartition("doc_id", "part").sortWithinPartitions(F.asc_nulls_last("doc_id"), "part", "kind")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, n): n windows from word at on that also stand earlier."""
+    """(doc_id, part, at, n): n windows from word at on that also stand earlier, of docs(doc_id, text, _part)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     ship(spark)
     kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
-    units = docs.select("doc_id", "text").mapInArrow(_units, UNITS.format(kind=kind))
-    same = F.rank().over(Window.partitionBy("key", "content").orderBy("doc_id", "at"))
+    held = spark.sparkContext.broadcast(frequent_keys(docs))  # FREQUENT_KEYS numbers at most
+    units = docs.select("doc_id", "_part", "text").mapInArrow(lambda b: _units(b, held.value), UNITS.format(kind=kind))
+    earlier = [F.asc_nulls_last("doc_id"), "part", "at"]
+    same = F.rank().over(Window.partitionBy("key", "content", "content2").orderBy(*earlier))
     whole = Window.partitionBy("key")
-    judged = units.withColumn("order", same).withColumn("mixed", F.min("content").over(whole) != F.max("content").over(whole))
-    found = judged.select("doc_id", "at", "n", (F.col("sure") | (F.col("order") > 1)).alias("repeat"), "mixed", "inner").filter("repeat or mixed or inner")
-    found = staged(found.select("doc_id", "at", "n", "repeat"), "units")
-    _released(spark)
+    different = (F.min("content").over(whole) != F.max("content").over(whole)) | (F.min("content2").over(whole) != F.max("content2").over(whole))
+    judged = units.withColumn("order", same).withColumn("mixed", different)
+    found = judged.select("doc_id", "part", "at", "n", (F.col("sure") | (F.col("order") > 1)).alias("repeat"), "mixed", "inner").filter("repeat or mixed or inner")
+    found = staged(found.select("doc_id", "part", "at", "n", "repeat"), "units")
     open_ = found.filter("not repeat")
-    windows = _meeting(docs, open_, "text").mapInArrow(lambda b: _windows(b, arrow), f"a long, b long, doc_id {kind}, at int, sure boolean")
-    order = F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "at"))
-    single = windows.withColumn("order", order).filter("sure or order > 1").select("doc_id", "at", F.lit(1).alias("n"))
-    single = staged(single, "windows")
-    _released(spark)
-    return found.filter("repeat").select("doc_id", "at", "n").unionByName(single)
+    windows = _meeting(docs, open_, "text").mapInArrow(lambda b: _windows(b, arrow), f"a long, b long, doc_id {kind}, part long, at int, sure boolean")
+    order = F.rank().over(Window.partitionBy("a", "b").orderBy(*earlier))
+    single = windows.withColumn("order", order).filter("sure or order > 1").select("doc_id", "part", "at", F.lit(1).alias("n"))
+    return found.filter("repeat").select("doc_id", "part", "at", "n").unionByName(staged(single, "windows"))
 
 
 def _cut(docs: DataFrame, payload: str, make: Callable[[object, object, np.ndarray], dict | None], schema: str | object) -> DataFrame:
@@ -255,7 +277,7 @@ def _cut(docs: DataFrame, payload: str, make: Callable[[object, object, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
-        for key, row, ranges in _with_ranges(batches):
+        for (key, _), row, ranges in _with_ranges(batches):
             made = make(key, row, ranges)
             if made is not None:
                 out.append(made)
@@ -266,7 +288,7 @@ def _cut(docs: DataFrame, payload: str, make: Callable[[object, object, np.ndarr
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return _meeting(docs, repeats(docs.select("doc_id", "text")), payload).mapInArrow(run, shape)
+    return _meeting(docs, repeats(docs), payload).mapInArrow(run, shape)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -281,7 +303,7 @@ def digests(docs: DataFrame) -> DataFrame:
             kept = words
         return {"doc_id": key, "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()}
 
-    return _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _cut(told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "text", make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -306,5 +328,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             made["n_chars"] = len(made["text"])
         return made
 
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    rows = told_apart(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     return _cut(rows, "_row", make, docs.schema)

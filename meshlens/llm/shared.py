@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there and it is computed once."""
+    """df written as Parquet to the shared folder and read again: its lineage ends there and it is computed once.
+
+    Nothing else reads the shuffles of that write, so Spark may delete their files when it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +72,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with _part: 0, but for rows without id, or whose id stands with different texts: a hash of the text.
+
+    Such ids are found by an aggregation of one number a row; only where there are any do the texts meet them in a join.
+    """
+    own = docs.select("doc_id", F.xxhash64(F.lit(1), "text", F.col("text").isNull()).alias("_h")).filter("doc_id is not null")
+    many = staged(own.groupBy("doc_id").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter("a != b").select(F.col("doc_id").alias("_many")), "many-texts")
+    if not many.isEmpty():
+        docs = docs.join(many, F.col("doc_id") == F.col("_many"), "left")
+        several = F.col("_many").isNotNull() | F.col("doc_id").isNull()
+    else:
+        several = F.col("doc_id").isNull()
+    return docs.withColumn("_part", F.when(several, F.xxhash64(F.lit(1), "text", F.col("text").isNull())).otherwise(F.lit(0).cast("long"))).drop("_many")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, in the JVM (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

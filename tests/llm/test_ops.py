@@ -392,6 +392,25 @@ def test_substring_dedup(spark, docs):
     assert sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in twice) == sorted((i, *v) for i, v in want.items() for _ in range(2))
 
 
+def test_substring_dedup_tells_rows_apart(spark, monkeypatch):
+    r = random.Random(17)
+    words = [f"q{k}" for k in range(400)]
+    passage = " ".join(words[:50])
+    texts = [" ".join(r.choices(words, k=70)) for _ in range(8)] + [passage, f"x {passage}", f"{passage} y", " ".join(words[10:45]), " ".join(thue_morse(1024) * 30)]
+    ids = [1, 2, 2, None, None, 5, 5, 5, None, 9, 2, None, None]
+    rows = [*zip(ids, texts, strict=True), (None, texts[3]), (5, texts[5]), (None, None), (4, None)]
+    d = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, _many string").repartition(4)
+    parts = {(x["doc_id"], x["text"]): x["_part"] for x in shared.told_apart(d.select("doc_id", "text")).collect()}
+    order = sorted(parts, key=lambda k: (k[0] is None, k[0] or 0, parts[k]))
+    want = brute_removed(dict(enumerate(k[1] for k in order)))
+    for frequent in (None, 1, 10**6):  # keys whose units go on by their words: the usual number, few, all
+        if frequent:
+            monkeypatch.setattr(recompress, "FREQUENT_KEYS", frequent)
+        got = sorted(((x["doc_id"] or 0, x["n_words"], x["n_removed"], x["kept_sha256"]) for x in recompress.digests(d).collect()))
+        assert got == sorted((i or 0, *want[order.index((i, t))]) for i, t in rows)
+    assert recompress.without_repeats(d).columns == d.columns
+
+
 # ------------------------------------------------------------------ 7: chat
 
 ROLES = st.sampled_from(["user", "assistant", "system", "tool", "", "a b\n"])
