@@ -40,7 +40,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.scored(docs, pseudo_lm.train(docs))
+    return pseudo_lm.scored(docs, *pseudo_lm.train(docs))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

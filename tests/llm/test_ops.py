@@ -295,46 +295,108 @@ def test_rule_ensemble(spark, docs):
 # ------------------------------------------------------------------ 5: LM
 
 
+def brute_likelihoods(weights, tokens, around):
+    """Every token's log-probability from the full distribution, one place at a time."""
+    place, bias, top, prior, inner, inner_prior = (w.astype(float) for w in weights)
+    out = []
+    for i, t in enumerate(tokens):
+        h = np.tanh(bias + sum(place[k][around[k][i]] for k in range(len(pseudo_lm.CONTEXT))))
+        groups = np.exp(h @ top + prior)
+        every = np.concatenate([np.exp(h @ inner[g] + inner_prior[g]) / np.exp(h @ inner[g] + inner_prior[g]).sum() * groups[g] / groups.sum() for g in range(pseudo_lm.GROUPS)])
+        assert np.isclose(every.sum(), 1)
+        out.append(np.log(every[t]))
+    return np.array(out)
+
+
 def test_gradient_and_likelihood():
     r = np.random.default_rng(2)
     first = np.array([0, 7, 7, 12])
     tokens = r.integers(0, pseudo_lm.SIZE, 12)
     around = pseudo_lm.contexts(tokens, first)
     assert around[0].tolist() == [*[pseudo_lm.SIZE] * 2, *tokens[:5], *[pseudo_lm.SIZE] * 2, *tokens[7:10]]
-    weights = pseudo_lm.first_weights()
-    _, logits = pseudo_lm.forward(weights, around)
-    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-    assert np.allclose(pseudo_lm.log_probabilities(weights, tokens, around), np.log(p[np.arange(12), tokens]), atol=1e-5)
-    before = pseudo_lm.log_probabilities(weights, tokens, around).mean()
+    weights = [w + r.normal(0, 0.3, w.shape).astype(np.float32) for w in pseudo_lm.first_weights()]
+    assert np.allclose(pseudo_lm.log_probabilities(weights, tokens, around), brute_likelihoods(weights, tokens, around), atol=1e-4)
+    # the gradient of the mean log-probability, by small differences
+    grads = [np.zeros_like(w, dtype=float) for w in weights]
     speed = [np.zeros_like(w) for w in weights]
+    stepped = [w.copy() for w in weights]
+    pseudo_lm.train_step(stepped, speed, tokens, around)
+    grads = [np.sqrt(s) for s in speed]
+    for k, w in enumerate(weights):
+        for at in map(tuple, np.argwhere(grads[k] > 0)[:3]):
+            near = [[x.copy() for x in weights] for _ in range(2)]
+            near[0][k][at] += 0.01
+            near[1][k][at] -= 0.01
+            slope = (brute_likelihoods(near[0], tokens, around).mean() - brute_likelihoods(near[1], tokens, around).mean()) / 0.02
+            assert abs(slope) == pytest.approx(grads[k][at], abs=2e-3) and (stepped[k][at] - w[at]) * slope >= 0
+    before = pseudo_lm.log_probabilities(weights, tokens, around).mean()
     for _ in range(60):
         pseudo_lm.train_step(weights, speed, tokens, around)
     assert pseudo_lm.log_probabilities(weights, tokens, around).mean() > before + 1
 
 
+def test_lm_scores_against_brute_force(docs):
+    r = random.Random(21)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    texts = [" ".join(r.choices(words, [1 / (k + 9) for k in range(len(words))], k=r.randint(1, 900))) for _ in range(80)] + ODD
+    d = docs(texts)
+    model, tail = pseudo_lm.train(d)
+    assert tail.isEmpty()
+    counts = collections.Counter(x for t in texts for x in WORD.findall(t or ""))
+    name = lambda x: int(shared.words_of(column([x])).hashes()[0])
+    top = {x: k for k, x in enumerate(sorted(counts, key=lambda x: (-counts[x], np.uint64(name(x)).view(np.int64)))[: pseudo_lm.FREQUENT])}
+    kind = {x: name(x) % pseudo_lm.CLASSES for x in counts if x not in top}
+    pairs = np.ones((257, 257))
+    for x, n in counts.items():
+        for a, b in zip([256, *x.encode()], [*x.encode(), 256], strict=True):
+            pairs[a, b] += n
+    spell = np.log(pairs / pairs.sum(1, keepdims=True))
+
+    def inside(x):
+        if x in top:
+            return 0.0
+        whole = 1 + sum(counts[y] for y in kind if kind[y] == kind[x])
+        if counts[x] >= pseudo_lm.LEAST:
+            return np.log(counts[x] / whole)
+        below = sum(counts[y] for y in kind if kind[y] == kind[x] and counts[y] < pseudo_lm.LEAST)
+        return np.log((below + 1) / whole) + sum(spell[a, b] for a, b in zip([256, *x.encode()], [*x.encode(), 256], strict=True))
+
+    got = {x["doc_id"]: x for x in pseudo_lm.scored(d, model, tail).collect()}
+    for i, t in list(enumerate(texts))[::7]:
+        w = WORD.findall(t or "")
+        tokens = np.array([top.get(x, pseudo_lm.FREQUENT + kind.get(x, 0)) for x in w], np.int64)
+        want = brute_likelihoods(model.weights, tokens, pseudo_lm.contexts(tokens, np.array([0, len(w)]))).sum() + sum(map(inside, w))
+        assert got[i]["n_tokens"] == len(w) and got[i]["log_probability"] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    # neither the number of tasks nor where the shares are held matters
+    other, rest = pseudo_lm.train(d.repartition(7), most=20)
+    assert not rest.isEmpty() and np.array_equal(pseudo_lm.flat(model.weights), pseudo_lm.flat(other.weights))
+    assert {x["doc_id"]: pytest.approx(x["log_probability"]) for x in pseudo_lm.scored(d, other, rest).collect()} == {i: x["log_probability"] for i, x in got.items()}
+    small = [pseudo_lm.train(d.repartition(n), shard=3000)[0].weights for n in (2, 5)]
+    assert np.array_equal(*map(pseudo_lm.flat, small)) and not np.array_equal(pseudo_lm.flat(small[0]), pseudo_lm.flat(model.weights))
+
+
 def test_lm_prefers_what_it_saw(docs):
     d = docs({i: "the cat sat on the mat " * 20 for i in range(40)} | {100: "mat the on sat cat the " * 20, 101: None, 102: ""})
-    counts = {r["n"] for r in pseudo_lm.word_counts(d).collect()}
+    counts = {r["n"] for r in pseudo_lm.word_counts(d).filter("not spelled").collect()}
     assert counts == {1640, 820}
-    got = {r["doc_id"]: r for r in pseudo_lm.scored(d, pseudo_lm.train(d, stride=2)).collect()}
+    got = {r["doc_id"]: r for r in pseudo_lm.scored(d, *pseudo_lm.train(d)).collect()}
     assert got[0]["score"] > got[100]["score"] and got[0]["n_tokens"] == 120
     assert (got[101]["n_tokens"], got[101]["score"], got[102]["log_probability"]) == (0, 0.0, 0.0)
-    assert pseudo_lm.scored(d.limit(0), pseudo_lm.train(d.limit(0))).count() == 0
+    assert pseudo_lm.scored(d.limit(0), *pseudo_lm.train(d.limit(0))).count() == 0
 
 
 def test_lm_tells_rare_words_apart(docs):
     r = random.Random(3)
-    words = ["".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(600)]
+    words = ["".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(3000)]
     kind = lambda t: int(shared.words_of(column([t])).hashes()[0] % np.uint64(pseudo_lm.CLASSES))
-    texts = [" ".join(r.choices(words, [1 / (k + 1) for k in range(600)], k=200)) for _ in range(60)]
-    model = pseudo_lm.train(docs(texts))
+    texts = [" ".join(r.choices(words, [1 / (k + 1) for k in range(3000)], k=2000)) for _ in range(30)]
+    model, tail = pseudo_lm.train(docs(texts))
     counts = collections.Counter(" ".join(texts).split())
-    assert len(model.words) == max(pseudo_lm.FREQUENT, sum(n >= pseudo_lm.LEAST for n in counts.values())) > pseudo_lm.FREQUENT
-    order = sorted((w for w, n in counts.most_common()[pseudo_lm.FREQUENT + 5 :] if n >= pseudo_lm.LEAST), key=counts.get)
-    one = order[-1]
-    other = next(w for w in order if kind(w) == kind(one) and counts[w] < counts[one])
+    order = [w for w, n in counts.most_common()[pseudo_lm.FREQUENT + 5 :] if n >= pseudo_lm.LEAST]
+    assert len(model.words) + pseudo_lm.FREQUENT == sum(n >= pseudo_lm.LEAST for n in counts.values()) > 1000
+    one, other = next((a, b) for a in order for b in order if kind(a) == kind(b) and counts[a] > counts[b])
     junk = next(w for w in ("".join(r.choice("qxzjkvw") for _ in range(6)) for _ in range(10**5)) if kind(w) == kind(one))
-    first, second, third = (x["score"] for x in sorted(pseudo_lm.scored(docs([f"{texts[0]} {w}" for w in (one, other, junk)]), model).collect()))
+    first, second, third = (x["score"] for x in sorted(pseudo_lm.scored(docs([f"{texts[0]} {w}" for w in (one, other, junk)]), model, tail).collect()))
     assert first > second > third
 
 
@@ -343,7 +405,7 @@ def test_lm_trains_on_every_token(docs):
     first = np.array([0, 1, 1, 3, 10, 30])
     seen = np.concatenate([pseudo_lm.picked(first, use["stride"], turn) for turn in range(use["rounds"])])
     assert sorted(seen.tolist()) == list(range(30))
-    weights = pseudo_lm.train(docs(["a"] * 20)).weights
+    weights = pseudo_lm.train(docs(["a"] * 20))[0].weights
     assert not np.array_equal(pseudo_lm.flat(weights), pseudo_lm.flat(pseudo_lm.first_weights()))
     with pytest.raises(ValueError, match="leave tokens out"):
         pseudo_lm.train(docs(["a"]), 2, 8)
@@ -546,7 +608,7 @@ def test_nulls_in_every_column(spark):
     d = spark.createDataFrame([(None, "a b c", None, None, None), (None, "w " * 40, None, None, None), (5, None, "en", "s", 0), (7, "w " * 40, "en", "s", 80)], "doc_id long, text string, lang string, source string, n_chars int")
     labels = spark.createDataFrame([(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     path = P.path("word_bpe_49k.json")
-    made = [mixing.taken(d), simhash.near_groups(d), bpe.digests(d, path), rule_ensemble.scored(d, rule_ensemble.train(d, labels)), pseudo_lm.scored(d, pseudo_lm.train(d)), recompress.digests(d), minhash.with_neighbours(d), minhash.near_duplicates(d), quality_ngrams.judge(d, quality_ngrams.train(d, labels))]
+    made = [mixing.taken(d), simhash.near_groups(d), bpe.digests(d, path), rule_ensemble.scored(d, rule_ensemble.train(d, labels)), pseudo_lm.scored(d, *pseudo_lm.train(d)), recompress.digests(d), minhash.with_neighbours(d), minhash.near_duplicates(d), quality_ngrams.judge(d, quality_ngrams.train(d, labels))]
     assert [m.count() for m in made] == [4] * len(made)
     assert {r["n_removed"] for r in recompress.digests(d).collect()} == {0, 39, 40}
 
