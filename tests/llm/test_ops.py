@@ -392,7 +392,8 @@ def test_lm_tells_rare_words_apart(docs):
     texts = [" ".join(r.choices(words, [1 / (k + 1) for k in range(3000)], k=2000)) for _ in range(30)]
     model, tail = pseudo_lm.train(docs(texts))
     counts = collections.Counter(" ".join(texts).split())
-    order = [w for w, n in counts.most_common()[pseudo_lm.FREQUENT + 5 :] if n >= pseudo_lm.LEAST]
+    least = counts.most_common(pseudo_lm.FREQUENT)[-1][1]
+    order = [w for w, n in counts.most_common() if pseudo_lm.LEAST <= n < least]
     assert len(model.words) + pseudo_lm.FREQUENT == sum(n >= pseudo_lm.LEAST for n in counts.values()) > 1000
     one, other = next((a, b) for a in order for b in order if kind(a) == kind(b) and counts[a] > counts[b])
     junk = next(w for w in ("".join(r.choice("qxzjkvw") for _ in range(6)) for _ in range(10**5)) if kind(w) == kind(one))
