@@ -58,7 +58,7 @@ def distinct(shingles: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, most=1 << 22):
+        for part in slices(batch, most=1 << 21):
             h, n = np.unique(np.concatenate(distinct(*shingle_sets(part.column(0)))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["shingle", "n"])
 

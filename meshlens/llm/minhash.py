@@ -99,7 +99,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(ids, texts)
 
 
-def with_neighbours(docs: DataFrame, rows_a_range: int = 500, most_ranges: int = 4096) -> DataFrame:
+def with_neighbours(docs: DataFrame, rows_a_range: int = 500, most_ranges: int = 1 << 14) -> DataFrame:
     """Every row beside the next one by doc_id (after the last: the first), from ranges of ids sorted by themselves: one shuffle of the texts.
 
     Only the ranges' bounds and least ids go to the driver, two numbers a range, of which there are at most most_ranges.

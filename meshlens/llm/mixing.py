@@ -20,7 +20,7 @@ from meshlens.llm.shared import WORD, staged, word_count
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2, 16, 42
 #: Words of a shard at least, and shards of a source at most: beyond that, shards grow.
-SHARD_WORDS, MOST_SHARDS = 1 << 16, 4096
+SHARD_WORDS, MOST_SHARDS = 1 << 16, 1 << 16
 
 
 def _primes(n: int, above: int) -> list[int]:
@@ -105,10 +105,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", **options: object) -> tuple[Da
 def _located(docs: DataFrame, id_col: str, keep: list[str], **options: object) -> DataFrame:
     """Every row with _size, the words before it in its shard (_at), and its shard's blocks, quota and permutation."""
     sources, shards = plan(docs, id_col, **options)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.struct(*keep).alias("_row"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"), F.struct(*keep).alias("_row"))
     src = sources.select(F.col("source").alias("_name"), "sid", "source_size", "target", "n_shards")
     rows = rows.join(src, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("shard", _shard("n_shards"))
-    order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "_id"), "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "_id"), "_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_at", F.sum("_size").over(order) - F.col("_size")).join(shards, ["sid", "shard"])
     primes = F.array(*[F.lit(p) for p in _primes(8, 1 << 31)])
     seed = lambda k: F.xxhash64(F.lit(SEED + k), "sid", "shard")
@@ -132,25 +132,33 @@ def _div(a: Column, b: Column) -> Column:
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    rows = _located(docs, id_col, [id_col], **options)
-    first, last = _block_of(F.col("_at")), _block_of(F.col("_at") + F.col("_size") - 1)
-    begin = lambda k: _div(k * F.col("words"), F.col("blocks"))
-    inside = lambda k: F.least(F.col("_at") + F.col("_size"), begin(k + 1)) - F.greatest(F.col("_at"), begin(k))
-    count = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, k: a + inside(k) * _times(k))
+    rows = _blocked(_located(docs, id_col, [id_col], **options))
+    count = F.aggregate("_blocks", F.lit(0).cast("long"), lambda a, b: a + b["n"] * b["times"])
     return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.when(F.col("_size") > 0, count).otherwise(F.lit(0).cast("long")).alias("taken"))
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows with _blocks: for each block that a document meets, how many of its words come before, how many are inside, and how often it is taken."""
+    first, last = _block_of(F.col("_at")), _block_of(F.col("_at") + F.col("_size") - 1)
+    begin = lambda k: F.greatest(F.col("_at"), _div(k * F.col("words"), F.col("blocks"))) - F.col("_at")
+    end = lambda k: F.least(F.col("_at") + F.col("_size"), _div((k + 1) * F.col("words"), F.col("blocks"))) - F.col("_at")
+    part = lambda k: F.struct(begin(k).alias("before"), (end(k) - begin(k)).alias("n"), _times(k).alias("times"))
+    return rows.withColumn("_blocks", F.when(F.col("_size") > 0, F.transform(F.sequence(first, last), part)))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The mix itself, with the columns of docs: a row holds the words of the blocks taken at least once, a second one those taken twice.
 
-    A document all of whose words are taken keeps its text as it is; others have their words joined by one space.
+    A document all of whose words are taken keeps its text as it is, uncut; others have their words joined by one space.
     """
-    rows = _located(docs, id_col, docs.columns, **options).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(CAP))))
-    words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
-    kept = F.filter(words, lambda w, i: _times(_block_of(F.col("_at") + i)) >= F.col("_pass"))
-    rows = rows.filter("_size > 0").withColumn("_kept", kept).filter(F.size("_kept") > 0)
-    text = F.when(F.size("_kept") == F.col("_size"), F.col("_row.text")).otherwise(F.array_join("_kept", " "))
-    rows = rows.withColumn("_text", text)
+    rows = _blocked(_located(docs, id_col, docs.columns, **options).filter("_size > 0"))
+    times = F.transform("_blocks", lambda b: b["times"])
+    rows = rows.withColumn("_least", F.array_min(times)).withColumn("_most", F.array_max(times)).filter("_most > 0")
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
+    kept = lambda words: F.transform(F.filter("_blocks", lambda b: b["times"] >= F.col("_pass")), lambda b: F.slice(words, (b["before"] + 1).cast("int"), b["n"].cast("int")))
+    # a text's words are bound once, as the one element of an array
+    cut = F.transform(F.array(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))), lambda words: F.array_join(F.flatten(kept(words)), " "))
+    rows = rows.withColumn("_text", F.when(F.col("_least") >= F.col("_pass"), F.col("_row.text")).otherwise(cut[0]))
     made = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
     kinds = dict(docs.dtypes)
     return rows.select(*[made[c].cast(kinds[c]).alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ batches. It is trained in numpy on at most ``max_rows`` labelled rows (the bound
 a hash of doc_id), four fifths of them for the weights and one fifth for Platt's calibration of the probability.
 
 Defined cases: a null text has no words and fails the base rules; without labels of both kinds every probability is 0.5
-and the base rules decide alone; repeated rows are judged alike; extra columns pass through ``keep_good`` unchanged.
+and the base rules decide alone; of labels that disagree on an id the worse counts; repeated rows are judged alike; extra columns pass through ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
@@ -188,10 +188,11 @@ def fit(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, cal
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 7) -> GramModel:
     """Learns from at most max_rows labelled rows; those with crc32(doc_id) % 4 = 2 are left for a test."""
     ship(docs.sparkSession)
-    marked = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = staged(marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows), "op9-labels")
-    # at most max_rows rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, ids array<int>, shares array<float>").orderBy("doc_id").toArrow()
+    marked = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    chosen = staged(marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows), "op9-labels")
+    # at most max_rows rows of two numbers, and of each id one text: the least features
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, ids array<int>, shares array<float>")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "ids", "shares")).alias("f")).select("doc_id", "f.*").toArrow().sort_by("doc_id")
     y = rows.column("quality").to_numpy()
     if len(set(y.tolist())) < 2:
         return GramModel(np.zeros((KINDS, 1 << BITS), np.float32), 0.0)

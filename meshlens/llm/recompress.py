@@ -35,6 +35,8 @@ from pyspark.sql.window import Window
 from meshlens.llm.shared import Words, mix64, pooled, powers, ship, slices, staged, told_apart, words_of
 
 WINDOW, LEVELS = 20, 2
+#: Bytes of text in which equal units are reduced to one.
+SLICE = 1 << 21
 #: So many of the most frequent keys have their units told apart by their words; any other key has at most that share of all units.
 FREQUENT_KEYS = 10_000
 
@@ -146,7 +148,7 @@ def _repeats_inside(windows: np.ndarray, begin: np.ndarray, count: np.ndarray) -
 
 def _units(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             w = words_of(part.column("text"))
             keys, hashes = window_keys(w)
             if not len(keys):

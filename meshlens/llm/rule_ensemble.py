@@ -8,7 +8,7 @@ Training takes at most ``max_rows`` labelled rows (a documented bound; which row
 those with crc32(doc_id) % 4 = 2. Labels, lang, source and doc_id are no inputs.
 
 Defined cases: null is the empty text, whose statistics are 0; with labels of one kind only, the score is that kind's
-smoothed share everywhere, 0.5 without any; repeated rows score alike.
+smoothed share everywhere, 0.5 without any; of labels that disagree on an id the worse counts; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -116,6 +116,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, lasso: fl
             leaf[met] = -g[met].sum() / (h[met].sum() + 1)
         z = z + 0.3 * np.clip(leaf, -4, 4)
     kept = list(rules)
+    if not kept:  # no statistic tells the labels apart
+        return Ensemble([], [], start)
     a = np.stack([_meets(x, r) for r in kept], 1).astype(float)
     spread = np.maximum(a.std(0), 0.05)
     a = (a - a.mean(0)) / spread
@@ -142,11 +144,12 @@ def _meets(x: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int = 3) -> Ensemble:
-    marked = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = staged(marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows), "rules-labels")
-    # at most max_rows rows of two numbers
+    marked = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    chosen = staged(marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows), "rules-labels")
+    # at most max_rows rows of two numbers, and of each id one text: the least statistics
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", "quality", *[c.cast("double").alias(n) for n, c in statistics(F.col("text")).items()]).orderBy("doc_id").toArrow()
+    rows = rows.select("doc_id", F.struct("quality", *[c.cast("double").alias(n) for n, c in statistics(F.col("text")).items()]).alias("f"))
+    rows = rows.groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", "f.*").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return Ensemble([], [], 0.0)
     return fit(np.stack([rows.column(n).to_numpy() for n in NAMES], 1), rows.column("quality").to_numpy().astype(float))

@@ -213,7 +213,7 @@ def words_of(texts: pa.Array) -> Words:
     return Words(data, offsets, start, np.flatnonzero(solid & ~after) + 1, np.searchsorted(start, offsets))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about so many bytes of text, one row at least: bounds the arrays made from them."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
     begun, held = 0, 0

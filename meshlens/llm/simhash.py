@@ -16,6 +16,7 @@ than three words count as one shingle; equal fingerprints are one node, so copie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,16 +34,19 @@ SHINGLE, SEED, MOST_BITS, LARGEST = 3, 42, 3, 20_000
 GENERATOR = 0b110001110101
 
 
+@cache
 def _remainders() -> np.ndarray:
+    """Syndromes of all 23-bit words."""
     r = np.arange(1 << 23, dtype=np.int32)
     for bit in range(22, 10, -1):
         r = np.where(r >> bit & 1, r ^ (GENERATOR << (bit - 11)), r)
     return r.astype(np.int16)
 
 
+@cache
 def _patterns() -> tuple[np.ndarray, np.ndarray]:
     """For each 11-bit syndrome: what to add to a word to reach its codewords within 4 bits (nearest first), and how many there are."""
-    single = [int(SYNDROME[1 << i]) for i in range(23)]
+    single = [int(_remainders()[1 << i]) for i in range(23)]
     table, count = np.zeros((2048, 6), np.int32), np.zeros(2048, np.int64)
     for weight in range(5):
         for places in combinations(range(23), weight):
@@ -56,16 +60,11 @@ def _patterns() -> tuple[np.ndarray, np.ndarray]:
     return table, count
 
 
-SYNDROME = _remainders()
-_TABLES: list = []
-
-
 def nearby(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codeword numbers (12 bits) of 23-bit words: six columns, of which the first so many count."""
-    if not _TABLES:
-        _TABLES.extend(_patterns())
-    s = SYNDROME[words]
-    return (words[:, None] ^ _TABLES[0][s]) >> 11, _TABLES[1][s]
+    table, count = _patterns()
+    s = _remainders()[words]
+    return (words[:, None] ^ table[s]) >> 11, count[s]
 
 
 def golay_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -287,6 +287,14 @@ def test_rule_ensemble(spark, docs):
     assert all(x["predicted"] == (x["score"] >= 0.7) for x in rows)
     odd = rule_ensemble.scored(docs(ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= x["score"] <= 1 for x in odd)
+    # the compiled columns say what the rules say
+    stats = rule_ensemble.statistics(F.col("text"))
+    measured = sorted(docs(texts + ODD).select("doc_id", *[c.cast("double").alias(f"_{n}") for n, c in stats.items()], model.score([c.cast("double") for c in stats.values()]).alias("score")).collect())
+    x = np.array([row[1:-1] for row in measured])
+    z = model.bias + sum(w * rule_ensemble._meets(x, rule) for rule, w in zip(model.rules, model.weights, strict=True))
+    assert len(model.rules) > 3 and np.allclose([row[-1] for row in measured], 1 / (1 + np.exp(-z)))
+    again = rule_ensemble.train(d.unionByName(d.withColumn("text", F.lit("other text"))), labels.unionByName(labels.withColumn("quality", F.lit(1))).repartition(3))
+    assert again == rule_ensemble.train(d.unionByName(d.withColumn("text", F.lit("other text"))).repartition(5), labels)
     one = rule_ensemble.train(d, labels.filter("quality = 1"))
     assert not one.rules and rule_ensemble.scored(d, one).agg(F.min("score")).first()[0] > 0.9
     assert rule_ensemble.train(d, labels.limit(0)).bias == 0.0
