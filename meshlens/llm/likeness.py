@@ -204,8 +204,10 @@ def _open(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 
 def _rest(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for met in _whole_groups(batches):
-        node, sets, found = met.column("node").to_numpy(), distinct(*shingle_sets(met.column("text"))), []
-        for x, y in zip(*may_link(met, threshold), strict=True):
+        node, found = met.column("node").to_numpy(), []
+        larger, smaller = may_link(met, threshold)
+        sets = [x for part in slices(met) for x in distinct(*shingle_sets(part.column("text")))]
+        for x, y in zip(larger.tolist(), smaller.tolist(), strict=True):
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if both + 1e-9 >= threshold * (len(sets[x]) + len(sets[y]) - both):
                 found.append((x, y))
@@ -245,21 +247,22 @@ def groups(docs: DataFrame, keys: Callable[[np.ndarray, np.ndarray], list], cand
     sets = staged(rows.mapInArrow(lambda b: _described(b, keys, threshold, held.value), f"_row binary, doc_id {kind}, same binary, n long, keys array<long>, prefix array<long>"), "like-sets")
     # numbers are given once: all that follows reads them from the written table
     reps = staged(sets.dropDuplicates(["same"]).select(F.monotonically_increasing_id().alias("node"), "same", "_row", "n", "keys", "prefix"), "like-nodes")
-    indexed = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    placed = reps.select("node", "n", indexed.alias("cut"), F.posexplode("prefix").alias("at", "key")).withColumn("indexed", F.col("at") < F.col("cut"))
-    own = placed.filter("indexed")
-    hubs = own.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("hub"), F.count("*").alias("met")).filter("met > 1").select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"))
+    cut = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    placed = reps.select("node", "n", cut.alias("cut"), F.posexplode("prefix").alias("at", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "at", (F.col("at") < F.col("cut")).alias("indexed"))
+    keys_ = placed.groupBy("key").agg(F.min(F.when(F.col("indexed"), F.col("node"))).alias("hub"), F.count("*").alias("met"), F.sum("n").alias("shingles")).filter("met > 1 and hub is not null")
+    placed = staged(placed.join(keys_, "key"), "like-keys")  # those that several nodes share
     sized = lambda n, m: F.least(n, m) + 1e-9 >= threshold * F.greatest(n, m)
-    star = own.join(hubs, "key").filter((F.col("node") != F.col("a")) & sized(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b"))
+    star = placed.filter("indexed and node != hub").select("hub", "node", "n").distinct()
+    star = star.join(reps.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub").filter(sized(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     near = candidates(reps.select("node", "keys")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = verified(rows, reps, near.unionByName(star), threshold, "like-near")
     # the rest: nodes of different components that share a shingle of their prefixes
     named = reps.select("node", "same").join(connected(links), "node", "left").select("node", "same", F.coalesce("component", "node").alias("c"))
     named = staged(named, "like-named")
-    keyed = placed.join(named.select("node", "c"), "node").select("key", "node", "n", "c", "at", "indexed")
-    open_ = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("indexed").alias("i"), F.count("*").alias("met"), F.sum("n").alias("shingles")).filter("i and x != y")
+    keyed = placed.join(named.select("node", "c"), "node")
+    open_ = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("key")
     blocks = F.ceil(F.greatest(F.col("met") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
-    keyed = staged(keyed.join(open_.select("key", blocks), "key"), "like-open")
+    keyed = staged(keyed.join(open_, "key").select("key", "node", F.col("n").cast("long").alias("n"), "c", "at", "indexed", blocks), "like-open")
     held_keys = keyed.groupBy("node", "n", "c").agg(F.array_sort(F.collect_list(F.struct("at", "key", "indexed", "blocks"))).alias("open"))  # a prefix at most
     held_keys = held_keys.join(reps.select("node", "_row"), "node").select("_row", "node", "n", "c", "open")
     more = between(rows, staged(held_keys, "like-rest"), threshold)

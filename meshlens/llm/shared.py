@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
+_BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,7 +58,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
+    """Sends this package to the executors, once for each Spark application, and bounds the bytes of a batch that goes to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
