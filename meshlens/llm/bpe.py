@@ -46,28 +46,23 @@ def byte_characters() -> list[str]:
     return [chr(b if b in stay else next(rest)) for b in range(256)]
 
 
-class Kept(dict):
-    """A dictionary that forgets: of two generations the older one goes when the newer one is full; what is used moves to the newer."""
+class Kept:
+    """What is remembered, in two generations: the older one goes when the newer one is full; what is used moves to the newer."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.old = most, {}
-
-    def __missing__(self, key: object) -> object:
-        value = self[key] = self.old[key]
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: object) -> object:
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.new[key] = value
         return value
 
-    def __contains__(self, key: object) -> bool:
-        if dict.__contains__(self, key):
-            return True
-        if key in self.old:
-            self[key] = self.old[key]
-            return True
-        return False
-
     def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
 
 
 def gathered(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,21 +91,21 @@ class BpeModel:
         self.sizes = self._sizes()
         self.valid: dict[tuple[str, str], bool] = {}
         self.formed: dict[str, tuple[int, str, str] | None] = {}
-        self.words: dict[str, bytes] = Kept(KEPT_WORDS)
-        self.runs: dict[bytes, bytes] = Kept(KEPT_RUNS)
-        self.nodes: dict[str, str] = Kept(KEPT_WORDS)
+        self.words = Kept(KEPT_WORDS)
+        self.runs = Kept(KEPT_RUNS)
+        self.nodes = Kept(KEPT_WORDS)
         self.spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _sizes(self) -> tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]:
-        """For the last two symbols of a prefix, and of a whole word: the lengths of the tokens that end so, longest first."""
+        """For the last symbols (three, or fewer) of a prefix, and of a whole word: the lengths of the tokens that can end so, longest first."""
         found: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
         for token in self.vocab:
             whole = bool(self.suffix) and token.endswith(self.suffix)
             body = token[: -len(self.suffix)] if whole else token
-            found[whole].setdefault(body[-2:], set()).add(len(body))
+            found[whole].setdefault(body[-3:], set()).add(len(body))
         for table in found:
-            for end in [e for e in table if len(e) == 2]:
-                table[end] |= table.get(end[-1], set())
+            for end in table:
+                table[end] |= {n for n in range(1, len(end)) if end[-n:] in table}
         return tuple({e: tuple(sorted(n, reverse=True)) for e, n in table.items()} for table in found)
 
     # -- texts to words
@@ -118,14 +113,13 @@ class BpeModel:
     def pieces(self, run: bytes) -> list[str | int]:
         """Words, as characters for bytes, and ids of special strings of one run without white space."""
         text = run.decode("utf-8", "replace")
-        if self.special is None or not any(a in text for a in self.added):
-            return self._words(text)
         out: list[str | int] = []
-        for part in self.special.split(text):
+        for part in self.special.split(text) if self.special else [text]:
             out += [self.added[part]] if part in self.added else self._words(part)
         return out
 
     def _words(self, text: str) -> list[str]:
+        """Words, as characters for bytes, of a text without special strings."""
         if not text.isascii():  # by the library's own tables of letters and numbers
             return [w for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         if text.isprintable():
@@ -183,58 +177,71 @@ class BpeModel:
     def last_token(self, word: str, end: int, lasts: list[str], tail: str = "") -> str:
         """The last token of word[:end], given those of its shorter prefixes (lasts[i] is that of the first i symbols)."""
         vocab, valid, sizes = self.vocab, self.valid, self.sizes[bool(tail)]
-        for size in sizes.get(word[max(0, end - 2) : end]) or sizes.get(word[end - 1 : end], ()):
+        some = None
+        for known in (3, 2, 1):
+            some = some or known <= end and sizes.get(word[end - known : end])
+        for size in some or ():
             if size > end:
                 continue
             token = word[end - size : end] + tail
             if token in vocab:
-                known = valid.get((lasts[end - size], token))
-                if known or known is None and self.follows(lasts[end - size], token):
+                met = valid.get((lasts[end - size], token))
+                if met or met is None and self.follows(lasts[end - size], token):
                     return token
         raise ValueError(f"no token ends {word[max(0, end - 50) : end]!r}")
 
     def encode_words(self, words: Iterable[str]) -> None:
         """Keeps the ids of each word. Sorted words are the trie's depth-first order: the path to the node at hand is a stack; nodes near the root stay from batch to batch."""
-        path, lasts, nodes, tail, width = "", [""], self.nodes, self.suffix, len(self.suffix)
+        path, lasts, tail, width = "", [""], self.suffix, len(self.suffix)
+        vocab, valid, follows, kept, sizes = self.vocab, self.valid, self.follows, self.nodes, self.sizes[0].get
         for word in sorted(words):
             same, inner = 0, len(word) - 1
-            for a, b in zip(path, word, strict=False):
-                if a != b:
-                    break
+            most = min(len(path), inner)
+            while same < most and path[same] == word[same]:
                 same += 1
-            same = min(same, inner)
             del lasts[same + 1 :]
-            for i in range(same + 1, len(word)):
-                if i > NODE_DEPTH:
-                    lasts.append(self.last_token(word, i, lasts))
+            for i in range(same + 1, inner + 1):
+                if i <= NODE_DEPTH and (last := kept.get(word[:i])) is not None:
+                    lasts.append(last)
                     continue
-                prefix = word[:i]
-                last = nodes[prefix] if prefix in nodes else None
-                if last is None:
-                    last = nodes[prefix] = self.last_token(word, i, lasts)
-                lasts.append(last)
+                # as last_token() does; here for speed
+                for size in i > 2 and sizes(word[i - 3 : i]) or i > 1 and sizes(word[i - 2 : i]) or sizes(word[i - 1 : i]):
+                    if size <= i and (token := word[i - size : i]) in vocab:
+                        before = lasts[i - size]
+                        met = valid.get((before, token))
+                        if met or met is None and follows(before, token):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[max(0, i - 50) : i]!r}")
+                lasts.append(token)
+                if i <= NODE_DEPTH:
+                    kept.new[word[:i]] = token
             path = word[:inner]
             token = self.last_token(word, len(word), lasts, tail)
-            at, ids = len(word) - len(token) + width, [self.vocab[token]]
+            at, ids = len(word) - len(token) + width, [vocab[token]]
             while at:
                 token = lasts[at]
-                ids.append(self.vocab[token])
+                ids.append(vocab[token])
                 at -= len(token)
-            self.words[word] = struct.pack(f"<{len(ids)}I", *ids[::-1])
+            self.words.new[word] = struct.pack(f"<{len(ids)}I", *ids[::-1])
 
     # -- whole texts
 
-    def learn(self, runs: list[bytes]) -> list[bytes]:
-        """Encodings of runs; those not kept yet are worked out."""
-        new = [(r, self.pieces(r)) for r in runs if r not in self.runs]
-        self.encode_words({w for _, p in new for w in p if isinstance(w, str) and w not in self.words})
-        get = self.words.__getitem__
-        for r, p in new:
-            if len(p) == 1 and isinstance(p[0], str):
-                self.runs[r] = get(p[0])
+    def learn(self, runs: list[bytes], special: bool) -> list[bytes]:
+        """Encodings of runs; those not kept yet are worked out. special: whether there are special strings in any."""
+        found = list(map(self.runs.get, runs))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        cut = [self.pieces(runs[i]) if special else self._words(runs[i].decode("utf-8", "replace")) for i in new]
+        known = self.words.get
+        self.encode_words({w for p in cut for w in p if type(w) is str and known(w) is None})
+        get = self.words.new.__getitem__
+        for i, p in zip(new, cut, strict=True):
+            if len(p) == 1 and type(p[0]) is str:
+                ids = get(p[0])
             else:
-                self.runs[r] = b"".join([get(w) if isinstance(w, str) else struct.pack("<I", w) for w in p])
-        return list(map(self.runs.__getitem__, runs))
+                ids = b"".join([get(w) if type(w) is str else struct.pack("<I", w) for w in p])
+            found[i] = self.runs.new[runs[i]] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more entry than texts).
@@ -246,7 +253,8 @@ class BpeModel:
         w = words_of(texts)
         which, at = w.numbered()
         raw = w.data.tobytes()
-        found = self.learn([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        special = any(a.encode() in raw for a in self.added)
+        found = self.learn([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], special)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(sizes) - sizes
         ids = gathered(np.frombuffer(b"".join(found), "<u4"), begin[which], sizes[which])
