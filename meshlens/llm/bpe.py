@@ -34,9 +34,9 @@ from meshlens.llm.shared import ship, slices, words_of
 #: Encodings of runs and words kept from batch to batch, and remembered pairs of tokens.
 KEPT_RUNS, KEPT_WORDS, KEPT_PAIRS = 120_000, 80_000, 150_000
 #: Bytes of text whose distinct words make one trie.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: Trie nodes up to this depth are kept as well.
-NODE_DEPTH = 8
+NODE_DEPTH = 4
 
 
 def byte_characters() -> list[str]:
@@ -231,13 +231,19 @@ class BpeModel:
         """Encodings of runs; those not kept yet are worked out. special: whether there are special strings in any."""
         found = list(map(self.runs.get, runs))
         new = [i for i, ids in enumerate(found) if ids is None]
-        cut = [self.pieces(runs[i]) if special else self._words(runs[i].decode("utf-8", "replace")) for i in new]
-        known = self.words.get
-        self.encode_words({w for p in cut for w in p if type(w) is str and known(w) is None})
+        # letters alone are one word; its characters stand for themselves
+        cut = [run.decode().lower() if run.isalpha() else self.pieces(run) if special else self._words(run.decode("utf-8", "replace")) for run in map(runs.__getitem__, new)]
+        known, wanted = self.words.get, set()
+        for p in cut:
+            if type(p) is str:
+                wanted.add(p)
+            else:
+                wanted.update([w for w in p if type(w) is str])
+        self.encode_words([w for w in wanted if known(w) is None])
         get = self.words.new.__getitem__
         for i, p in zip(new, cut, strict=True):
-            if len(p) == 1 and type(p[0]) is str:
-                ids = get(p[0])
+            if type(p) is str:
+                ids = get(p)
             else:
                 ids = b"".join([get(w) if type(w) is str else struct.pack("<I", w) for w in p])
             found[i] = self.runs.new[runs[i]] = ids
