@@ -137,5 +137,8 @@ def content_hash(content: Column) -> Column:
 def require_candidates(from_file: Column, spec: Column) -> Column:
     """Files that a relative require may name, best first."""
     folder = F.regexp_replace(from_file, r"[^/]*$", "")
-    joined = F.regexp_replace(F.regexp_replace(F.concat(folder, spec), r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
+    parts = F.filter(F.split(F.concat(folder, spec), "/"), lambda p: (p != "") & (p != "."))
+    # each .. takes the name before it along
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when((p == "..") & (F.size(held) > 0), F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.concat(held, F.array(p))))
+    joined = F.array_join(kept, "/")
     return F.transform(F.array(*map(F.lit, ("", ".js", ".ts", ".mjs", "/index.js", "/index.ts"))), lambda s: F.concat(joined, s))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.columns import canonical_path
+from meshlens.plans.staging import staged
 
 DYNAMIC = "<dynamic>"
 
@@ -17,11 +18,16 @@ def keyed_endpoints(endpoints: DataFrame) -> DataFrame:
     return keyed.groupBy("_method", "_path").agg(F.min_by(F.struct(*endpoints.columns), "ord").alias("ep"))
 
 
-def matched(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Calls with the endpoint (struct ep) that each reaches. The endpoint side has one row a route, so Spark broadcasts it while it is small."""
+def _met(calls: DataFrame, endpoints: DataFrame, how: str) -> DataFrame:
+    """The endpoint side has one row a route, so Spark broadcasts it while it is small."""
     known = calls.filter(F.col("url") != DYNAMIC).withColumn("pattern", canonical_path(F.col("url")))
     eps = keyed_endpoints(endpoints)
-    return known.join(eps, (known["method"] == eps["_method"]) & (known["pattern"] == eps["_path"])).drop("_method", "_path")
+    return known.join(eps, (known["method"] == eps["_method"]) & (known["pattern"] == eps["_path"]), how).drop("_method", "_path")
+
+
+def matched(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Calls with the endpoint (struct ep) that each reaches."""
+    return _met(calls, endpoints, "inner")
 
 
 def wires(found: DataFrame) -> DataFrame:
@@ -75,7 +81,8 @@ def request_fields(found: DataFrame) -> DataFrame:
 
 def match_flags(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Flags of the matcher, orphan calls downgraded under the discovery guard."""
-    found = matched(calls, endpoints)
+    every = staged(_met(calls, endpoints, "left"), "met")  # the one join that all but two kinds of flags read
+    found, missed = every.filter("ep is not null"), every.filter("ep is null").drop("ep")
     words = lambda c: F.concat_ws(", ", c)
     ep_at = F.concat("ep.file", F.lit(":"), F.col("ep.line").cast("string"))
     dynamic = calls.filter(F.col("url") == DYNAMIC).select(*flag(F.col("id"), "node", "unresolvable_url", "low", "contract", F.lit("The URL is built at run time and can't be traced"), at(), "Build the URL from literals"))
@@ -83,8 +90,8 @@ def match_flags(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     asked = request_fields(found)
     extra = asked.filter(F.size("extra") > 0).select(*flag(F.col("id"), "node", "request_contract_mismatch", "high", "contract", F.concat(F.lit("Sends fields that are not accepted: "), words("extra")), F.concat(at(), F.lit(" sends "), words("sent_fields"), F.lit("; "), ep_at, F.lit(" accepts "), words("ep.request_fields")), "Accept the fields or stop sending them"))
     need = asked.filter(F.size("lacking") > 0).select(*flag(F.col("id"), "node", "missing_request_field", "high", "contract", F.concat(F.lit("Omits required fields: "), words("lacking")), F.concat(at(), F.lit(" sends "), F.when(F.size("sent_fields") == 0, "(none)").otherwise(words("sent_fields")), F.lit("; required: "), words("ep.request_required")), "Send the required fields"))
-    stats = match_stats(calls, endpoints).select("matched", F.col("matched") + F.col("orphan_calls"), "discovery_guard").toDF("_m", "_t", "_g")
-    lost = orphans(calls, endpoints).join(stats)  # stats is one row
+    stats = every.agg(F.count("ep").alias("_m"), F.count("*").alias("_t")).withColumn("_g", guard(F.col("_m"), F.col("_t") - F.col("_m")))
+    lost = missed.join(stats)  # stats is one row
     note = F.when(F.col("_g"), F.concat(F.lit(" (low confidence: "), F.col("_m").cast("string"), F.lit(" of "), F.col("_t").cast("string"), F.lit(" calls match)"))).otherwise("")
     lost = lost.select(*flag(F.col("id"), "node", "orphan_call", F.when(F.col("_g"), "low").otherwise("high"), "contract", F.concat(F.lit("No route answers "), "method", F.lit(" "), "url", note), at(), "Add the route or correct the call"))
     dead = unused(endpoints, found).select(*flag(F.col("id"), "node", "unused_endpoint", "low", "contract", F.lit("No call site reaches this endpoint"), at(), "Remove it or name its consumer"))

@@ -45,7 +45,8 @@ def call_walk(handlers: DataFrame, resolved: DataFrame, queries: DataFrame, dept
     seen = front
     for _ in range(depth):
         onward = front.join(hops, "fqn").select("root", F.col("target").alias("fqn"), F.concat(F.lit("fn:"), "target").alias("at")).distinct()
-        front = onward.join(seen.select("root", "fqn"), ["root", "fqn"], "left_anti")
+        # written: later steps read it, and what came before, without working it out again
+        front = staged(onward.join(seen.select("root", "fqn"), ["root", "fqn"], "left_anti"), "walk")
         seen = seen.unionByName(front)
     left = seen.select("fqn", "at").distinct()
     call = left.join(hops, "fqn").select(F.col("at").alias("source"), F.concat(F.lit("fn:"), "target").alias("target"), F.lit("calls").alias("type")).withColumn("id", F.concat("source", F.lit("->"), "target"))

@@ -36,8 +36,8 @@ def searched(nodes: DataFrame, part: str, least_risk: float = 0) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, ident: str, k: int, seed: int = 45) -> DataFrame:
-    """k rows of each key by a seeded hash."""
-    w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), ident), ident)
+    """k rows of each key by a seeded digest, which any SQL engine has."""
+    w = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary")), ident)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 

@@ -76,13 +76,17 @@ EP_SQL = "endpoints(ord, id, method, raw_path, file, line, response_fields, requ
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(spark, sf_dir).drop("ts")
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k").cast("int")
     path = F.concat(F.lit("/api/users/"), F.col("user_id").cast("string"), F.lit("/"), "event_type")
     return e.select(
         F.col("event_id").alias("ord"), F.unix_millis("ts").alias("ts_ms"), F.when(F.col("event_type").isin("signup", "purchase"), "POST").otherwise("GET").alias("method"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("/api/users/{user_id}/"), "event_type")).alias("route"), path.alias("path"),
-        (F.col("value") * 10).alias("dur_ms"), F.when(k % 50 == 0, 500).otherwise(200).alias("status"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.expr("unix_seconds(ts) div 3600").cast("string")).alias("trace_id"),
+        (F.col("value") * 10).alias("dur_ms"), F.when(k % 50 == 0, 500).otherwise(200).alias("status"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.expr("unix_seconds(ts) div 3600").cast("string")).alias("trace_id"), "ts",
     )
 
 
@@ -328,7 +332,7 @@ def trace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each event: old attribute names for even ids, a doubled attribute, no method for one in eleven, a bad time for one in thirteen."""
-    o = observations(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts")), "ord")
+    o = _observed(spark, sf_dir)
     even = F.col("ord") % 2 == 0
     attr = lambda key, kind, value: F.struct(key.alias("key"), F.struct(*[(value if k == kind else F.lit(None).cast("string")).alias(k) for k in ("stringValue", "intValue")]).alias("value"))
     pick = lambda new, old: F.when(even, old).otherwise(new)
@@ -620,7 +624,7 @@ def wire_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.bundles(scored, views.rows_of(s, f))
 
 
-@query()
+@query(f"WITH {FLAG_SQL} SELECT code, id FROM (SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY md5('45|' || id), id) AS r FROM (SELECT code, owner_id || '|' || evidence AS id FROM flags)) WHERE r <= 5")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sample(flags(spark, sf_dir).select("code", F.concat_ws("|", "owner_id", "evidence").alias("id")), "code", "id", 5)
 

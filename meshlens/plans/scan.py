@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meshlens.functions import columns as fx
 from meshlens.operators import coverage, graph, match, runtime, score, traverse
@@ -119,8 +118,8 @@ def call_sites(facts: DataFrame, operations: DataFrame | None = None) -> DataFra
         found = found.join(ops, "operation_id", "left").filter("operation_id is null or _o is not null").withColumns({"method": F.coalesce("_o.method", "method"), "url": F.coalesce("_o.path", "url")}).drop("_o")
     shapes = tree.of_kind(facts, "type").groupBy(F.col("name").alias("response_type")).agg(F.max_by(F.struct("required", "optional"), F.struct("file", "_ord")).alias("_t"))
     found = found.join(shapes, "response_type", "left").withColumn("expected_fields", F.coalesce("_t.required", "expected_fields")).drop("_t")
-    order = F.row_number().over(Window.orderBy("file", "_ord")).cast("long")
-    return found.withColumn("ord", order).withColumn("id", F.concat(F.lit("call:"), "file", F.lit(":"), F.col("line").cast("string")))
+    # numbers that grow along the sorted partitions: no single task
+    return found.orderBy("file", "_ord").withColumn("ord", F.monotonically_increasing_id()).withColumn("id", F.concat(F.lit("call:"), "file", F.lit(":"), F.col("line").cast("string")))
 
 
 def static_flags(endpoints: DataFrame, facts: DataFrame, calls: DataFrame) -> DataFrame:
@@ -150,11 +149,11 @@ def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFr
     """The graph of a backend and a frontend tree. openapi: its operations and file name; lines: coverage; observations: server and client spans in the window."""
     py, js, sdl = (staged(tree.facts(tree.scan(spark, root, section)), f"facts-{section}") for root, section in ((backend, "python"), (backend, "script"), (backend, "schema")))
     web = js if frontend == backend else staged(tree.facts(tree.scan(spark, frontend, "script")), "facts-web")
-    found = graph.merge_nodes(python_endpoints(py).unionByName(script_endpoints(js)).unionByName(schema_endpoints(sdl)).unionByName(script_endpoints(web)).withColumn("ord", F.row_number().over(Window.orderBy("rank")).cast("long")).drop("rank"))
+    found = graph.merge_nodes(python_endpoints(py).unionByName(script_endpoints(js)).unionByName(schema_endpoints(sdl)).unionByName(script_endpoints(web)).orderBy("rank").withColumn("ord", F.monotonically_increasing_id()).drop("rank"))
     if openapi is not None:
         from meshlens.sources.specs import openapi_endpoints
 
-        found = graph.fill_gaps(found, openapi_endpoints(*openapi).withColumn("ord", F.lit(1 << 40)))
+        found = graph.fill_gaps(found, openapi_endpoints(*openapi).withColumn("ord", F.lit(1 << 62)))
     endpoints = staged(with_contracts(staged(found, "found"), py), "endpoints")
     calls = staged(call_sites(web, openapi[0] if openapi else None), "calls")
     fns = tree.of_kind(py, "function")

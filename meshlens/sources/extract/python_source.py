@@ -1,13 +1,16 @@
 """Facts of Python sources: routes, functions, models, imports and URL tables, one row each.
 
-parse() walks a syntax tree once with a stack of scopes and yields (kind, fact) pairs; tables.py lays them out as tables.
+A file is read twice. First its statements are listed once, each with the classes around it, and each function's body becomes
+a list of steps: bindings, branches, tries and calls, in the order of the text. Then rules, one for each kind of fact, go
+over these lists; none depends on another's results but for the router and alias tables.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from meshlens.functions.columns import AUTH_HINTS, HTTP_VERBS
 
@@ -15,246 +18,345 @@ from meshlens.functions.columns import AUTH_HINTS, HTTP_VERBS
 IO_NAMES = {"execute", "commit", "query", "get", "post", "put", "delete", "request", "fetch", "read", "write", "send"}
 MAPPED = {"Base", "Model", "DeclarativeBase"}
 PLAIN = {"int", "str", "float", "bool", "bytes", "dict", "list", "tuple", "set", "UUID", "date", "datetime", "Decimal", "Request", "BackgroundTasks", "Response"}
-METHOD_MARKS = {"require_GET": ["GET"], "require_POST": ["POST"], "require_safe": ["GET", "HEAD"]}
+METHOD_MARKS = {"require_GET": ["GET"], "require_POST": ["POST"], "require_safe": ["GET"]}
 Fact = tuple[str, dict]
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def leaf(node: ast.AST) -> str:
-    """The last name of a name, attribute or call."""
-    node = node.func if isinstance(node, ast.Call) else node
-    return node.attr if isinstance(node, ast.Attribute) else getattr(node, "id", "")
+# ---------------------------------------------------------------- reading names and literals
+
+
+def chain(node: ast.AST) -> list[str] | None:
+    """The names of a.b.c, or None if it doesn't begin with a name."""
+    match node:
+        case ast.Name(id=name):
+            return [name]
+        case ast.Attribute(value=inner, attr=name) if (before := chain(inner)) is not None:
+            return [*before, name]
+    return None
 
 
 def dotted(node: ast.AST) -> str | None:
-    names = []
-    while isinstance(node, ast.Attribute):
-        names.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else None
+    names = chain(node)
+    return ".".join(names) if names else None
 
 
-def spoken(node: ast.AST) -> str:
-    return ast.unparse(node).lower()
+def last_name(node: ast.AST) -> str:
+    match node:
+        case ast.Call(func=inner):
+            return last_name(inner)
+        case ast.Attribute(attr=name) | ast.Name(id=name):
+            return name
+    return ""
 
 
-def hints_auth(text: str) -> bool:
-    return any(h in text for h in AUTH_HINTS)
+def bare(node: ast.AST | None) -> str | None:
+    return node.id if isinstance(node, ast.Name) else None
 
 
-def literal(node: ast.AST | None) -> str | None:
+def constant(node: ast.AST | None) -> str | None:
     return str(node.value) if isinstance(node, ast.Constant) else None
 
 
-def parameters(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.arg]:
-    return [p for p in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs) if p.arg not in ("self", "cls")]
+def items(node: ast.AST | None) -> list[ast.expr]:
+    return node.elts if isinstance(node, (ast.List, ast.Tuple)) else []
+
+
+def call_of(node: ast.AST | None, *names: str) -> bool:
+    return isinstance(node, ast.Call) and last_name(node) in names
+
+
+def keywords(call: ast.Call) -> dict[str | None, ast.expr]:
+    return {k.arg: k.value for k in call.keywords}
 
 
-def depends_on_auth(node: ast.AST | None) -> bool:
-    """Whether a dependencies= list has a Depends of something that sounds like authentication."""
-    items = node.elts if isinstance(node, (ast.List, ast.Tuple)) else []
-    return any(isinstance(c, ast.Call) and leaf(c) == "Depends" and c.args and hints_auth(spoken(c.args[0])) for c in items)
+def sounds_like_auth(*nodes: ast.AST | str) -> bool:
+    text = " ".join(x if isinstance(x, str) else ast.unparse(x) for x in nodes).lower()
+    return any(hint in text for hint in AUTH_HINTS)
 
 
-def url_template(pattern: str) -> str:
+def auth_dependency(node: ast.AST | None) -> bool:
+    return call_of(node, "Depends") and bool(node.args) and sounds_like_auth(node.args[0])
+
+
+def auth_annotation(node: ast.AST | None) -> bool:
+    return isinstance(node, ast.Subscript) and "depends(" in ast.unparse(node).lower() and sounds_like_auth(node)
+
+
+def readable(pattern: str) -> str:
+    """A regular-expression route as a template."""
     named = re.sub(r"\(\?P<(\w+)>[^)]*\)", r"<\1>", pattern.removeprefix("^").removesuffix("$"))
     return re.sub(r"\([^)]*\)", "<p>", named).replace("\\/", "/").replace("\\.", ".")
 
 
-class Body(ast.NodeVisitor):
-    """What one function body does. origin maps a local name to the parameter that its value comes from."""
+# ---------------------------------------------------------------- the lists
 
-    def __init__(self, params: list[str]) -> None:
-        self.origin = {p: p for p in params}
-        self.calls, self.models, self.loose_io, self.raw_sql, self.forwards = [], [], [], [], []
-        self.sinks: set[str] = set()
-        self.complexity, self.depth, self.tries = 1, 0, False
 
-    def source(self, node: ast.AST) -> str | None:
-        while isinstance(node, (ast.Subscript, ast.Attribute)):
-            node = node.value
-        return self.origin.get(node.id) if isinstance(node, ast.Name) else None
+class Placed(NamedTuple):
+    node: ast.AST
+    classes: tuple[ast.ClassDef, ...]
 
-    def _bind(self, targets: list[ast.AST], value: ast.AST) -> None:
-        came = self.source(value)
-        for name in (t.id for t in targets if isinstance(t, ast.Name)):
-            if came:
-                self.origin[name] = came
-            else:
-                self.origin.pop(name, None)
 
-    def generic_visit(self, node: ast.AST) -> None:
+class Step(NamedTuple):
+    kind: str
+    node: ast.AST
+    guarded: bool
+
+
+KINDS = {ast.Assign: "bind", ast.AnnAssign: "bind", ast.If: "branch", ast.For: "branch", ast.While: "branch", ast.ExceptHandler: "branch", ast.BoolOp: "branch", ast.Try: "try", ast.Call: "call"}
+
+
+def placed(tree: ast.Module) -> list[Placed]:
+    """Every node, in the order of the text, with the classes around it."""
+    out: list[Placed] = []
+    todo: list[Placed] = [Placed(tree, ())]
+    while todo:
+        at = todo.pop()
+        out.append(at)
+        around = (*at.classes, at.node) if isinstance(at.node, ast.ClassDef) else at.classes
+        todo += [Placed(child, around) for child in reversed(list(ast.iter_child_nodes(at.node)))]
+    return out
+
+
+def steps(body: list[ast.stmt]) -> list[Step]:
+    out: list[Step] = []
+    todo = [(node, False) for node in reversed(body)]
+    while todo:
+        node, guarded = todo.pop()
+        if type(node) in KINDS:
+            out.append(Step(KINDS[type(node)], node, guarded))
+        inside = guarded or isinstance(node, ast.Try)
+        todo += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+    return out
+
+
+class Source(NamedTuple):
+    file: str
+    module: str
+    nodes: list[Placed]
+
+    def of(self, *kinds: type) -> Iterator[Placed]:
+        return (p for p in self.nodes if isinstance(p.node, kinds))
+
+    def calls_bound(self, *names: str) -> Iterator[tuple[list[str], ast.Call]]:
+        """(variables, call) of assignments from a call of one of the names."""
+        for p in self.of(ast.Assign):
+            if call_of(p.node.value, *names):
+                yield [t.id for t in p.node.targets if isinstance(t, ast.Name)], p.node.value
+
+
+def parameters(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.arg]:
+    every = [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs]
+    return [p for p in every if p.arg not in ("self", "cls")]
+
+
+# ---------------------------------------------------------------- rules on a body's steps
+
+
+def callee(call: ast.Call) -> str:
+    """name, object.name, or of deeper chains the last name."""
+    names = chain(call.func)
+    return ".".join(names) if names and len(names) <= 2 else last_name(call.func) if isinstance(call.func, ast.Attribute) else ""
+
+
+def named_calls(found: list[Step]) -> list[Step]:
+    return [s for s in found if s.kind == "call" and callee(s.node)]
+
+
+def complexity(found: list[Step]) -> int:
+    return 1 + sum(len(s.node.values) - 1 if isinstance(s.node, ast.BoolOp) else 1 for s in found if s.kind == "branch")
+
+
+def unguarded_io(found: list[Step]) -> list[dict]:
+    return [{"line": s.node.lineno, "name": last_name(s.node.func)} for s in named_calls(found) if not s.guarded and last_name(s.node.func) in IO_NAMES]
+
+
+def queried(found: list[Step]) -> list[str]:
+    asked = [s.node for s in named_calls(found) if isinstance(s.node.func, ast.Attribute) and s.node.func.attr == "query" and s.node.args]
+    return [name for name in (bare(call.args[0]) for call in asked) if name]
+
+
+def put_together(call: ast.Call) -> ast.expr | None:
+    """The SQL text of an execute call, if it is made from values."""
+    text = call.args[0] if last_name(call.func) in ("execute", "executemany") and call.args else None
+    return text if isinstance(text, (ast.JoinedStr, ast.BinOp)) else None
+
+
+def raw_sql(found: list[Step]) -> list[dict]:
+    texts = [(s.node, put_together(s.node)) for s in named_calls(found)]
+    return [{"line": call.lineno, "snippet": ast.unparse(text)[:80]} for call, text in texts if text is not None]
+
+
+def flow(found: list[Step], params: list[str]) -> tuple[list[str], list[dict]]:
+    """Parameters that reach SQL made from values, and calls that are handed parameters.
+
+    held says which parameter a name's value comes from; a name bound to anything else is forgotten.
+    """
+    held = {p: p for p in params}
+
+    def comes_from(node: ast.AST | None) -> str | None:
         match node:
-            case ast.Assign():
-                self._bind(node.targets, node.value)
-            case ast.AnnAssign(value=ast.AST()):
-                self._bind([node.target], node.value)
-            case ast.If() | ast.For() | ast.While() | ast.ExceptHandler():
-                self.complexity += 1
-            case ast.BoolOp():
-                self.complexity += len(node.values) - 1
-            case ast.Call():
-                self._call(node)
-        guarded = isinstance(node, ast.Try)
-        self.tries |= guarded
-        self.depth += guarded
-        super().generic_visit(node)
-        self.depth -= guarded
-
-    def _call(self, node: ast.Call) -> None:
-        f, name = node.func, leaf(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else ""
-        if not name:
-            return
-        spelled = f"{f.value.id}.{name}" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else name
-        self.calls.append(spelled)
-        first = node.args[0] if node.args else None
-        if isinstance(f, ast.Attribute) and name == "query" and isinstance(first, ast.Name):
-            self.models.append(first.id)
-        if name in IO_NAMES and not self.depth:
-            self.loose_io.append({"line": node.lineno, "name": name})
-        if name in ("execute", "executemany") and isinstance(first, (ast.JoinedStr, ast.BinOp)):
-            self.raw_sql.append({"line": node.lineno, "snippet": ast.unparse(first)[:80]})
-            self.sinks |= {self.origin[x.id] for x in ast.walk(first) if isinstance(x, ast.Name) and x.id in self.origin}
-        fed = [self.source(a) for a in node.args]
-        if any(fed):
-            self.forwards.append({"callee": spelled, "arg_params": fed})
-
-
-class Module(ast.NodeVisitor):
-    def __init__(self, file: str) -> None:
-        self.file = file
-        self.package = file.endswith("__init__.py")
-        self.name = re.sub(r"(^|\.)__init__$", "", file.removesuffix(".py").replace("/", "."))
-        self.facts: list[Fact] = []
-        self.prefixes: dict[str, str] = {}
-        self.authed: set[str] = set()
-        self.aliases: set[str] = set()
-        self.contracts: set[str] = set()
-        self.classes: list[tuple[str, bool, str | None]] = []
-
-    def add(self, kind: str, **fact: object) -> None:
-        self.facts.append((kind, fact))
-
-    def qualified(self, name: str) -> str:
-        return f"{self.name}.{name}" if self.name else name
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            root = a.name.partition(".")[0]
-            self.add("import", local=a.asname or root, fqn=a.name if a.asname else root)
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        base = node.module or ""
-        if node.level:
-            parts = self.name.split(".") if self.name else []
-            up = node.level - self.package
-            if up > len(parts):
-                return
-            base = ".".join([*parts[: len(parts) - up], *([node.module] if node.module else [])])
-        for a in node.names:
-            if base and a.name != "*":
-                self.add("import", local=a.asname or a.name, fqn=f"{base}.{a.name}")
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        names = [t.id for t in node.targets if isinstance(t, ast.Name)]
-        if isinstance(node.value, ast.Call) and leaf(node.value) in ("APIRouter", "Blueprint"):
-            given = {k.arg: k.value for k in node.value.keywords}
-            prefix = literal(given.get("prefix")) or literal(given.get("url_prefix")) or ""
-            self.prefixes |= dict.fromkeys(names, prefix)
-            if depends_on_auth(given.get("dependencies")):
-                self.authed |= set(names)
-        elif isinstance(node.value, ast.Subscript):
-            text = spoken(node.value)
-            if text.startswith("annotated[") and "depends(" in text and hints_auth(text):
-                self.aliases |= set(names)
-                for n in names:
-                    self.add("auth_alias", name=n)
-        if "urlpatterns" in names:
-            self._urls(node.value)
-        self.generic_visit(node)
-
-    def visit_AugAssign(self, node: ast.AugAssign) -> None:
-        if getattr(node.target, "id", "") == "urlpatterns":
-            self._urls(node.value)
-        self.generic_visit(node)
-
-    def _urls(self, value: ast.AST) -> None:
+            case ast.Name(id=name):
+                return held.get(name)
+            case ast.Subscript(value=inner) | ast.Attribute(value=inner):
+                return comes_from(inner)
+        return None
+
+    sinks, handed = set(), []
+    for s in found:
+        if s.kind == "bind" and s.node.value is not None:
+            came = comes_from(s.node.value)
+            targets = s.node.targets if isinstance(s.node, ast.Assign) else [s.node.target]
+            held |= {t.id: came for t in targets if isinstance(t, ast.Name)}
+        elif s.kind == "call" and callee(s.node):
+            text = put_together(s.node)
+            sinks |= {held[x.id] for x in ast.walk(text) if isinstance(x, ast.Name) and held.get(x.id)} if text is not None else set()
+            fed = [comes_from(a) for a in s.node.args]
+            if any(fed):
+                handed.append({"callee": callee(s.node), "arg_params": fed})
+    return sorted(sinks), handed
+
+
+# ---------------------------------------------------------------- rules on a file
+
+
+def imports(src: Source) -> Iterator[Fact]:
+    here = src.module.split(".") if src.module else []
+    package = here if src.file.endswith("__init__.py") else here[:-1]
+    for p in src.of(ast.Import, ast.ImportFrom):
+        if isinstance(p.node, ast.Import):
+            for a in p.node.names:
+                bound, root = a.asname, a.name.partition(".")[0]
+                yield "import", {"local": bound or root, "fqn": a.name if bound else root}
+            continue
+        up = max(p.node.level - 1, 0)
+        if p.node.level > len(here) + src.file.endswith("__init__.py"):
+            continue  # climbs out of the tree
+        from_ = [*(package[: len(package) - up] if p.node.level else []), *([p.node.module] if p.node.module else [])]
+        for a in p.node.names:
+            if from_ and a.name != "*":
+                yield "import", {"local": a.asname or a.name, "fqn": ".".join([*from_, a.name])}
+
+
+def aliases(src: Source) -> Iterator[Fact]:
+    for p in src.of(ast.Assign):
+        if auth_annotation(p.node.value) and ast.unparse(p.node.value).lower().startswith("annotated["):
+            yield from (("auth_alias", {"name": t.id}) for t in p.node.targets if isinstance(t, ast.Name))
+
+
+def url_tables(src: Source) -> Iterator[Fact]:
+    def entries(value: ast.AST) -> Iterator[ast.Call]:
         if isinstance(value, ast.BinOp):
-            self._urls(value.left)
-            self._urls(value.right)
-        for item in value.elts if isinstance(value, (ast.List, ast.Tuple)) else []:
-            if not (isinstance(item, ast.Call) and leaf(item) in ("path", "re_path", "url") and len(item.args) > 1 and literal(item.args[0]) is not None):
-                continue
-            pattern, view = literal(item.args[0]), item.args[1]
-            pattern = pattern if leaf(item) == "path" else url_template(pattern)
-            called = isinstance(view, ast.Call)
-            include = literal(view.args[0]) if called and leaf(view) == "include" and view.args else None
-            by_class = called and leaf(view) == "as_view"
-            named = dotted(view.func.value) if by_class else None if called else dotted(view)
-            if include or named:
-                self.add("url", pattern=pattern, include=include, view=named, by_class=by_class, line=item.lineno)
-
-    def visit_Expr(self, node: ast.Expr) -> None:
-        c = node.value
-        if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr == "register" and len(c.args) > 1 and literal(c.args[0]) is not None and dotted(c.args[1]):
-            self.add("viewset", prefix=literal(c.args[0]).strip("/"), view=dotted(c.args[1]), line=node.lineno)
-        self.generic_visit(node)
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        bases, marks = [leaf(b) for b in node.bases], [spoken(d) for d in node.decorator_list]
-        if MAPPED & set(bases):
-            self.add("orm_model", name=node.name, line=node.lineno)
-        if "BaseModel" in bases or self.contracts & set(bases):
-            self.contracts.add(node.name)
-            own = [s for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)]
-            optional = lambda s: s.value is not None or (t := ast.unparse(s.annotation)).startswith("Optional[") or "None" in t.split("|")
-            self.add("contract", name=node.name, bases=bases, fields=[s.target.id for s in own], required=[s.target.id for s in own if not optional(s)])
-        root = node.name.upper() if node.name in ("Query", "Mutation") and ("ObjectType" in bases or any("strawberry.type" in m for m in marks)) else None
-        self.classes.append((node.name, hints_auth(" ".join([*bases, *marks]).lower()), root))
-        self.generic_visit(node)
-        self.classes.pop()
-
-    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        params, marks = parameters(node), [spoken(d) for d in node.decorator_list]
-        qname = ".".join([*(c for c, _, _ in self.classes), node.name])
-        body = Body([p.arg for p in params])
-        for s in node.body:
-            body.visit(s)
-        methods = [m for d in node.decorator_list for m in METHOD_MARKS.get(leaf(d), [])]
-        listed = [d for d in node.decorator_list if isinstance(d, ast.Call) and leaf(d) in ("require_http_methods", "api_view") and d.args and isinstance(d.args[0], (ast.List, ast.Tuple))]
-        methods += [e.upper() for d in listed for e in map(literal, d.args[0].elts) if e]
-        fqn = self.qualified(qname)
-        self.add("function", fqn=fqn, qname=qname, module=self.name, line=node.lineno, end_line=node.end_lineno or node.lineno, params=[p.arg for p in params], calls=body.calls, has_try=body.tries, loose_io=body.loose_io, raw_sql=body.raw_sql, complexity=body.complexity, orm_models=body.models, sql_sink_params=sorted(body.sinks), forwards=body.forwards, methods=methods, auth_hint=hints_auth(" ".join(marks)) or any(a for _, a, _ in self.classes))
-        if self.classes and self.classes[-1][2]:
-            resolved = node.name.removeprefix("resolve_") if node.name.startswith("resolve_") else node.name if any("strawberry.field" in m for m in marks) else None
-            if resolved:
-                head, *rest = resolved.split("_")
-                self.add("resolver", kind=self.classes[-1][2], field=head + "".join(map(str.title, rest)), handler=fqn, line=node.lineno)
-        for d in node.decorator_list:
-            self._route(d, fqn, node, params, marks)
-        self.generic_visit(node)
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def _route(self, d: ast.AST, fqn: str, node: ast.FunctionDef, params: list[ast.arg], marks: list[str]) -> None:
-        if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and literal(d.args[0]) is not None):
-            return
-        verb, owner, given = d.func.attr, getattr(d.func.value, "id", ""), {k.arg: k.value for k in d.keywords}
-        if verb not in (*HTTP_VERBS, "route"):
-            return
-        types = [p.annotation.id for p in params if isinstance(p.annotation, ast.Name) and p.annotation.id not in PLAIN]
-        annotated = [spoken(p.annotation) for p in params if isinstance(p.annotation, ast.Subscript)]
-        defaults = [x for x in (*node.args.defaults, *node.args.kw_defaults) if isinstance(x, ast.Call) and leaf(x) == "Depends" and x.args]
-        authed = any(hints_auth(spoken(x.args[0])) for x in defaults) or bool(self.aliases & set(types)) or any("depends(" in t and hints_auth(t) for t in annotated) or hints_auth(" ".join(marks))
-        fact = {"path": literal(d.args[0]), "prefix": self.prefixes.get(owner, ""), "handler": fqn, "line": node.lineno, "end_line": node.end_lineno}
-        if verb == "route":
-            listed = given.get("methods")
-            verbs = [e for e in map(literal, listed.elts) if e] if isinstance(listed, (ast.List, ast.Tuple)) else ["GET"]
-            for v in verbs:
-                self.add("route", method=v.upper(), framework="flask", has_auth=authed, response_model=None, request_model=None, annotations=[], **fact)
-            return
-        named = lambda x: x.id if isinstance(x, ast.Name) else None
-        authed = authed or owner in self.authed or depends_on_auth(given.get("dependencies"))
-        self.add("route", method=verb.upper(), framework="fastapi", has_auth=authed, response_model=named(given.get("response_model")) or named(node.returns), request_model=types[0] if types else None, annotations=types, **fact)
+            yield from entries(value.left)
+            yield from entries(value.right)
+        yield from (c for c in items(value) if call_of(c, "path", "re_path", "url") and len(c.args) > 1 and constant(c.args[0]) is not None)
+
+    for p in src.of(ast.Assign, ast.AugAssign):
+        targets = p.node.targets if isinstance(p.node, ast.Assign) else [p.node.target]
+        for c in entries(p.node.value) if "urlpatterns" in map(bare, targets) else ():
+            given, view = constant(c.args[0]), c.args[1]
+            fact = {"pattern": given if last_name(c) == "path" else readable(given), "include": None, "view": None, "by_class": call_of(view, "as_view"), "line": c.lineno}
+            if call_of(view, "include"):
+                fact["include"] = constant(view.args[0]) if view.args else None
+            elif fact["by_class"]:
+                fact["view"] = dotted(view.func.value) if isinstance(view.func, ast.Attribute) else None
+            else:
+                fact["view"] = dotted(view)
+            if fact["include"] or fact["view"]:
+                yield "url", fact
+
+
+def viewsets(src: Source) -> Iterator[Fact]:
+    for p in src.of(ast.Expr):
+        match p.node.value:
+            case ast.Call(func=ast.Attribute(attr="register"), args=[ast.Constant(value=prefix), view, *_]) if dotted(view):
+                yield "viewset", {"prefix": str(prefix).strip("/"), "view": dotted(view), "line": p.node.lineno}
+
+
+def may_be_missing(field: ast.AnnAssign) -> bool:
+    kind = ast.unparse(field.annotation)
+    return field.value is not None or kind.startswith("Optional[") or "None" in kind.split("|")
+
+
+def classes(src: Source) -> Iterator[Fact]:
+    models = {"BaseModel"}
+    for p in src.of(ast.ClassDef):
+        bases = list(map(last_name, p.node.bases))
+        if not MAPPED.isdisjoint(bases):
+            yield "orm_model", {"name": p.node.name, "line": p.node.lineno}
+        if not models.isdisjoint(bases):
+            models.add(p.node.name)
+            fields = {f.target.id: f for f in p.node.body if isinstance(f, ast.AnnAssign) and isinstance(f.target, ast.Name)}
+            yield "contract", {"name": p.node.name, "bases": bases, "fields": list(fields), "required": [n for n, f in fields.items() if not may_be_missing(f)]}
+
+
+def qualified(p: Placed) -> str:
+    return ".".join([*(c.name for c in p.classes), p.node.name])
+
+
+def functions(src: Source) -> Iterator[Fact]:
+    for p in src.of(*FUNCTIONS):
+        fn, found, names = p.node, steps(p.node.body), [x.arg for x in parameters(p.node)]
+        methods = [m for d in fn.decorator_list for m in METHOD_MARKS.get(last_name(d), [])]
+        for d in fn.decorator_list:
+            if call_of(d, "require_http_methods", "api_view") and d.args:
+                methods += [m.upper() for m in map(constant, items(d.args[0])) if m]
+        sinks, handed = flow(found, names)
+        around = any(sounds_like_auth(*map(last_name, c.bases), *c.decorator_list) for c in p.classes)
+        yield "function", {
+            "fqn": ".".join(filter(None, [src.module, qualified(p)])), "qname": qualified(p), "module": src.module, "line": fn.lineno, "end_line": fn.end_lineno or fn.lineno, "params": names,
+            "calls": [callee(s.node) for s in named_calls(found)], "has_try": any(s.kind == "try" for s in found), "loose_io": unguarded_io(found), "raw_sql": raw_sql(found), "complexity": complexity(found), "orm_models": queried(found),
+            "sql_sink_params": sinks, "forwards": handed, "methods": methods, "auth_hint": around or sounds_like_auth(*fn.decorator_list),
+        }
+
+
+def resolvers(src: Source) -> Iterator[Fact]:
+    for p in src.of(*FUNCTIONS):
+        owner = p.classes[-1] if p.classes else None
+        if owner is None or owner.name not in ("Query", "Mutation"):
+            continue
+        marked = lambda decorators, mark: any(mark in ast.unparse(d).lower() for d in decorators)
+        if "ObjectType" not in map(last_name, owner.bases) and not marked(owner.decorator_list, "strawberry.type"):
+            continue
+        name = p.node.name.removeprefix("resolve_")
+        if name != p.node.name or marked(p.node.decorator_list, "strawberry.field"):
+            head, *rest = name.split("_")
+            yield "resolver", {"kind": owner.name.upper(), "field": head + "".join(map(str.title, rest)), "handler": ".".join(filter(None, [src.module, qualified(p)])), "line": p.node.lineno}
+
+
+def routes(src: Source) -> Iterator[Fact]:
+    prefixes, authed = {}, set()
+    for names, call in src.calls_bound("APIRouter", "Blueprint"):
+        given = keywords(call)
+        prefixes |= dict.fromkeys(names, constant(given.get("prefix")) or constant(given.get("url_prefix")) or "")
+        if any(map(auth_dependency, items(given.get("dependencies")))):
+            authed |= set(names)
+    own_aliases = {fact["name"] for _, fact in aliases(src)}
+    for p in src.of(*FUNCTIONS):
+        fn = p.node
+        kinds = [x.annotation for x in parameters(fn)]
+        types = [k for k in map(bare, kinds) if k and k not in PLAIN]
+        defaults = [*fn.args.defaults, *fn.args.kw_defaults]
+        guarded = any(map(auth_dependency, defaults)) or any(map(auth_annotation, kinds)) or not own_aliases.isdisjoint(types) or sounds_like_auth(*fn.decorator_list)
+        for d in fn.decorator_list:
+            match d:
+                case ast.Call(func=ast.Attribute(attr=verb, value=owner), args=[ast.Constant(value=path), *_]) if verb == "route" or verb in HTTP_VERBS:
+                    pass
+                case _:
+                    continue
+            given = keywords(d)
+            fact = {"path": str(path), "prefix": prefixes.get(bare(owner), ""), "handler": ".".join(filter(None, [src.module, qualified(p)])), "line": fn.lineno, "end_line": fn.end_lineno}
+            if verb == "route":
+                listed = given.get("methods")
+                for method in filter(None, map(constant, items(listed))) if isinstance(listed, (ast.List, ast.Tuple)) else ["GET"]:
+                    yield "route", fact | {"method": method.upper(), "framework": "flask", "has_auth": guarded, "response_model": None, "request_model": None, "annotations": []}
+            else:
+                behind = guarded or bare(owner) in authed or any(map(auth_dependency, items(given.get("dependencies"))))
+                yield "route", fact | {"method": verb.upper(), "framework": "fastapi", "has_auth": behind, "response_model": bare(given.get("response_model")) or bare(fn.returns), "request_model": next(iter(types), None), "annotations": types}
+
+
+#: A further kind of fact is one more rule here, and its shape in sources.tree.
+RULES: list[Callable[[Source], Iterator[Fact]]] = [imports, aliases, url_tables, viewsets, classes, functions, resolvers, routes]
 
 
 def parse(file: str, source: str) -> Iterator[Fact]:
@@ -263,6 +365,7 @@ def parse(file: str, source: str) -> Iterator[Fact]:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return
-    found = Module(file)
-    found.visit(tree)
-    yield from found.facts
+    module = re.sub(r"(^|\.)__init__$", "", file.removesuffix(".py").replace("/", "."))
+    src = Source(file, module, placed(tree))
+    for rule in RULES:
+        yield from rule(src)

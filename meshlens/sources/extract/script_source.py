@@ -8,6 +8,7 @@ expression literals that hold unbalanced brackets can hide facts after them.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -24,7 +25,7 @@ HOOKS = {"useQuery", "useMutation", "useInfiniteQuery", "useSuspenseQuery"}
 TRPC_VERBS = {"useQuery": "QUERY", "useInfiniteQuery": "QUERY", "useSuspenseQuery": "QUERY", "query": "QUERY", "useMutation": "MUTATION", "mutate": "MUTATION", "mutation": "MUTATION", "useSubscription": "SUBSCRIPTION", "subscription": "SUBSCRIPTION"}
 CLIENT = re.compile(r"(axios|api\w*|client|http)\Z", re.I)
 OWN_CLIENT = re.compile(r"(api\w*|client|http)\Z", re.I)
-AUTH = re.compile(r"auth|token|user|login|permission|jwt|session|protect|guard", re.I)
+AUTH = re.compile(r"auth|login|jwt|passport|session|permission|protect|guard|verify", re.I)
 BODY_METHODS = {"POST", "PUT", "PATCH"}
 
 
@@ -32,6 +33,7 @@ class Script:
     def __init__(self, source: str) -> None:
         found = [m for m in TOKEN.finditer(source) if not m[0].startswith(("//", "/*"))]
         self.source, self.at = source, [m.start() for m in found]
+        self.breaks = [m.start() for m in re.finditer("\n", source)]
         self.text = [m[0] for m in found]
         self.pair: dict[int, int] = {}
         self.parent = [-1] * len(found)
@@ -48,7 +50,11 @@ class Script:
         return self.text[i] if 0 <= i < len(self.text) else ""
 
     def line(self, i: int) -> int:
-        return self.source.count("\n", 0, self.at[i]) + 1
+        return bisect.bisect_left(self.breaks, self.at[i]) + 1
+
+    def code(self) -> str:
+        """The source without its comments."""
+        return " ".join(self.text)
 
     def close(self, i: int) -> int:
         return self.pair.get(i, len(self.text) - 1)
@@ -362,10 +368,10 @@ def express(s: Script) -> Iterator[Fact]:
 def file_routes(s: Script, kind: str) -> Iterator[Fact]:
     """Methods that a file under pages/api or app/api serves."""
     if kind == "pages":
-        found = re.findall(r"method\s*={2,3}\s*['\"](\w+)['\"]|case\s+['\"](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)['\"]", s.source)
+        found = re.findall(r"method\s*={2,3}\s*['\"](\w+)['\"]|case\s+['\"](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)['\"]", s.code())
         methods = sorted({(a or b).upper() for a, b in found}) or ["GET"]
     else:
-        methods = sorted({m for m in re.findall(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b", s.source)})
+        methods = sorted({m for m in re.findall(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b", s.code())})
     for m in methods:
         yield "file_route", {"method": m}
 

@@ -16,6 +16,7 @@ SKIPPED = {"python": (".git", "node_modules", "__pycache__", ".venv", "venv", "m
 GLOBS = {"python": "*.py", "script": "*.{js,jsx,mjs,ts,tsx}", "schema": "*.{graphql,gql}"}
 #: Shapes of facts by kind.
 FACTS = {
+    "failed": "error string",
     "import": "local string, fqn string",
     "auth_alias": "name string",
     "url": "pattern string, include string, view string, by_class boolean, line int",
@@ -67,7 +68,7 @@ def _parse(section: str, path: str, text: str) -> Iterator[tuple[str, dict]]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """(section, path, sha, ord, kind, fact) of files; a file that can't be parsed has no facts. Files are dealt out anew: many small ones come in few splits."""
+    """(section, path, sha, ord, kind, fact) of files; one that can't be read has the one fact ``failed``. Files are dealt out anew: many small ones come in few splits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,8 +76,8 @@ def facts(files: DataFrame) -> DataFrame:
             for r in batch.itertuples():
                 try:
                     found = list(_parse(r.section, r.path, bytes(r.content).decode("utf-8", "replace")))
-                except (RecursionError, IndexError, KeyError):
-                    found = []
+                except (RecursionError, IndexError, KeyError, MemoryError) as e:
+                    found = [("failed", {"error": type(e).__name__})]
                 rows += [(r.section, r.path, r.sha, k, kind, json.dumps(fact)) for k, (kind, fact) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["section", "path", "sha", "ord", "kind", "fact"])
 

@@ -40,3 +40,8 @@ def test_names(spark):
     assert one(spark, "api", lambda c: fx.join_path(F.lit("/v1/"), c)) == "/v1/api"
     up = spark.createDataFrame([("a.b.c", False, 2, "x"), ("a.b", True, 1, None), ("a", False, 3, "x")], "m string, p boolean, l int, t string")
     assert [r[0] for r in up.select(fx.relative_module(F.col("m"), F.col("p"), F.col("l"), F.col("t"))).collect()] == ["a.x", "a.b", None]
+
+
+def test_require_candidates_go_up(spark):
+    df = spark.createDataFrame([("a/b/c.js", "../../d"), ("a/b/c.js", "./x/../y"), ("c.js", "./z"), ("a/b/c.js", ".././q")], "f string, s string")
+    assert [r[0] for r in df.select(fx.require_candidates(F.col("f"), F.col("s"))[1]).collect()] == ["d.js", "a/b/y.js", "z.js", "a/q.js"]

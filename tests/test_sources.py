@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlens.plans import scan
-from meshlens.sources import config, otlp, specs
+from meshlens.sources import config, otlp, specs, tree
 from meshlens.sources.extract import graphql_source, python_source, script_source
 from meshlens.streaming import http_receiver, spans
 
@@ -72,6 +72,40 @@ def test_graphql():
     assert [(f["kind"], f["field"]) for _, f in graphql_source.schema_fields("extend type Mutation {\n  # no: x\n  add(x: Int): T\n  drop: T\n}\ntype Other { no: Int }")] == [("MUTATION", "add"), ("MUTATION", "drop")]
 
 
+def test_graphql_descriptions_and_strings():
+    schema = 'type Query {\n  "See also: docs"\n  user(id: ID = "a: b"): User\n  """\n  more: words { x: y }\n  """\n  all: [User!]! @old(reason: "no: more")\n}\nextend type Subscription @x(y: 1) { tick: Int }\ntype User { id: ID }'
+    assert [(f["kind"], f["field"]) for _, f in graphql_source.schema_fields(schema)] == [("QUERY", "user"), ("QUERY", "all"), ("SUBSCRIPTION", "tick")]
+    assert graphql_source.document_fields('mutation { a: add(x: "}") { id } ... on Mutation { drop } last }') == ("MUTATION", ["add", "last"])
+    assert graphql_source.document_fields("fragment F on Query { x }\nquery { y }") == ("QUERY", ["y"])
+
+
+def test_python_bodies():
+    src = "def f(a, b, c):\n    x = a['k'].v\n    b = 1\n    try:\n        db.execute(f'{x} {b}')\n    finally:\n        g(x, b, 2)\n    if a and b or c:\n        session.query(User).get(1)\n    a.b.run(c)\n"
+    (fact,) = [f for k, f in python_source.parse("m.py", src) if k == "function"]
+    assert (fact["sql_sink_params"], fact["complexity"], fact["orm_models"], fact["has_try"]) == (["a"], 4, ["User"], True)
+    assert fact["calls"] == ["db.execute", "g", "get", "session.query", "run"]
+    assert fact["forwards"] == [{"callee": "g", "arg_params": ["a", None, None]}, {"callee": "run", "arg_params": ["c"]}]
+    assert [x["name"] for x in fact["loose_io"]] == ["get", "query"]
+    views = list(python_source.parse("v.py", "@require_safe\ndef v(request): pass\n@api_view(['get', 'POST'])\ndef w(request): pass\n"))
+    assert [f["methods"] for k, f in views if k == "function"] == [["GET"], ["GET", "POST"]]
+    found = list(python_source.parse("a/b/__init__.py", "from . import x\nfrom ..c import y as z\nfrom ....d import w\nimport p.q, r.s as t\nfrom u import *"))
+    assert [(f["local"], f["fqn"]) for k, f in found if k == "import"] == [("x", "a.b.x"), ("z", "a.c.y"), ("p", "p"), ("t", "r.s")]
+
+
+def test_express_auth_and_comments():
+    text = "const express = require('express');\nconst r = express.Router();\nr.post('/a', verifyRequest, h);\nr.post('/b', loadUser, h);\n"
+    assert [(f["path"], f["has_auth"], f["line"]) for k, f in script_source.express(script_source.Script(text)) if k == "express_route"] == [("/a", True, 3), ("/b", False, 4)]
+    routes = script_source.Script("// export function GET() {}\n/* export const PUT = 1 */\nexport async function POST(req) {}\nexport const DELETE = h;")
+    assert [f["method"] for _, f in script_source.file_routes(routes, "app")] == ["DELETE", "POST"]
+
+
+def test_files_that_fail_are_told(spark, tmp_path):
+    (tmp_path / "deep.py").write_text("x = " + "-" * 100_000 + "1\n")
+    (tmp_path / "good.py").write_text("def f(): pass\n")
+    found = tree.facts(tree.scan(spark, str(tmp_path), "python")).select("path", "kind").collect()
+    assert ("good.py", "function") in [tuple(r) for r in found] and {r["kind"] for r in found if r["path"] == "deep.py"} <= {"failed"}
+
+
 def span(kind, **attrs):
     return {"kind": kind, "startTimeUnixNano": "1000000000", "endTimeUnixNano": "1012340000", "traceId": "t", "attributes": [{"key": k, "value": {"intValue": str(v)} if isinstance(v, int) else {"stringValue": v}} for k, v in attrs.items()]}
 
