@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.llm.components import connected, row_key
-from meshlens.llm.shared import pooled, ship, slices, staged, words_of
+from meshlens.llm.shared import frequent, pooled, ship, slices, staged, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a hub that one task compares at a time.
@@ -65,8 +65,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_shingles(docs: DataFrame, most: int = COMMON) -> np.ndarray:
     """Shingles of many texts, rarest first."""
-    found = docs.select("text").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return np.array([r["shingle"] for r in found.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1], np.int64).view(np.uint64)
+    counts = staged(docs.select("text").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "like-common")
+    found = frequent(counts, most)[0].toArrow().sort_by([("n", "ascending"), ("shingle", "ascending")])
+    return found.column("shingle").to_numpy().view(np.uint64)
 
 
 def prefix(own: np.ndarray, common: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.llm.shared import Words, ship, slices, staged, words_of
+from meshlens.llm.shared import frequent as frequent_rows
 
 FREQUENT, CLASSES, GROUP, WIDTH, CONTEXT, CHUNK = 768, 256, 32, 16, (-2, -1, 1, 2), 1 << 13
 SIZE = FREQUENT + CLASSES
@@ -204,8 +205,8 @@ def vocabulary(docs: DataFrame, most: int = BROADCAST) -> tuple[Model, DataFrame
     spelled = every.filter("spelled").select("word", "n").toArrow()  # one row a pair of bytes
     pairs[spelled.column("word").to_numpy()] += spelled.column("n").to_numpy()
     pairs = pairs.reshape(EDGE + 1, EDGE + 1)
-    ranked = counts.orderBy(F.desc("n"), "word")
-    names = np.array([r["word"] for r in ranked.limit(FREQUENT).collect()], np.int64)
+    top = frequent_rows(counts, FREQUENT, FREQUENT)[0].orderBy(F.desc("n"), "word").limit(FREQUENT)
+    names = np.array([r["word"] for r in top.collect()], np.int64)
     number = np.argsort(names.view(np.uint64))
     frequent = names.view(np.uint64)[number]
     rest = counts.filter(~F.col("word").isin(names.tolist())).withColumn("k", F.col("word").bitwiseAND(CLASSES - 1))
@@ -215,12 +216,11 @@ def vocabulary(docs: DataFrame, most: int = BROADCAST) -> tuple[Model, DataFrame
         total[r["k"]] += r["n"]
         below[r["k"]] = r["below"]
     shares = rest.filter(F.col("n") >= LEAST).withColumn("share", F.log(F.col("n") / F.element_at(F.array(*map(F.lit, total.tolist())), (F.col("k") + 1).cast("int"))))
-    held = shares.orderBy(F.desc("n"), "word").limit(most).select("word", "n", "share").toArrow()  # most rows at most
+    held, cut = frequent_rows(shares, most)
+    held = held.select("word", "share").toArrow()  # most rows at most
     words, share = held.column("word").to_numpy().view(np.uint64), held.column("share").to_numpy()
     order = np.argsort(words)
-    if held.num_rows:
-        n, word = held.column("n")[-1].as_py(), held.column("word")[-1].as_py()
-        shares = shares.filter((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
+    shares = shares.filter(F.length(F.bin("n")) < cut)
     model = Model(frequent, number, words[order], share[order], np.log((below + 1) / total), np.log(pairs / pairs.sum(1, keepdims=True)), [])
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     return model, staged(shares.select("word", "share"), "lm-tail"), tokens

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshlens.llm.shared import Words, mix64, pooled, powers, ship, slices, staged, told_apart, words_of
+from meshlens.llm.shared import Words, frequent, mix64, pooled, powers, ship, slices, staged, told_apart, words_of
 
 WINDOW, LEVELS = 20, 2
 #: Bytes of text in which equal units are reduced to one.
 SLICE = 1 << 21
-#: So many of the most frequent keys have their units told apart by their words; any other key has at most that share of all units.
+#: So many of the most frequent keys at most have their units told apart by their words; any other key is about as rare as the last of these.
 FREQUENT_KEYS = 10_000
 
 
@@ -122,8 +122,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_keys(docs: DataFrame) -> np.ndarray:
     """The most frequent window keys, ascending. They decide where units meet, not what is a repeat."""
-    found = docs.select("text").mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).collect()], np.int64).view(np.uint64))
+    counts = staged(docs.select("text").mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent-keys")
+    return np.sort(np.array([r["key"] for r in frequent(counts, FREQUENT_KEYS)[0].collect()], np.int64).view(np.uint64))
 
 
 def _documents(part: pa.RecordBatch) -> np.ndarray:
@@ -146,7 +146,7 @@ def _repeats_inside(windows: np.ndarray, begin: np.ndarray, count: np.ndarray) -
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], hot_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, most=SLICE):
             w = words_of(part.column("text"))
@@ -173,8 +173,8 @@ def _units(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[
             again = np.zeros(len(order), bool)
             a, b = order[1:], order[:-1]
             again[a] = (key[a] == key[b]) & (content[a] == content[b]) & (content2[a] == content2[b]) & ((document[a] != document[b]) | (at[a] != at[b]))
-            if len(frequent):
-                hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+            if len(hot_keys):
+                hot = hot_keys[np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)] == key
                 key, inner = np.where(hot, mix64(key + content, 10), key), inner | hot
             key = np.where(again, mix64(mix64(key, 8) + row.astype(np.uint64) * np.uint64(1 << 32) + at.astype(np.uint64), 9), key)
             row = pa.array(row)

@@ -89,6 +89,22 @@ def told_apart(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_part", F.when(several, F.xxhash64(F.lit(1), "text", F.col("text").isNull())).otherwise(F.lit(0).cast("long"))).drop("_many")
 
 
+def frequent(counts: DataFrame, most: int, least: int = 0) -> tuple[DataFrame, int]:
+    """Rows of counts(..., n) from a power of two of n on, and that power: the least that ``most`` rows at most reach, or else the largest that ``least`` rows do.
+
+    Found from one number for each power of two, so nothing is sorted and no task or driver sees more than the rows given back.
+    """
+    bins = {r["b"]: r["rows"] for r in counts.groupBy(F.length(F.bin("n")).alias("b")).agg(F.count("*").alias("rows")).collect()}  # 64 rows at most
+    held, cut = 0, 65
+    for b in range(64, 0, -1):
+        if held + bins.get(b, 0) > most and held >= least:
+            break
+        held, cut = held + bins.get(b, 0), b
+        if least and held >= least:
+            break
+    return counts.filter(F.length(F.bin("n")) >= cut), cut
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, in the JVM (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

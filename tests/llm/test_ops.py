@@ -71,6 +71,19 @@ def test_very_long_word(model):
     assert model.encode(pa.array([w]))[0].tolist() == Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(w, add_special_tokens=False).ids
 
 
+def test_frequent_rows_are_bounded(spark):
+    numbers = [1, 1, 2, 3, 3, 4, 7, 8, 8, 100]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "word long, n long")
+    for most in range(12):
+        found, cut = shared.frequent(df, most)
+        kept = sorted(r["n"] for r in found.collect())
+        assert len(kept) <= most and kept == [n for n in numbers if n >= 2 ** (cut - 1)]
+        more = [n for n in numbers if n >= 2 ** max(cut - 2, 0)]
+        assert len(more) > most or len(kept) == len(numbers)
+        assert shared.frequent(df, most, most)[0].count() >= min(most, len(numbers))
+    assert shared.frequent(df.limit(0), 5)[0].count() == 0
+
+
 # ------------------------------------------------------------------ 1: mixing
 
 
