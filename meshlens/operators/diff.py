@@ -76,3 +76,24 @@ def text_lines(old: dict[str, DataFrame], new: dict[str, DataFrame], markdown: b
         line = F.concat(F.lit(f"{mark}{sign} ["), "severity", F.lit("] "), "code", F.lit("  "), "owner", F.lit(" |" if markdown else ""))
         out = out.unionByName(df.select(F.struct(F.lit(part).alias("part"), (-severity_rank(F.col("severity"))).alias("rank"), "owner", "code").alias("ord"), line.alias("line")))
     return out.orderBy("ord")
+
+
+def json_document(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """One row: the whole diff as a JSON document. It holds every change, so it is for graphs that a report can show."""
+    flag = (F.col("severity"), F.col("code"), F.col("owner"))
+    side = lambda df, name: df.withColumn("_k", F.struct(-severity_rank(F.col("severity")), "owner", "code")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", *flag))), lambda x: F.struct(x["severity"].alias("severity"), x["code"].alias("code"), x["owner"].alias("owner"))).alias(name))
+    nodes, wires = node_diff(old["nodes"], new["nodes"]), wire_diff(old["edges"], new["edges"])
+    of = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("id"))))
+    a = nodes.agg(*[of(s).alias(f"nodes_{s}") for s in ("added", "removed")])
+    b = wires.agg(*[of(s).alias(f"wires_{s}") for s in ("added", "removed", "changed")])
+    c = side(new_flags(old["flags"], new["flags"]), "flags_introduced").join(side(gone_flags(old["flags"], new["flags"]), "flags_resolved"))
+    one = a.join(b).join(c).join(risk_totals(old["nodes"], new["nodes"]))
+    part = lambda prefix, *names: F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names]).alias(prefix)
+    risk = F.struct(F.col("old_total").alias("old"), F.col("new_total").alias("new"), "delta").alias("risk")
+    return one.select(F.to_json(F.struct(part("nodes", "added", "removed"), part("wires", "added", "removed", "changed"), part("flags", "introduced", "resolved"), risk)).alias("document"))
+
+
+def gate_line(introduced: DataFrame, threshold: str) -> DataFrame:
+    """One row: failed as of gate(), and a line that says how many new flags are at least that severe."""
+    n = F.count_if(severity_rank(F.col("severity")) >= SEVERITY_RANK[threshold])
+    return introduced.agg(n.alias("n")).select((F.col("n") > 0).alias("failed"), F.concat(F.col("n").cast("string"), F.lit(f" new flags are {threshold} or worse")).alias("line"))

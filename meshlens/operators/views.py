@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,3 +45,14 @@ def sample(df: DataFrame, key: str, ident: str, k: int, seed: int = 45) -> DataF
 
 def code_counts(flags: DataFrame) -> DataFrame:
     return flags.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code")
+
+
+def component_counts(calls: DataFrame) -> DataFrame:
+    """One row: different components that call, and their calls."""
+    return calls.agg(F.count_distinct("component").alias("components"), F.count("*").alias("calls"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame, flags: DataFrame) -> DataFrame:
+    """(part, name, n): nodes and edges by type, flags by severity and by code."""
+    parts = (("node", nodes, "type"), ("edge", edges, "type"), ("flag", flags, "severity"), ("code", flags, "code"))
+    return reduce(DataFrame.unionByName, [df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "name", "n") for part, df, c in parts])

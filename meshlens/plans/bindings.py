@@ -6,18 +6,14 @@ coverage and flags, orders for graphs and snapshots.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.functions import columns as fx
 from meshlens.operators import coverage, diff, graph, history, match, runtime, score, traverse, views
+from meshlens.plans.registry import SQL, query, table
 from meshlens.sources import otlp
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 NOW_MS, HOURS = 1706572800000, 240.0
 
 #: id, method, path: every syntax of parameters, one route that nothing reaches, two of one key.
@@ -35,20 +31,6 @@ ROUTES = [
 ]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---------------------------------------------------------------- views
 
 
@@ -404,7 +386,9 @@ def _side(spark: SparkSession, sf_dir: str, which: str) -> dict[str, DataFrame]:
     nodes = part.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("endpoint").alias("type"), risk.alias("risk_score"))
     wires = part.groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.lit("http").alias("type"), (F.col("n") % 3).cast("double").alias("risk_score"), F.when(F.col("n") % 2 == 0, "certain").otherwise("probable").alias("confidence"))
     sev = F.when(F.col("o_orderpriority").startswith("1"), "critical").when(F.col("o_orderpriority").startswith("2"), "high").when(F.col("o_orderpriority").startswith("3"), "medium").otherwise("low")
-    marks = part.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner_id"), F.lit("node").alias("owner_kind"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("k"), F.substring("o_orderpriority", 1, 1)).alias("code"), sev.alias("severity"), F.lit("quality").alias("category"), F.col("o_orderstatus").alias("message"))
+    code = F.concat(F.lit("k"), F.substring("o_orderpriority", 1, 1))
+    code = F.when(F.col("o_custkey") % 11 == 0, F.concat(F.lit("gone"), code)).otherwise(code) if which == "old" else code
+    marks = part.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner_id"), F.lit("node").alias("owner_kind"), F.col("o_orderkey").alias("ord"), code.alias("code"), sev.alias("severity"), F.lit("quality").alias("category"), F.col("o_orderstatus").alias("message"))
     return {"nodes": nodes, "edges": wires, "flags": marks}
 
 
@@ -413,7 +397,7 @@ _RISK_NEW = "CAST(o_orderkey % (5 + 2 * (o_custkey % 2)) AS DOUBLE)"
 DIFF_SQL = f"""oldn AS (SELECT *, CAST(o_orderkey % 7 AS DOUBLE) AS risk FROM orders WHERE {_OLD}), newn AS (SELECT *, {_RISK_NEW} AS risk FROM orders WHERE {_NEW}),
 oldw AS (SELECT 'c' || o_custkey AS id, CAST(count(*) % 3 AS DOUBLE) AS risk, CASE WHEN count(*) % 2 = 0 THEN 'certain' ELSE 'probable' END AS conf FROM oldn GROUP BY o_custkey),
 neww AS (SELECT 'c' || o_custkey AS id, CAST(count(*) % 3 AS DOUBLE) AS risk, CASE WHEN count(*) % 2 = 0 THEN 'certain' ELSE 'probable' END AS conf FROM newn GROUP BY o_custkey),
-oldf AS (SELECT 'c' || o_custkey AS owner, 'k' || substr(o_orderpriority, 1, 1) AS code, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity, 'quality' AS category, arg_min(o_orderstatus, o_orderkey) AS message FROM oldn GROUP BY ALL),
+oldf AS (SELECT 'c' || o_custkey AS owner, CASE WHEN o_custkey % 11 = 0 THEN 'gonek' || substr(o_orderpriority, 1, 1) ELSE 'k' || substr(o_orderpriority, 1, 1) END AS code, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity, 'quality' AS category, arg_min(o_orderstatus, o_orderkey) AS message FROM oldn GROUP BY ALL),
 newf AS (SELECT 'c' || o_custkey AS owner, 'k' || substr(o_orderpriority, 1, 1) AS code, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity, 'quality' AS category, arg_min(o_orderstatus, o_orderkey) AS message FROM newn GROUP BY ALL)"""
 
 
@@ -447,7 +431,17 @@ def risk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.risk_totals(_side(spark, sf_dir, "old")["nodes"], _side(spark, sf_dir, "new")["nodes"])
 
 
-@query()
+_LINE = "SELECT '  {sign} [' || severity || '] ' || code || '  ' || owner AS line FROM {a} WHERE (owner, code) NOT IN (SELECT (owner, code) FROM {b})"
+REPORT_SQL = f"""WITH {DIFF_SQL}, w AS (SELECT count(*) FILTER (WHERE a.id IS NULL) AS added, count(*) FILTER (WHERE b.id IS NULL) AS removed, count(*) FILTER (WHERE a.risk <> b.risk OR a.conf <> b.conf) AS changed FROM oldw a FULL JOIN neww b ON a.id = b.id),
+n AS (SELECT count(*) FILTER (WHERE a.o_orderkey IS NULL) AS added, count(*) FILTER (WHERE b.o_orderkey IS NULL) AS removed FROM oldn a FULL JOIN newn b ON a.o_orderkey = b.o_orderkey),
+r AS (SELECT (SELECT sum(risk) FROM oldn) AS x, (SELECT sum(risk) FROM newn) AS y),
+plus AS ({_LINE.format(sign="+", a="newf", b="oldf")}), minus AS ({_LINE.format(sign="-", a="oldf", b="newf")})
+SELECT '  nodes  +' || added || ' / -' || removed AS line FROM n UNION ALL SELECT '  wires  +' || added || ' / -' || removed || ' / ~' || changed FROM w
+UNION ALL SELECT '  flags  +' || (SELECT count(*) FROM plus) || ' / -' || (SELECT count(*) FROM minus)
+UNION ALL SELECT '  risk  ' || x || ' -> ' || y || ' (' || CASE WHEN y > x THEN '+' ELSE '' END || regexp_replace(CAST(y - x AS VARCHAR), '[.]0$', '') || ')' FROM r UNION ALL SELECT line FROM plus UNION ALL SELECT line FROM minus"""
+
+
+@query(REPORT_SQL)
 def diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.text_lines(_side(spark, sf_dir, "old"), _side(spark, sf_dir, "new")).select("line")
 
@@ -465,9 +459,18 @@ HIST_SQL = """hist AS (SELECT CAST(epoch(date_trunc('month', CAST(o_orderdate AS
 kept AS (SELECT * FROM (SELECT *, lag(graph_hash) OVER (ORDER BY ts) AS b FROM hist) WHERE b IS NULL OR b <> graph_hash)"""
 
 
-@query(f"WITH {HIST_SQL} SELECT ts, iso, graph_hash, total_risk, nodes FROM hist")
+@query(
+    SCORE_SQL
+    + f""", ids AS (SELECT string_agg(id, chr(30) ORDER BY id) AS s FROM nodes), pairs AS (SELECT string_agg(owner_id || chr(31) || code, chr(30) ORDER BY owner_id || chr(31) || code) AS s, count(*) AS n FROM flags),
+codes AS (SELECT string_agg(code || '=' || n, ',' ORDER BY code) AS s FROM (SELECT code, count(*) AS n FROM flags GROUP BY code))
+SELECT CAST({NOW_MS / 1000} AS DOUBLE) AS ts, strftime(make_timestamp({NOW_MS} * 1000), '%Y-%m-%dT%H:%M:%SZ') AS iso, substr(sha256(ids.s || chr(29) || pairs.s), 1, 16) AS graph_hash, (SELECT round(sum(risk_score), 1) FROM scores) AS total_risk, (SELECT count(*) FROM nodes) AS nodes,
+(SELECT count(*) FROM edges WHERE type = 'http') AS wires, (SELECT count(*) FROM nodes WHERE type = 'endpoint') AS endpoints, pairs.n AS flags_total, CAST(0 AS BIGINT) AS flags_critical, codes.s AS by_code FROM ids, pairs, codes"""
+)
 def history_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).drop("by_code")
+    marks, nodes = flags(spark, sf_dir), graph_nodes(spark, sf_dir)
+    scored = nodes.select("id", "type").join(score.node_scores(nodes, marks), "id")
+    taken = history.snapshot(scored, edges(spark, sf_dir), marks, NOW_MS)
+    return taken.withColumn("by_code", F.array_join(F.transform(F.map_entries("by_code"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 @query(f"WITH {HIST_SQL} SELECT ts, graph_hash FROM kept")
@@ -639,9 +642,15 @@ def sha_cache_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale(files.drop("url"), cache).select(F.col("path").cast("long").alias("page_id"), "sha")
 
 
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+@query(SCORE_SQL + """SELECT 'node' AS part, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type
+UNION ALL SELECT 'flag', severity, count(*) FROM flags GROUP BY severity UNION ALL SELECT 'code', code, count(*) FROM flags GROUP BY code""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.summary(graph_nodes(spark, sf_dir), edges(spark, sf_dir), flags(spark, sf_dir))
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+@query(f"WITH {DIFF_SQL} SELECT to_json({{'severity': severity, 'code': code, 'owner': owner}}) AS line FROM newf WHERE (owner, code) NOT IN (SELECT (owner, code) FROM oldf)")
+def diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that a diff's JSON document says are new, a line each."""
+    doc = diff.json_document(_side(spark, sf_dir, "old"), _side(spark, sf_dir, "new"))
+    flags_ = doc.select(F.explode(F.from_json(F.get_json_object("document", "$.flags.introduced"), "array<struct<severity:string,code:string,owner:string>>")).alias("f"))
+    return flags_.select(F.to_json("f").alias("line"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from meshlens.functions import columns as fx
 from meshlens.operators import coverage, graph, match, runtime, score, traverse
 from meshlens.operators.match import at, flag
 from meshlens.plans.staging import staged
-from meshlens.sources import tree
+from meshlens.sources import cache, tree
 from meshlens.sources.config import DEFAULTS
 
 ENDPOINT = ["id", "method", "raw_path", "file", "line", "end_line", "handler", "framework", "has_auth", "response_model", "request_model"]
@@ -27,6 +28,7 @@ class Graph:
     flags: DataFrame
     endpoints: DataFrame
     calls: DataFrame
+    facts: dict[str, DataFrame]
 
 
 def _named(df: DataFrame, method: Column, path: Column) -> DataFrame:
@@ -145,10 +147,17 @@ def static_flags(endpoints: DataFrame, facts: DataFrame, calls: DataFrame) -> Da
     return out
 
 
-def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFrame, str] | None = None, lines: DataFrame | None = None, observations: tuple[DataFrame, DataFrame] | None = None, config: dict = DEFAULTS) -> Graph:
-    """The graph of a backend and a frontend tree. openapi: its operations and file name; lines: coverage; observations: server and client spans in the window."""
-    py, js, sdl = (staged(tree.facts(tree.scan(spark, root, section)), f"facts-{section}") for root, section in ((backend, "python"), (backend, "script"), (backend, "schema")))
-    web = js if frontend == backend else staged(tree.facts(tree.scan(spark, frontend, "script")), "facts-web")
+def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFrame, str] | None = None, lines: DataFrame | None = None, observations: tuple[DataFrame, DataFrame] | None = None, config: dict = DEFAULTS, before: dict[str, DataFrame] | None = None) -> Graph:
+    """The graph of a backend and a frontend tree. openapi: its operations and file name; lines: coverage; observations: server and client spans in the window; before: facts of the scan before, which unchanged files keep."""
+
+    def read(name: str, root: str, *sections: str) -> DataFrame:
+        files = reduce(DataFrame.unionByName, [tree.scan(spark, root, s) for s in sections])
+        return staged(cache.refreshed(before[name], files) if before and name in before else tree.facts(files), f"facts-{name}")
+
+    facts = {"python": read("python", backend, "python", *tree.FURTHER), "script": read("script", backend, "script"), "schema": read("schema", backend, "schema")}
+    if frontend != backend:
+        facts["web"] = read("web", frontend, "script")
+    py, js, sdl, web = facts["python"], facts["script"], facts["schema"], facts.get("web", facts["script"])
     found = graph.merge_nodes(python_endpoints(py).unionByName(script_endpoints(js)).unionByName(schema_endpoints(sdl)).unionByName(script_endpoints(web)).orderBy("rank").withColumn("ord", F.monotonically_increasing_id()).drop("rank"))
     if openapi is not None:
         from meshlens.sources.specs import openapi_endpoints
@@ -193,4 +202,4 @@ def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFr
     flags = graph.merge_flags(marks.withColumn("ord", F.lit(0).cast("long")), nodes.select("id").unionByName(edges.select("id")))
     flags = staged(flags, "flags")
     scores = staged(score.node_scores(nodes, flags, config), "scores")
-    return Graph(nodes.join(scores, "id"), edges.join(score.edge_scores(edges, flags, scores, config), "id"), flags, endpoints, calls_once)
+    return Graph(nodes.join(scores, "id"), edges.join(score.edge_scores(edges, flags, scores, config), "id"), flags, endpoints, calls_once, facts)

@@ -1,4 +1,7 @@
-"""Parse results kept by content hash, so that a scan parses only what changed."""
+"""Facts kept by content hash, so that a scan parses only what changed.
+
+The cache is the table of facts of the scan before: every file has a row of ord 0 there, one without facts the fact ``none``.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.columns import content_hash
+from meshlens.sources.tree import facts
 
+#: Raised when extractors give other facts for the same text; part of the cache's path.
 VERSION = 1
+KEY = ["section", "path", "sha"]
 
 
 def stale(files: DataFrame, cache: DataFrame) -> DataFrame:
     """files(section, path, content) with sha that the cache(section, path, sha) does not hold as they are."""
-    return files.withColumn("sha", content_hash(F.col("content"))).join(cache.select("section", "path", "sha"), ["section", "path", "sha"], "left_anti")
+    return files.withColumn("sha", content_hash(F.col("content"))).join(cache.select(*KEY), KEY, "left_anti")
 
 
-def refreshed(cache: DataFrame, files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """The cache after a scan: entries of files that are gone or changed go, those newly parsed are added."""
+def refreshed(cache: DataFrame, files: DataFrame) -> DataFrame:
+    """Facts of files: those of unchanged files from the cache, those of new and changed ones parsed; files that are gone have none."""
     now = files.select("section", "path", content_hash(F.col("content")).alias("sha"))
-    return cache.join(now, ["section", "path", "sha"], "left_semi").unionByName(parsed)
+    return cache.join(now, KEY, "left_semi").unionByName(facts(stale(files, cache.filter("ord = 0"))))

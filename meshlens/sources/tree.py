@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ GLOBS = {"python": "*.py", "script": "*.{js,jsx,mjs,ts,tsx}", "schema": "*.{grap
 #: Shapes of facts by kind.
 FACTS = {
     "failed": "error string",
+    "none": "",
     "import": "local string, fqn string",
     "auth_alias": "name string",
     "url": "pattern string, include string, view string, by_class boolean, line int",
@@ -41,9 +42,10 @@ FACTS = {
 def scan(spark: SparkSession, root: str, section: str) -> DataFrame:
     """(section, path, content) of the files of a section under root; paths are relative with forward slashes."""
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS[section]).load(base)
+    glob = GLOBS[section] if section in GLOBS else FURTHER[section][0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     relative = F.regexp_extract("path", r"\Q" + base.removeprefix("file://") + r"\E(.*)$", 1)
-    skipped = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED[section]) + ")/"
+    skipped = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED.get(section, SKIPPED["python"])) + ")/"
     return files.select(F.lit(section).alias("section"), relative.alias("path"), "content").filter(~F.col("path").rlike(skipped))
 
 
@@ -67,15 +69,28 @@ def _parse(section: str, path: str, text: str) -> Iterator[tuple[str, dict]]:
                 yield from script_source.trpc(s)
 
 
+#: Further extractors by section: the glob of their files, and a function from (path, text) to (kind, fact) of the shapes above.
+FURTHER: dict[str, tuple[str, Callable[[str, str], Iterator[tuple[str, dict]]]]] = {}
+
+
+def register(section: str, glob: str, parse: Callable[[str, str], Iterator[tuple[str, dict]]]) -> None:
+    """Adds an extractor; scans read its files in the backend's tree, and its facts join those of Python sources."""
+    if section in GLOBS:
+        raise ValueError(f"{section} is a section of this package")
+    FURTHER[section] = (glob, parse)
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """(section, path, sha, ord, kind, fact) of files; one that can't be read has the one fact ``failed``. Files are dealt out anew: many small ones come in few splits."""
+    """(section, path, sha, ord, kind, fact) of files; one that can't be read has the one fact ``failed``, one without facts ``none``. Files are dealt out anew: many small ones come in few splits."""
+    further = {section: parse for section, (_, parse) in FURTHER.items()}  # goes to executors with the function below
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 try:
-                    found = list(_parse(r.section, r.path, bytes(r.content).decode("utf-8", "replace")))
+                    text = bytes(r.content).decode("utf-8", "replace")
+                    found = list(further[r.section](r.path, text) if r.section in further else _parse(r.section, r.path, text)) or [("none", {})]
                 except (RecursionError, IndexError, KeyError, MemoryError) as e:
                     found = [("failed", {"error": type(e).__name__})]
                 rows += [(r.section, r.path, r.sha, k, kind, json.dumps(fact)) for k, (kind, fact) in enumerate(found)]

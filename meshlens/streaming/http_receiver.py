@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import uuid
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 
@@ -31,26 +33,43 @@ def accept(folder: str, body: bytes, content_type: str) -> tuple[int, dict]:
     return 200, {}
 
 
-def make_server(folder: str, port: int, tokens: dict[str, str] | None = None) -> ThreadingHTTPServer:
-    """Serves POST /v1/traces and GET /healthz; with tokens, posts need one as a bearer."""
+def make_server(folder: str, port: int, tokens: dict[str, str] | None = None, pages: Callable[[str], tuple[bytes, str] | None] = lambda path: None, rescan: Callable[[], dict] | None = None) -> ThreadingHTTPServer:
+    """Serves POST /v1/traces and /rescan, GET /healthz and pages(path); with tokens, posts need one as a bearer. One rescan runs at a time."""
+    scanning = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
         def _reply(self, status: int, body: dict) -> None:
-            data = json.dumps(body).encode()
+            self._send(status, json.dumps(body).encode(), "application/json")
+
+        def _send(self, status: int, data: bytes, kind: str) -> None:
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
 
         def do_GET(self) -> None:
-            self._reply(200 if self.path == "/healthz" else 404, {"ok": self.path == "/healthz"})
+            page = pages(self.path)
+            if page is not None:
+                self._send(200, *page)
+            else:
+                self._reply(200 if self.path == "/healthz" else 404, {"ok": self.path == "/healthz"})
 
         def do_POST(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             bearer = self.headers.get("Authorization", "").removeprefix("Bearer ").strip()
             if tokens and bearer not in tokens:
                 self._reply(401, {"error": "unauthorized"})
+            elif self.path == "/rescan" and rescan is not None:
+                if not scanning.acquire(blocking=False):
+                    self._reply(409, {"error": "a scan is running"})
+                    return
+                try:
+                    self._reply(200, rescan())
+                except Exception as e:  # noqa: BLE001
+                    self._reply(500, {"error": str(e)[:500]})
+                finally:
+                    scanning.release()
             elif self.path != "/v1/traces":
                 self._reply(404, {"error": "not found"})
             else:

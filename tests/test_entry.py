@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meshlens.plans import bindings
+from meshlens.plans import bindings, registry
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
@@ -20,13 +20,13 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(bindings.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_against_sql(spark, db, name):
-    df = bindings.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    if name not in bindings.SQL:
+    if name not in registry.SQL:
         return
-    found = db.execute(bindings.SQL[name])
+    found = db.execute(registry.SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)
     order = sorted(names)

@@ -1,10 +1,14 @@
 import json
+import threading
+import time
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
-from meshlens.plans import scan
-from meshlens.sources import config, otlp, specs, tree
+from meshlens.plans import scan, viewer
+from meshlens.sources import cache, config, otlp, specs, tree
 from meshlens.sources.extract import graphql_source, python_source, script_source
 from meshlens.streaming import http_receiver, spans
 
@@ -171,8 +175,96 @@ def test_command_line(spark, tmp_path, capsys):
     root, out = str(tmp_path / "p"), str(tmp_path / "out")
     assert cli.main(["scan", root, "--out", out]) == 0
     graph = f"{out}/graph.json"
-    assert cli.main(["diff", graph, graph, "--fail-on", "low"]) == 0 and cli.main(["diff", graph, str(tmp_path / "none")]) == 2
+    assert "endpoint" in capsys.readouterr().out and "<title>" in (tmp_path / "out/graph.html").read_text()
+    # nothing changed: all facts come from the cache, and the graph is the same
+    before = {r["id"]: r["risk_score"] for r in spark.read.json(graph).selectExpr("inline(nodes)").collect()}
+    assert cli.main(["scan", root, "--out", out]) == 0
+    assert {r["id"]: r["risk_score"] for r in spark.read.json(graph).selectExpr("inline(nodes)").collect()} == before
+    assert cli.main(["diff", graph, graph, "--fail-on", "low", "--format", "json"]) == 0 and cli.main(["diff", graph, graph]) == 0 and cli.main(["diff", graph, str(tmp_path / "none")]) == 2
     capsys.readouterr()
     assert cli.main(["explain", graph, "ep:GET /api/items/{item_id}"]) == 0 and "sql_injection_risk" in capsys.readouterr().out
     assert cli.main(["explain", graph, "items"]) == 2 and "/api/items" in capsys.readouterr().out
     assert spark.read.json(f"{out}/history.json").count() == 1
+
+
+def test_cache_parses_only_what_changed(spark, tmp_path):
+    for name, text in (("a.py", "def f(): pass\n"), ("b.py", "# nothing\n"), ("c.py", "def g(): pass\n")):
+        (tmp_path / name).write_text(text)
+    before = tree.facts(tree.scan(spark, str(tmp_path), "python")).withColumn("fact", F.concat("fact", F.lit(" ")))
+    rows = spark.createDataFrame(before.collect(), before.schema)
+    (tmp_path / "c.py").write_text("def h(): pass\n")
+    (tmp_path / "d.py").write_text("def i(): pass\n")
+    (tmp_path / "a.py").rename(tmp_path / "e.py")
+    files = tree.scan(spark, str(tmp_path), "python")
+    assert {r["path"] for r in cache.stale(files, rows).collect()} == {"c.py", "d.py", "e.py"}
+    found = cache.refreshed(rows, files).collect()
+    assert {(r["path"], r["fact"].endswith(" ")) for r in found} == {("b.py", True), ("c.py", False), ("d.py", False), ("e.py", False)}
+
+
+def test_further_extractors(spark, tmp_path):
+    (tmp_path / "x.routes").write_text("GET /a\nPOST /b")
+
+    def lines(path, text):
+        for k, row in enumerate(text.split("\n"), 1):
+            method, route = row.split(" ")
+            yield "route", {"method": method, "path": route, "prefix": "", "handler": "", "line": k, "end_line": k, "framework": "lines", "has_auth": False, "response_model": None, "request_model": None, "annotations": []}
+
+    with pytest.raises(ValueError):
+        tree.register("python", "*.x", lines)
+    tree.register("lines", "*.routes", lines)
+    try:
+        g = scan.scan(spark, str(tmp_path), str(tmp_path))
+        assert {(r["id"], r["framework"]) for r in g.endpoints.collect()} == {("ep:GET /a", "lines"), ("ep:POST /b", "lines")}
+    finally:
+        del tree.FURTHER["lines"]
+
+
+def test_store_is_pruned(spark, tmp_path):
+    from meshlens.plans import cli
+
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+    now = int(time.time() * 1000)
+    at = lambda ms, s: s | {"startTimeUnixNano": str(ms * 10**6), "endTimeUnixNano": str((ms + 5) * 10**6)}
+    for k, age in enumerate((0, 30 * 3600_000)):
+        http_receiver.accept(folder, payload(at(now - age, span(2, **{"http.method": "get", "http.route": f"/r{k}"})), at(now, span(3, **{"http.method": "get", "url.path": f"/c{k}"}) | {"traceId": "t" if k == 0 else "gone"})).encode(), "application/json")
+    read = lambda kind: sorted(r["route" if kind == "servers" else "path"] for r in spark.read.parquet(f"{store}/{kind}").collect())
+    cli.run_ingest(folder, store)
+    assert read("servers") == ["/r0"] and read("clients") == ["/c0"]
+    http_receiver.accept(folder, payload(at(now, span(2, **{"http.method": "get", "http.route": "/r2"}))).encode(), "application/json")
+    cli.run_ingest(folder, store, 12)
+    assert read("servers") == ["/r0", "/r2"] and cli.stored_window(spark, store) == 12
+    # cut short before and after the list of what it stands for was written
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{store}/_new-servers")
+    spans.pruned(spark, store, now, 12)
+    assert read("servers") == ["/r0", "/r2"]
+    spark.read.parquet(f"{store}/servers").drop("batch").write.parquet(f"{store}/_new-servers")
+    spark.createDataFrame([("batch=-1",)], "name string").coalesce(1).write.text(f"{store}/_new-servers/_stands-for")
+    spans.pruned(spark, store, now, 12)
+    assert read("servers") == ["/r0", "/r2"]
+
+
+def test_latest_client_span(spark):
+    rows = spark.createDataFrame([(1, "/a", "/x", 5), (1, "/a", "/y", 9), (2, "/b", None, None)], "ord int, path string, client_path string, client_ts int")
+    assert sorted(tuple(r) for r in spans.with_latest_client(rows).select("ord", "client_path").collect()) == [(1, "/y"), (2, None)]
+
+
+def test_server(spark, tmp_path):
+    calls = []
+    server = http_receiver.make_server(str(tmp_path / "in"), 0, {"t1": "ann"}, lambda p: (b"<p>", "text/html") if p == "/" else None, lambda: calls.append(1) or {"n": len(calls)})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def ask(path, body=None, **headers):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, body, headers)) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    try:
+        assert ask("/") == (200, b"<p>") and ask("/healthz")[0] == 200 and ask("/none")[0] == 404
+        assert ask("/rescan", b"")[0] == 401 and ask("/rescan", b"", Authorization="Bearer t1") == (200, b'{"n": 1}')
+        assert ask("/v1/traces", payload().encode(), Authorization="Bearer t1", **{"Content-Type": "application/json"})[0] == 200
+    finally:
+        server.shutdown()
+    assert viewer.page('{"a": "</script>"}').count("</script>") == 1
