@@ -6,7 +6,8 @@ The template wraps user turns in ``[INST] ... [/INST]``, ends assistant turns wi
 Control strings in texts get a backslash in front and backslashes are doubled, so the output can be read back exactly.
 
 Defined cases: null text or role is empty; rows of equal turn go by role, then text, nulls first; a conversation without
-assistant rows has an empty loss mask; an unknown part kind is an error.
+assistant rows has an empty loss mask; a part of an unknown kind, or none, becomes a placeholder of kind ``unknown`` that
+expands to no tokens, and the kind is listed in ``errors``.
 """
 
 from __future__ import annotations
@@ -55,11 +56,14 @@ class PartVisitor:
     frames_per_second: float = 25.0
     tokens_per_page: int = 512
     attachments: list[Attachment] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
 
-    def visit(self, part: dict) -> str:
-        visitor = getattr(self, f"visit_{part.get('type')}", None)
+    def visit(self, part: dict | None) -> str:
+        kind = (part or {}).get("type")
+        visitor = getattr(self, f"visit_{kind}", None)
         if visitor is None:
-            raise ValueError(f"unknown content part: {part.get('type')!r}")
+            self.errors.append(f"unknown content part: {kind}")
+            return self._placed("unknown", part or {}, 0)
         return visitor(part)
 
     def _placed(self, kind: str, part: dict, tokens: int) -> str:
@@ -85,6 +89,7 @@ class Formatted:
     spans: list[tuple[int, int]]
     attachments: list[Attachment]
     n_turns: int
+    errors: list[str]
 
 
 def format_turns(turns: list[tuple[str, str | list[dict]]], visitor: PartVisitor | None = None) -> Formatted:
@@ -99,7 +104,7 @@ def format_turns(turns: list[tuple[str, str | list[dict]]], visitor: PartVisitor
             spans.append((at + len(begin), at + len(begin) + len(body)))
         out += (begin, body, end)
         at += len(begin) + len(body) + len(end)
-    return Formatted("".join(out), spans, visitor.attachments, len(turns))
+    return Formatted("".join(out), spans, visitor.attachments, len(turns), visitor.errors)
 
 
 def read_turns(text: str) -> Iterator[tuple[str, str]]:
@@ -135,7 +140,7 @@ def read_parts(body: str) -> list[tuple[str, str | int]]:
     return parts
 
 
-SCHEMA = "{id} {kind}, n_turns long, formatted string, loss_spans array<struct<begin:long,stop:long>>, attachments array<struct<kind:string,reference:string,tokens:long>>, expanded_tokens long"
+SCHEMA = "{id} {kind}, n_turns long, formatted string, loss_spans array<struct<begin:long,stop:long>>, attachments array<struct<kind:string,reference:string,tokens:long>>, expanded_tokens long, errors array<string>"
 
 
 def _conversations(batches: Iterator[pa.RecordBatch], schema: pa.Schema, with_parts: bool) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,7 @@ def _conversations(batches: Iterator[pa.RecordBatch], schema: pa.Schema, with_pa
 
     def row(key: object, turns: list) -> dict:
         f = format_turns(turns)
-        return {schema.names[0]: key, "n_turns": f.n_turns, "formatted": f.text, "loss_spans": [{"begin": a, "stop": b} for a, b in f.spans], "attachments": [vars(a) for a in f.attachments], "expanded_tokens": sum(a.tokens for a in f.attachments)}
+        return {schema.names[0]: key, "n_turns": f.n_turns, "formatted": f.text, "loss_spans": [{"begin": a, "stop": b} for a, b in f.spans], "attachments": [vars(a) for a in f.attachments], "expanded_tokens": sum(a.tokens for a in f.attachments), "errors": f.errors}
 
     key, turns, out, size = None, [], [], 0
     for batch in batches:
@@ -193,16 +198,17 @@ def read_back(key: object, text: str, spans: list[tuple[int, int]]) -> dict:
     return {"conv_id": key, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": len(text)}
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_attachments", pa.int64()), ("expanded_tokens", pa.int64())])
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        yield pa.RecordBatch.from_pylist([read_back(k, t, [(s["begin"], s["stop"]) for s in m]) for k, t, m in rows], schema=schema)
+        rows = zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True)
+        yield pa.RecordBatch.from_pylist([read_back(k, t, [(s["begin"], s["stop"]) for s in m]) | {"n_attachments": n, "expanded_tokens": e} for k, t, m, n, e in rows], schema=schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What each formatted conversation says when it is read back."""
-    return formatted.select(F.col("conv_id").cast("long"), "formatted", "loss_spans").mapInArrow(_digests, DIGESTS)
+    """What each formatted conversation says when it is read back, its attachments and the tokens that they expand to."""
+    counts = (F.size("attachments").cast("long"), "expanded_tokens")
+    return formatted.select(F.col("conv_id").cast("long"), "formatted", "loss_spans", *counts).mapInArrow(_digests, DIGESTS)

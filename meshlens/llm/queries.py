@@ -50,7 +50,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select {PROBE_ID}L as conv_id, stack(2, 0L, 'user', '{PROBE}', 1L, 'assistant', '{PROBE}') as (turn, role, text)")
-    return chat.digests(chat.format_conversations(rows.unionByName(probe)))
+    typed = rows.unionByName(probe).withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    return chat.digests(chat.format_conversations(typed, parts_col="parts"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM marked GROUP BY conv_id""",
     "op10_urls": r"""
 WITH cut AS (

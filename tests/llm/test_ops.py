@@ -514,8 +514,14 @@ def test_chat_parts(spark):
     f = chat.format_turns([("user", parts)])
     assert [chat.read_parts(b) for _, b in chat.read_turns(f.text)] == [[("text", "see \\"), ("image", 0), ("audio", 1), ("document", 2), ("text", "<|image:0|>")]]
     assert [(a.kind, a.reference, a.tokens) for a in f.attachments] == [("image", "i.png", 8), ("audio", "a.wav", 38), ("document", "d.pdf", 1024)]
-    with pytest.raises(ValueError, match="unknown content part"):
-        chat.format_turns([("user", [{"type": "video"}])])
+    f = chat.format_turns([("user", [{"type": "video", "ref": "v.mp4"}, {"type": "text", "text": "x"}, None])])
+    assert f.errors == ["unknown content part: video", "unknown content part: None"] and [(a.kind, a.reference, a.tokens) for a in f.attachments] == [("unknown", "v.mp4", 0), ("unknown", "", 0)]
+    assert [chat.read_parts(b) for _, b in chat.read_turns(f.text)] == [[("unknown", 0), ("text", "x"), ("unknown", 1)]]
+    part = "struct<type string, text string, ref string, width int, height int>"
+    typed = spark.createDataFrame([(1, 0, "user", "x", [("text", "a", None, None, None), ("image", None, "i.png", 28, 29), ("map", None, None, None, None)]), (1, 1, "assistant", "b", None)], f"conv_id long, turn long, role string, text string, parts array<{part}>")
+    made = chat.format_conversations(typed, parts_col="parts")
+    assert [tuple(r) for r in made.select("formatted", "errors").collect()] == [("<s>[INST] a<|image:0|><|unknown:1|> [/INST] b </s>", ["unknown content part: map"])]
+    assert [tuple(r) for r in chat.digests(made).select("n_turns", "loss_chars", "n_attachments", "expanded_tokens").collect()] == [(2, 1, 2, 2)]
     rows = [(1, 1, "assistant", None, "x"), (1, 0, "user", "hi", "x"), (None, 0, None, None, "x"), (2, 0, "assistant", "a", "x"), (2, 0, "assistant", "a", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
