@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than space and 0x09-0x0D, which in UTF-8
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import re
@@ -242,3 +243,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) ->
         held += n
     if begun < len(sizes):
         yield batch.slice(begun)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task would else keep it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
