@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import bpe, chat, minhash, mixing, pseudo_lm, quality_ngrams, recompress, rule_ensemble, simhash, url_filter
+from meshlens.llm import bpe, chat, minhash, mixing, pseudo_lm, quality_ngrams, recompress, rule_ensemble, simhash, spelling, url_filter
 
 #: Verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -67,8 +67,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op4_quality_classifier, op5_lm_score, op6_substring_dedup, op7_chat, op8_minhash, op9_quality, op10_urls)}
+    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op4_quality_classifier, op5_lm_score, op6_substring_dedup, op7_chat, op8_minhash, op9_quality, op10_urls, op13_spelling)}
 
 
 _ESCAPED = r"length(regexp_replace(coalesce(text, ''), '(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|)', '\\\1', 'g'))"
