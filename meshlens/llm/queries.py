@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import bpe, chat, minhash, mixing, pseudo_lm, quality_ngrams, recompress, rule_ensemble, simhash, spelling, url_filter
+from meshlens.llm import bpe, chat, hard_negatives, html_text, minhash, mixing, pseudo_lm, quality_ngrams, recompress, rule_ensemble, simhash, spelling, url_filter
 
 #: Verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -67,12 +67,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vec")), F.col("id") % 50 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op4_quality_classifier, op5_lm_score, op6_substring_dedup, op7_chat, op8_minhash, op9_quality, op10_urls, op13_spelling)}
+    return {f.__name__: f for f in (op1_mix, op2_simhash, op3_bpe, op4_quality_classifier, op5_lm_score, op6_substring_dedup, op7_chat, op8_minhash, op9_quality, op10_urls, op11_html, op12_hard_negatives, op13_spelling)}
 
 
 _ESCAPED = r"length(regexp_replace(coalesce(text, ''), '(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|)', '\\\1', 'g'))"
@@ -106,6 +116,25 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM marked GROUP BY conv_id""",
+    # for pages built as the tables' are: one article of headings and paragraphs, five character references
+    "op11_html": r"""
+WITH main AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+cut AS (
+  SELECT page_id, url, list_transform(string_split_regex(regexp_replace(body, '<br>', ' ', 'g'), '</?(?:p|h1)>'), lambda x:
+    trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS blocks FROM main),
+joined AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM cut)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined""",
+    "op12_hard_negatives": """
+WITH rows AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS alike, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score FROM rows a JOIN rows r ON a.id <> r.id WHERE a.id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""",
     "op10_urls": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
