@@ -6,13 +6,18 @@ coverage and flags, orders for graphs and snapshots.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.functions import columns as fx
 from meshlens.operators import coverage, diff, graph, history, match, runtime, score, traverse, views
 from meshlens.plans.registry import SQL, query, table
-from meshlens.sources import otlp
+from meshlens.plans.shipping import ship
+from meshlens.sources import otlp, protobuf
 
 NOW_MS, HOURS = 1706572800000, 240.0
 
@@ -324,11 +329,37 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("ord", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("payload"))
 
 
-@query(f"WITH {OBS_SQL} SELECT ord, upper(method) AS method, CASE WHEN event_type <> 'error' THEN '/api/users/{{user_id}}/' || event_type END AS route, path, CAST(status AS INT) AS status, epoch_us(ts) // 1000 AS ts_ms, round(round(dur_ms * 1000) / 1000, 1) AS dur_ms, trace_id FROM obs JOIN (SELECT event_id AS ord, ts FROM events) USING (ord) WHERE ord % 5 <> 0 AND ord % 11 <> 0 AND ord % 13 <> 0")
+OTLP_SQL = f"WITH {OBS_SQL} SELECT ord, upper(method) AS method, CASE WHEN event_type <> 'error' THEN '/api/users/{{user_id}}/' || event_type END AS route, path, CAST(status AS INT) AS status, epoch_us(ts) // 1000 AS ts_ms, round(round(dur_ms * 1000) / 1000, 1) AS dur_ms, trace_id FROM obs JOIN (SELECT event_id AS ord, ts FROM events) USING (ord) WHERE ord % 5 <> 0 AND ord % 11 <> 0 AND ord % 13 <> 0"
+
+
+@query(OTLP_SQL)
 def otlp_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return otlp.server_spans(otlp.spans(_payloads(spark, sf_dir)))
 
 
+@query(OTLP_SQL.replace("trace_id FROM obs", "lower(hex(encode(trace_id))) AS trace_id FROM obs"))
+def otlp_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests written as protobuf; trace ids are bytes there."""
+    payloads = _payloads(spark, sf_dir)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([protobuf.write(_hexed(json.loads(t))) for t in b.column(1).to_pylist()], pa.binary())], names=["ord", "payload"])
+
+    ship(spark)
+    found = protobuf.spans(payloads.mapInArrow(coded, "ord long, payload binary"), F.col("payload"))
+    return otlp.server_spans(found)
+
+
+def _hexed(request: dict) -> dict:
+    """Trace ids as the hexadecimal that the encoding asks for."""
+    for resource in request["resourceSpans"]:
+        for scope in resource["scopeSpans"]:
+            for span in scope["spans"]:
+                span["traceId"] = span["traceId"].encode().hex()
+    return request
+
+
 @query(f"WITH {OBS_SQL} SELECT ord, trace_id, upper(method) AS method, path FROM obs WHERE ord % 5 = 0 AND ord % 11 <> 0")
 def otlp_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return otlp.client_spans(otlp.spans(_payloads(spark, sf_dir)))
@@ -336,7 +367,7 @@ def otlp_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OBS_SQL} SELECT ord, CASE WHEN event_type <> 'error' THEN '/api/users/{{user_id}}/' || event_type END AS route FROM obs")
 def otlp_attr_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otlp.spans(_payloads(spark, sf_dir)).select("ord", F.col("attributes")["http.route"].alias("route"))
+    return otlp.spans(_payloads(spark, sf_dir)).select("ord", otlp.attribute(F.col("attributes"), "http.route").alias("route"))
 
 
 # ---------------------------------------------------------------- scores

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlens.plans.shipping import ship
 from meshlens.sources.extract import graphql_source, python_source, script_source
 
 #: Folders that are never read.
@@ -82,6 +83,7 @@ def register(section: str, glob: str, parse: Callable[[str, str], Iterator[tuple
 
 def facts(files: DataFrame) -> DataFrame:
     """(section, path, sha, ord, kind, fact) of files; one that can't be read has the one fact ``failed``, one without facts ``none``. Files are dealt out anew: many small ones come in few splits."""
+    ship(files.sparkSession)
     further = {section: parse for section, (_, parse) in FURTHER.items()}  # goes to executors with the function below
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ Requests are written to a temporary name and renamed, so that the stream never s
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import threading
@@ -12,25 +13,41 @@ import uuid
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from meshlens.sources import protobuf
 
-def accept(folder: str, body: bytes, content_type: str) -> tuple[int, dict]:
-    """(status, reply) of one posted body: 200 kept, 400 not JSON, 415 another type."""
+
+PROTOBUF, JSON = "application/x-protobuf", "application/json"
+
+
+def accept(folder: str, body: bytes, content_type: str) -> tuple[int, dict | bytes]:
+    """(status, reply) of one posted body: 200 kept, 400 not in the encoding that its type names, 415 another type. The reply is in the body's encoding."""
     kind = content_type.partition(";")[0].strip().lower()
-    if kind not in ("application/json", ""):
-        return 415, {"error": f"unsupported content type {kind}"}
+    if kind == PROTOBUF:
+        try:
+            protobuf.read(body)
+        except protobuf.Malformed as e:
+            return 400, {"error": f"not protobuf: {e}"}
+        _drop(folder, base64.b64encode(body).decode())
+        return 200, b""  # a reply without fields has no bytes
+    if kind != JSON:
+        return 415, {"error": f"unsupported content type {kind}: send {JSON} or {PROTOBUF}"}
     try:
         payload = json.loads(body)
     except ValueError:
         return 400, {"error": "not JSON"}
     if not isinstance(payload, dict):
         return 400, {"error": "not a JSON object"}
+    _drop(folder, json.dumps(payload))
+    return 200, {"partialSuccess": {}}
+
+
+def _drop(folder: str, line: str) -> None:
     os.makedirs(folder, exist_ok=True)
     name = uuid.uuid4().hex
     hidden = os.path.join(folder, f".{name}")
     with open(hidden, "w", encoding="utf-8") as f:
-        f.write(json.dumps(payload) + "\n")
+        f.write(line + "\n")
     os.rename(hidden, os.path.join(folder, f"{name}.json"))
-    return 200, {}
 
 
 def make_server(folder: str, port: int, tokens: dict[str, str] | None = None, pages: Callable[[str], tuple[bytes, str] | None] = lambda path: None, rescan: Callable[[], dict] | None = None) -> ThreadingHTTPServer:
@@ -38,8 +55,8 @@ def make_server(folder: str, port: int, tokens: dict[str, str] | None = None, pa
     scanning = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
-        def _reply(self, status: int, body: dict) -> None:
-            self._send(status, json.dumps(body).encode(), "application/json")
+        def _reply(self, status: int, body: dict | bytes) -> None:
+            self._send(status, *((body, PROTOBUF) if isinstance(body, bytes) else (json.dumps(body).encode(), JSON)))
 
         def _send(self, status: int, data: bytes, kind: str) -> None:
             self.send_response(status)

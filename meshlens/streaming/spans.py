@@ -12,13 +12,13 @@ from meshlens.sources import otlp
 
 
 def payload_stream(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
-    """JSON payloads dropped into a folder, a line each, with the time they came."""
+    """Payloads dropped into a folder, a line of JSON or of base64 each, with the time they came."""
     return spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder).select(F.col("value").alias("payload"), F.current_timestamp().alias("arrived"))
 
 
 def span_streams(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(server spans, client spans) with the event time ts."""
-    found = otlp.spans(payloads)
+    found = otlp.mixed_spans(payloads)
     servers = otlp.server_spans(found).withColumn("ts", F.timestamp_millis("ts_ms"))
     return servers, otlp.client_spans(found.withColumn("ts", F.timestamp_millis(F.expr("start_ns div 1000000")))).filter("ts is not null")
 

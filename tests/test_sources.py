@@ -130,7 +130,7 @@ def test_otlp(spark):
 def test_stream_to_store(spark, tmp_path):
     status, _ = http_receiver.accept(str(tmp_path / "in"), payload(span(2, **{"http.method": "get", "url.path": "/u/1"})).encode(), "application/json")
     assert status == 200
-    assert [http_receiver.accept(str(tmp_path / "in"), b, t)[0] for b, t in ((b"{", "application/json"), (b"[]", ""), (b"", "text/plain"))] == [400, 400, 415]
+    assert [http_receiver.accept(str(tmp_path / "in"), b, t)[0] for b, t in ((b"{", "application/json"), (b"[]", "application/json"), (b"", ""), (b"", "text/plain"))] == [400, 400, 415, 415]
     query = spans.store_stream(spans.payload_stream(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     servers = spark.read.parquet(str(tmp_path / "store/servers"))
