@@ -27,10 +27,15 @@ def canonical_path(path: Column) -> Column:
     return F.regexp_replace(out, r"/(?U:\d)+(?=/|$)", "/:p")
 
 
-def path_pattern(canonical: Column) -> Column:
-    """Anchored regular expression of a canonical path: :p is one segment, anything else is literal."""
-    parts = F.transform(F.split(canonical, "/"), lambda s: F.when(s == ":p", "[^/]+").otherwise(F.when(s == "", "").otherwise(F.concat(F.lit("\\Q"), s, F.lit("\\E")))))
-    return F.concat(F.lit("^"), F.concat_ws("/", parts), F.lit("$"))
+def param_places(canonical: Column) -> Column:
+    """Where a canonical path has parameters, by number of segment."""
+    return F.filter(F.transform(F.split(canonical, "/"), lambda s, i: F.when(s == ":p", i)), lambda i: i.isNotNull())
+
+
+def with_params(path: Column, places: Column) -> Column:
+    """A concrete path with parameters in these places; null where one of these segments is empty."""
+    parts = F.transform(F.split(path, "/"), lambda s, i: F.when(~F.array_contains(places, i), s).when(s != "", ":p"))
+    return F.when(F.forall(parts, lambda s: s.isNotNull()), F.array_join(parts, "/"))
 
 
 def segments(path: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshlens.functions.columns import bare_path, canonical_path, path_pattern, round_exact, segments
+from meshlens.functions.columns import bare_path, canonical_path, param_places, round_exact, segments, with_params
 from meshlens.operators.match import at, flag
 from meshlens.sources.config import DEFAULTS
 
@@ -46,10 +46,11 @@ def last_per_key(df: DataFrame, key: str | None, cap: int = 5000) -> DataFrame:
 
 
 def observed(endpoints: DataFrame, observations: DataFrame) -> DataFrame:
-    """(endpoint, ord, dur_ms, status, trace_id, direct): routed ones by key, others by method and path pattern.
+    """(endpoint, ord, dur_ms, status, trace_id, direct): routed ones by key, others by method and path template.
 
-    Endpoints of one key share all its observations, and a path counts for each pattern that it meets. Only different
-    (method, path) pairs meet the patterns, on equal method and number of segments.
+    Endpoints of one key share all its observations, and a path counts for each template that it meets. Only different
+    (method, path) pairs meet the templates, and by equality: a pair is spelled once for each set of parameter places that
+    templates of its method and length have.
     """
     routed, unrouted = split_observations(observations)
     eps = endpoints.select(F.col("id").alias("endpoint"), F.col("method").alias("_m"), canonical_path(F.col("raw_path")).alias("_c"))
@@ -57,9 +58,11 @@ def observed(endpoints: DataFrame, observations: DataFrame) -> DataFrame:
     columns = ["endpoint", "ord", "dur_ms", "status", "trace_id"]
     direct = routed.join(keyed, "key").select(*columns, F.lit(True).alias("direct"))
     paths = unrouted.withColumn("_b", bare_path(F.col("path")))
-    shapes = eps.withColumn("_re", path_pattern(F.col("_c"))).withColumn("_s", segments(F.col("_c")))
-    pairs = paths.select("method", "_b").distinct().withColumn("_s2", segments(F.col("_b")))
-    met = pairs.join(shapes, (F.col("method") == F.col("_m")) & (F.col("_s2") == F.col("_s")) & F.expr("_b rlike _re")).select("method", "_b", "endpoint")
+    shapes = eps.withColumns({"_s": segments(F.col("_c")), "_places": param_places(F.col("_c"))})
+    masks = shapes.groupBy("_m", "_s").agg(F.collect_set("_places").alias("_masks"))
+    pairs = paths.select("method", "_b").distinct().withColumn("_s", segments(F.col("_b")))
+    spelled = pairs.withColumnRenamed("method", "_m").join(masks, ["_m", "_s"]).select("_m", "_b", F.explode("_masks").alias("_places")).withColumn("_c", with_params(F.col("_b"), F.col("_places")))
+    met = spelled.join(shapes, ["_m", "_c", "_places"]).select(F.col("_m").alias("method"), "_b", "endpoint")
     fallback = paths.join(met, ["method", "_b"]).select(*columns, F.lit(False).alias("direct"))
     return direct.unionByName(fallback)
 

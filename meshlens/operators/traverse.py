@@ -1,13 +1,11 @@
 """Bounded walks over call, import, inheritance and router tables.
 
-Frontiers are DataFrames; a walk of fixed depth is unrolled into that many joins, nesting of unknown depth is a recursive
-CTE that carries its path and stops at cycles.
+Frontiers are DataFrames; a walk of fixed depth is unrolled into that many joins. Nesting of unknown depth goes on in rounds
+that are written, until one brings no new row.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +37,24 @@ def call_walk(handlers: DataFrame, resolved: DataFrame, queries: DataFrame, dept
 
     A function is left for its callees once in each walk, at most depth steps from the handler; a callee one step further is
     still an edge. Walks are breadth-first: each function is met at its least depth.
+
+    Edges below a handler don't name it, so all walks go on together, and a function is kept with the two nearest handlers
+    at most: two, since a handler's own walk doesn't leave it a second time as a function, but another handler's does.
     """
     hops = resolved.filter(F.col("target").isNotNull() & (F.col("target") != F.col("fqn"))).select("fqn", "target").distinct()
-    front = handlers.select(F.col("parent").alias("root"), "fqn", F.col("parent").alias("at")).distinct()
+    front = handlers.select("fqn", F.col("fqn").alias("handler")).distinct()
     seen = front
     for _ in range(depth):
-        onward = front.join(hops, "fqn").select("root", F.col("target").alias("fqn"), F.concat(F.lit("fn:"), "target").alias("at")).distinct()
+        onward = front.join(hops, "fqn").select(F.col("target").alias("fqn"), "handler").join(seen, ["fqn", "handler"], "left_anti")
+        held = seen.groupBy("fqn").agg(F.count("*").alias("_held"))
+        met = onward.groupBy("fqn").agg(F.min("handler").alias("_a"), F.max("handler").alias("_b")).join(held, "fqn", "left")
+        room = 2 - F.coalesce("_held", F.lit(0))
+        found = F.slice(F.array_distinct(F.array("_a", "_b")), F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
         # written: later steps read it, and what came before, without working it out again
-        front = staged(onward.join(seen.select("root", "fqn"), ["root", "fqn"], "left_anti"), "walk")
+        front = staged(met.select("fqn", F.explode(found).alias("handler")), "walk")
         seen = seen.unionByName(front)
-    left = seen.select("fqn", "at").distinct()
+    below = seen.filter("fqn != handler").select("fqn").distinct().select("fqn", F.concat(F.lit("fn:"), "fqn").alias("at"))
+    left = handlers.select("fqn", F.col("parent").alias("at")).unionByName(below).distinct()
     call = left.join(hops, "fqn").select(F.col("at").alias("source"), F.concat(F.lit("fn:"), "target").alias("target"), F.lit("calls").alias("type")).withColumn("id", F.concat("source", F.lit("->"), "target"))
     query = left.join(queries, "fqn").select(F.col("at").alias("source"), F.concat(F.lit("db:"), "model").alias("target"), F.lit("queries").alias("type"), F.concat("at", F.lit("->q:"), "model").alias("id"))
     return call.select("id", "source", "target", "type").unionByName(query.select("id", "source", "target", "type")).distinct()
@@ -75,59 +81,55 @@ def sql_taint(functions: DataFrame, forwards: DataFrame) -> DataFrame:
     return through(through(direct))
 
 
-def _recursive(query: str, **tables: DataFrame) -> DataFrame:
-    spark = next(iter(tables.values())).sparkSession
-    names = {k: f"_{k}_{uuid.uuid4().hex}" for k in tables}
-    for k, df in tables.items():
-        df.createOrReplaceTempView(names[k])
-    # limits are read when the query is planned, so it runs here
-    limits = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
-    before = [spark.conf.get(k) for k in limits]
-    try:
-        for k in limits:
-            spark.conf.set(k, "-1")
-        return staged(spark.sql(query.format(**names)), "recursive")
-    finally:
-        for k, v in zip(limits, before, strict=True):
-            spark.conf.set(k, v)
+def closure(links: DataFrame) -> DataFrame:
+    """(a, b) for every b that links(a, b) reach from a in one step or more.
+
+    Pairs double their length each round, so a chain of n links takes log n rounds; each round joins only new pairs, and
+    what is known goes by an anti join, so cycles and diamonds end as soon as they bring nothing new.
+    """
+    new = known = staged(links.select("a", "b").filter("a is not null and b is not null").distinct(), "closure")
+    while not new.isEmpty():
+        on, to = known.select("a", F.col("b").alias("_m")), new.select(F.col("a").alias("_m"), "b")
+        back, far = new.select("a", F.col("b").alias("_m")), known.select(F.col("a").alias("_m"), "b")
+        longer = on.join(to, "_m").select("a", "b").unionByName(back.join(far, "_m").select("a", "b")).distinct()
+        new = staged(longer.join(known, ["a", "b"], "left_anti"), "closure-new")
+        known = known.unionByName(new)
+    return known
 
 
 def inherited_fields(fields: DataFrame, bases: DataFrame) -> DataFrame:
     """(name, fields): own fields(name, field) and those of bases(name, base), sorted; cycles are cut."""
-    return _recursive(
-        """WITH RECURSIVE up(name, above, path) AS (
-             SELECT DISTINCT name, name, array(name) FROM {fields}
-             UNION ALL
-             SELECT u.name, b.base, array_append(u.path, b.base) FROM up u JOIN {bases} b ON u.above = b.name
-             WHERE NOT array_contains(u.path, b.base))
-           SELECT u.name, array_sort(collect_set(f.field)) AS fields FROM up u JOIN {fields} f ON u.above = f.name GROUP BY u.name""",
-        fields=fields,
-        bases=bases,
-    )
+    above = closure(bases.select(F.col("name").alias("a"), F.col("base").alias("b")))
+    own = fields.select("name").distinct()
+    every = own.select("name", F.col("name").alias("_above")).unionByName(own.join(above, F.col("name") == F.col("a")).select("name", F.col("b").alias("_above"))).distinct()
+    held = fields.select(F.col("name").alias("_above"), "field").distinct()
+    return every.join(held, "_above").groupBy("name").agg(F.array_sort(F.collect_set("field")).alias("fields"))
 
 
 def nested_routes(entries: DataFrame, roots: DataFrame, joint: str = "") -> DataFrame:
-    """(path, module, leaf): entries(module, pattern, include, leaf) spelled out from roots(module), prefixes joined by joint; a module inside itself is cut."""
-    return _recursive(
-        f"""WITH RECURSIVE walk(module, prefix, path) AS (
-             SELECT module, '', array(module) FROM {{roots}}
-             UNION ALL
-             SELECT e.include, concat(w.prefix, e.pattern, '{joint}'), array_append(w.path, e.include)
-             FROM walk w JOIN {{entries}} e ON e.module = w.module
-             WHERE e.include IS NOT NULL AND NOT array_contains(w.path, e.include))
-           SELECT DISTINCT concat(w.prefix, e.pattern) AS path, e.module, e.leaf
-           FROM walk w JOIN {{entries}} e ON e.module = w.module WHERE e.include IS NULL""",
-        entries=entries,
-        roots=roots,
-    )
+    """(path, module, leaf): entries(module, pattern, include, leaf) spelled out from roots(module), prefixes joined by joint; a module inside itself is cut.
+
+    A row is a different (module, prefix). Which modules a prefix has come through matters only where includes run in a
+    circle, so only modules of the circle at hand are kept with it.
+    """
+    entries = staged(entries, "entries")
+    steps = entries.filter("include is not null").select("module", "pattern", "include").distinct()
+    above = closure(steps.select(F.col("module").alias("a"), F.col("include").alias("b")))
+    back = above.select(F.col("a").alias("include"), F.col("b").alias("module"))  # include leads back to module
+    steps = staged(steps.join(back.withColumn("_circle", F.lit(True)), ["module", "include"], "left").select("module", "pattern", "include", F.coalesce("_circle", F.lit(False)).alias("_circle")), "includes")
+    none = F.array().cast("array<string>")
+    front = staged(roots.select("module", F.lit("").alias("prefix"), none.alias("_through")).distinct(), "nested")
+    walked = front
+    while not front.isEmpty():
+        through = F.when(F.col("_circle"), F.array_sort(F.array_union("_through", F.array("module")))).otherwise(none)
+        on = front.join(steps, "module").withColumn("_t", through).filter((F.col("include") != F.col("module")) & ~F.array_contains("_t", F.col("include")))
+        onward = on.select(F.col("include").alias("module"), F.concat("prefix", "pattern", F.lit(joint)).alias("prefix"), F.col("_t").alias("_through")).distinct()
+        front = staged(onward.join(walked, ["module", "prefix", "_through"], "left_anti"), "nested")
+        walked = walked.unionByName(front)
+    leaves = entries.filter("include is null").select("module", "pattern", "leaf")
+    return walked.select("module", "prefix").distinct().join(leaves, "module").select(F.concat("prefix", "pattern").alias("path"), "module", "leaf").distinct()
 
 
 def root_modules(entries: DataFrame) -> DataFrame:
     """Modules that no entry includes."""
     return entries.select("module").distinct().join(entries.select(F.col("include").alias("module")).filter("module is not null"), "module", "left_anti")
-
-
-def authed_routes(routes: DataFrame, routers: DataFrame) -> DataFrame:
-    """Routes with has_auth also where their router(file, name, authed) is authed in any place."""
-    found = routers.groupBy("file", "router").agg(F.bool_or("authed").alias("_r"))
-    return routes.join(found, ["file", "router"], "left").withColumn("has_auth", F.coalesce("has_auth", F.lit(False)) | F.coalesce("_r", F.lit(False))).drop("_r")

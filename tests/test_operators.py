@@ -154,19 +154,3 @@ def test_nesting_and_inheritance_cut_cycles(spark):
     fields = spark.createDataFrame([("A", "a"), ("B", "b")], "name string, field string")
     bases = spark.createDataFrame([("A", "B"), ("B", "A")], "name string, base string")
     assert {r["name"]: r["fields"] for r in traverse.inherited_fields(fields, bases).collect()} == {"A": ["a", "b"], "B": ["a", "b"]}
-
-
-def test_recursion_has_no_limits(spark):
-    fields = spark.createDataFrame([(f"c{k}", f"f{k}") for k in range(6)], "name string, field string")
-    bases = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(5)], "name string, base string")
-    limits = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
-    before = [spark.conf.get(k) for k in limits]
-    try:
-        for k in limits:
-            spark.conf.set(k, "3")
-        got = {r["name"]: len(r["fields"]) for r in traverse.inherited_fields(fields, bases).collect()}
-        assert [spark.conf.get(k) for k in limits] == ["3", "3"]
-    finally:
-        for k, v in zip(limits, before, strict=True):
-            spark.conf.set(k, v)
-    assert got == {f"c{k}": 6 - k for k in range(6)}
