@@ -1,8 +1,8 @@
 """URL rules in a sorted digest array.
 
 Every rule is a key ``host + path``. The 64-bit xxhash of the keys, sorted, lie in one file with the keys themselves;
-executors map that file into memory. A URL is probed with each (host suffix, path prefix) that some rule's shape allows,
-by vectorised binary search; a hit counts only if the stored string equals the probed one, so collisions do no harm.
+executors map that file into memory. A URL is probed with the host suffixes and path prefixes whose lengths some rule has,
+so with no more keys than the rules have pairs of lengths, however long it is, by vectorised binary search; a hit counts only if the stored string equals the probed one, so collisions do no harm.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and meets no rule. The longest rule (host and
 path together) wins; of equal rules the later one given. URLs that no rule fits get the default verdict.
@@ -33,13 +33,13 @@ def write_digests(path: str, rules: Iterable[tuple[str, str, str]]) -> None:
     """The file for rules of (verdict, host, path): counts, digests ascending, offsets, verdicts, strings."""
     last = {f"{host}{at}": (verdict == "allow", len(host), len(at)) for verdict, host, at in rules}
     rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), *v) for k, v in last.items())
-    shapes = sorted({r[4] for r in rows})
+    shapes = sorted({(r[3], r[4]) for r in rows})  # lengths of host and path
     with open(path, "wb") as f:
         f.write(struct.pack("<3q", len(rows), len(shapes), sum(len(r[1]) for r in rows)))
         f.write(np.array([r[0] for r in rows], "<u8").tobytes())
         f.write(np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8").tobytes())
         f.write(np.array([r[2] for r in rows], "<i8").tobytes())
-        f.write(np.array(shapes, "<i8").tobytes())
+        f.write(np.array(shapes, "<i8").reshape(-1, 2).tobytes())
         f.write(b"".join(r[1] for r in rows))
 
 
@@ -54,8 +54,10 @@ class DigestArray:
         self.digests = np.frombuffer(self.map, "<u8", n, at)
         self.offsets = np.frombuffer(self.map, "<i8", n + 1, at + 8 * n)
         self.allows = np.frombuffer(self.map, "<i8", n, at + 16 * n + 8)
-        self.path_lengths = np.frombuffer(self.map, "<i8", shapes, at + 24 * n + 8).tolist()
-        self.strings = at + 24 * n + 8 + 8 * shapes
+        self.lengths: dict[int, list[int]] = {}
+        for host, path_ in np.frombuffer(self.map, "<i8", 2 * shapes, at + 24 * n + 8).reshape(-1, 2).tolist():
+            self.lengths.setdefault(host, []).append(path_)
+        self.strings = at + 24 * n + 8 + 16 * shapes
 
     def string(self, i: int) -> bytes:
         return self.map[self.strings + int(self.offsets[i]) : self.strings + int(self.offsets[i + 1])]
@@ -76,13 +78,10 @@ class DigestArray:
         return found
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Every key that a rule fitting this host and path could have."""
-    if not host:
-        return []
-    parts = host.split(".")
-    suffixes = [".".join(parts[i:]) for i in range(len(parts))]
-    return [(s + path[:n]).encode() for s in suffixes for n in lengths if n <= len(path)]
+def probes(host: str, path: str, lengths: dict[int, list[int]]) -> list[bytes]:
+    """Every key that a rule fitting this host and path could have, from the path lengths of each host length."""
+    fit = [n for n in lengths if 0 < n <= len(host) and (n == len(host) or host[-n - 1] == ".")]
+    return [(host[-n:] + path[:m]).encode() for n in fit for m in lengths[n] if m <= len(path)]
 
 
 def _opened(name: str) -> DigestArray:
@@ -98,7 +97,7 @@ def _verdicts(batches: Iterator[pa.RecordBatch], name: str, default: str) -> Ite
         keys: dict[tuple[str, str], list[bytes]] = {}
         for pair in zip(hosts, paths, strict=True):
             if pair not in keys:
-                keys[pair] = probes(*pair, table.path_lengths)
+                keys[pair] = probes(*pair, table.lengths)
         flat = list(dict.fromkeys(k for ks in keys.values() for k in ks))
         hit = {k: int(i) for k, i in zip(flat, table.find(flat), strict=True) if i >= 0}
         rules, verdicts = [], []
