@@ -12,6 +12,7 @@ empty table gives an empty mix; null is a source of its own, last in order. No d
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,14 +147,37 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_blocks", F.when(F.col("_size") > 0, F.transform(F.sequence(first, last), part)))
 
 
+#: Where a row of a file stands.
+_PLACE = {"file_path": "_file", "row_index": "_line"}
+
+
+def _places(docs: DataFrame) -> list[Column]:
+    return [docs.metadataColumn("_metadata")[c].alias(a) for c, a in _PLACE.items()]
+
+
+def _in_files(docs: DataFrame) -> DataFrame:
+    """docs if it is read from files, whose rows have places, else written to the shared folder."""
+    try:
+        docs.select(_places(docs)[-1]).schema  # noqa: B018
+    except AnalysisException:
+        return staged(docs, "mix-texts")
+    return docs
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The mix itself, with the columns of docs: a row holds the words of the blocks taken at least once, a second one those taken twice.
 
     A document all of whose words are taken keeps its text as it is, uncut; others have their words joined by one space.
     """
-    rows = _blocked(_located(docs, id_col, docs.columns, **options).filter("_size > 0"))
+    docs = _in_files(docs)
+    named = docs.select(F.col(id_col), "source", "text", *_places(docs))
+    rows = _blocked(_located(named, id_col, list(_PLACE.values()), **options).filter("_size > 0"))
     times = F.transform("_blocks", lambda b: b["times"])
     rows = rows.withColumn("_least", F.array_min(times)).withColumn("_most", F.array_max(times)).filter("_most > 0")
+    wanted = rows.select("_row.*", "_least", "_most", F.when(F.col("_least") < F.col("_most"), F.col("_blocks")).alias("_blocks"))
+    # the texts move once, beside what is wanted of them, and aren't sorted
+    whole = docs.select(*_places(docs), F.struct(*docs.columns).alias("_row"))
+    rows = whole.join(wanted.hint("shuffle_hash"), list(_PLACE.values()))
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
     kept = lambda words: F.transform(F.filter("_blocks", lambda b: b["times"] >= F.col("_pass")), lambda b: F.slice(words, (b["before"] + 1).cast("int"), b["n"].cast("int")))
     # a text's words are bound once, as the one element of an array

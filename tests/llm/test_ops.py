@@ -663,3 +663,16 @@ def test_urls(spark):
         ("xexample.com", "/en/", "com/", "allow"), ("a.net", "/es/", "net/es/", "block"), ("a.net", "/ES/", None, "allow"), ("h", "", None, "allow"), ("example.com", "/en", "com/", "allow"),
     ]
     assert url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def test_long_hosts_and_many_rules(spark):
+    """A URL of megabytes is probed with no more keys than the rules have lengths."""
+    rules = [("block", f"h{k % 50_000}.example.com", f"/p{k}/") for k in range(100_000)] + [("allow", "a.a", "/"), ("block", "a.a.a", "/x")]
+    lengths = {}
+    for host, path in {(len(h), len(p)) for _, h, p in rules}:
+        lengths.setdefault(host, []).append(path)
+    assert len(url_filter.probes("a." * 2_500_000 + "a", "/x" + "y" * 1_000_000, lengths)) <= 2 * sum(map(len, lengths.values()))
+    urls = ["http://" + "a." * 2_500_000 + "a/x", "http://" + "b" * 5_000_000, "http://h7.example.com/p50007/q", "http://www.h7.example.com/p50007/", "http://h7.example.com/p50008/", "http://a.a/" + "z" * 5_000_000, "http://xa.a/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert got == {0: ("a.a.a/x", "block"), 1: (None, "allow"), 2: ("h7.example.com/p50007/", "block"), 3: ("h7.example.com/p50007/", "block"), 4: (None, "allow"), 5: ("a.a/", "allow"), 6: (None, "allow")}

@@ -23,7 +23,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     found = con.execute(queries.SQL[name])
