@@ -19,7 +19,7 @@ from meshlens.operators import diff, history, score, views
 from meshlens.plans import scan as scanning
 from meshlens.plans import viewer
 from meshlens.sources import cache, config, specs
-from meshlens.streaming import http_receiver, spans
+from meshlens.streaming import http_receiver, spans, state
 
 
 def _spark() -> SparkSession:
@@ -43,13 +43,12 @@ def stored_window(spark: SparkSession, store: str) -> float:
 
 
 def run_ingest(folder: str, store: str, window_hours: float | None = None) -> None:
-    """Takes the payloads of a folder into a store, once each, and prunes it; a window that is given is kept with the store."""
+    """Takes the payloads of a folder into a store, once each, which keeps what is in its window; a window that is given is kept with the store."""
     spark = _spark()
     if window_hours:
         spark.createDataFrame([(float(window_hours),)], "window_hours double").coalesce(1).write.mode("overwrite").json(f"{store}/settings")
     os.makedirs(folder, exist_ok=True)
-    spans.store_stream(spans.payload_stream(spark, folder), store, f"{store}/checkpoint").awaitTermination()
-    spans.pruned(spark, store, int(time.time() * 1000), stored_window(spark, store))
+    state.keep_stream(spans.payload_stream(spark, folder), f"{store}/checkpoint", stored_window(spark, store)).awaitTermination()
 
 
 def run_serve(root: str, folder: str, out: str, port: int, tokens: dict[str, str] | None, every: float | None = None) -> http_receiver.ThreadingHTTPServer:
@@ -93,10 +92,8 @@ def run_scan(root: str, backend: str | None, frontend: str | None, out: str, cov
             raise SystemExit(f"no such folder: {folder}")
     now = int(time.time() * 1000)
     observations = None
-    if store and os.path.isdir(f"{store}/servers"):
-        servers, clients = spark.read.parquet(f"{store}/servers"), spark.read.parquet(f"{store}/clients")
-        routed, unrouted, _ = spans.retained(servers.drop("batch"), clients.drop("batch"), now, window_hours or stored_window(spark, store))
-        observations = routed.drop("key").unionByName(unrouted), clients
+    if store and os.path.isdir(f"{store}/checkpoint/state"):
+        observations = state.kept(spark, f"{store}/checkpoint", now, window_hours or stored_window(spark, store))
     lines = specs.coverage_lines(specs.whole_text(spark, coverage)) if coverage else None
     kept_facts = f"{out}/cache-v{cache.VERSION}"
     before = {name: spark.read.parquet(f"{kept_facts}/{name}") for name in (sorted(os.listdir(kept_facts)) if use_cache and os.path.isdir(kept_facts) else [])}

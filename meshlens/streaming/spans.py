@@ -24,7 +24,7 @@ def span_streams(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def joined_stream(servers: DataFrame, clients: DataFrame, hours: float = 24, apart: float = 1) -> DataFrame:
-    """Server spans with the method and path of a client span of the same trace at most so many hours apart.
+    """Server spans with the method and path of each client span of the same trace at most so many hours apart (state.latest_client_stream gives the latest alone).
 
     The watermark only bounds what is held; what is too old for the window is filtered by retained().
     """
@@ -35,19 +35,6 @@ def joined_stream(servers: DataFrame, clients: DataFrame, hours: float = 24, apa
     return s.join(c, near, "left_outer")
 
 
-def with_latest_client(joined: DataFrame) -> DataFrame:
-    """joined_stream()'s rows, one a server span: of several client spans of its trace the latest. For the rows of a batch or table, since it needs all of a span's matches."""
-    span = [c for c in joined.columns if not c.startswith("client_")]
-    found = [c for c in joined.columns if c.startswith("client_")]
-    return joined.groupBy(*span).agg(F.max_by(F.struct(*found), "client_ts").alias("_c")).select(*span, *[F.col("_c").getField(c).alias(c) for c in found])
-
-
-def windowed_rollup(servers: DataFrame, window: str = "5 minutes", late: str = "24 hours") -> DataFrame:
-    """Requests and errors by key and time window, for a running view of traffic."""
-    key = F.concat("method", F.lit(" "), canonical_path(F.coalesce("route", "path")))
-    return servers.withWatermark("ts", late).groupBy(F.window("ts", window).alias("window"), key.alias("key")).agg(F.count("*").alias("req_count"), F.count_if(F.col("status") >= 500).alias("errors"))
-
-
 def retained(observations: DataFrame, clients: DataFrame, now_ms: int, window_hours: float = 24, cap: int = 5000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(routed, unrouted, clients) that a store keeps: inside the window, the last cap of each key and of the unrouted, and client spans of traces still there."""
     routed, unrouted = split_observations(in_window(observations, now_ms, window_hours))
@@ -66,52 +53,3 @@ def store_stream(payloads: DataFrame, store: str, checkpoint: str) -> StreamingQ
         clients.withColumn("ord", order).write.mode("overwrite").parquet(f"{store}/clients/batch={number}")
 
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def pruned(spark: SparkSession, store: str, now_ms: int, window_hours: float = 24, cap: int = 5000) -> None:
-    """Rewrites a store as retained() leaves it, under one batch number; for use between runs of the stream, never during one.
-
-    The new tables are complete before the old batches go, and wait under a name that readers skip. A run that is cut short
-    is taken up by the next one: what waits names the batches that it stands for.
-    """
-    path, fs = _files(spark, store)
-    if not fs.exists(path("servers")):
-        return
-    for kind in ("servers", "clients"):
-        _settle(fs, path, kind)
-    servers, clients = (spark.read.parquet(f"{store}/{kind}").drop("batch") for kind in ("servers", "clients"))
-    routed, unrouted, live = retained(servers, clients, now_ms, window_hours, cap)
-    rest = [c for c in clients.columns if c != "trace_id"]
-    latest = clients.groupBy("trace_id").agg(F.max_by(F.struct(*rest), "ord").alias("_c")).select("trace_id", "_c.*").select(*clients.columns)
-    kept = {"servers": routed.drop("key").unionByName(unrouted), "clients": latest.join(live.select("trace_id"), "trace_id", "left_semi")}
-    held = {kind: [s.getPath().getName() for s in fs.listStatus(path(kind)) if s.getPath().getName().startswith("batch=")] for kind in kept}
-    for kind, df in kept.items():
-        df.write.mode("overwrite").parquet(f"{store}/_new-{kind}")
-    for kind, names in held.items():
-        # the list is written last: without it, what waits is not used
-        spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").text(f"{store}/_new-{kind}/_stands-for")
-    for kind in kept:
-        _settle(fs, path, kind)
-
-
-def _files(spark: SparkSession, store: str):  # noqa: ANN202
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = lambda *parts: hadoop.Path("/".join([store.rstrip("/"), *parts]))
-    return path, path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _settle(fs, path, kind: str) -> None:  # noqa: ANN001
-    """Puts a waiting table, if it is complete, in the place of the batches that it stands for."""
-    new = f"_new-{kind}"
-    if not fs.exists(path(new, "_stands-for", "_SUCCESS")):
-        fs.delete(path(new), True)
-        return
-    for status in fs.listStatus(path(new, "_stands-for")):
-        if status.getPath().getName().startswith("part-"):
-            stream = fs.open(status.getPath())
-            names = bytes(stream.readAllBytes()).decode().split()
-            stream.close()
-            for name in names:
-                fs.delete(path(kind, name), True)
-    fs.delete(path(new, "_stands-for"), True)
-    fs.rename(path(new), path(kind, "batch=-1"))

@@ -219,35 +219,6 @@ def test_further_extractors(spark, tmp_path):
         del tree.FURTHER["lines"]
 
 
-def test_store_is_pruned(spark, tmp_path):
-    from meshlens.plans import cli
-
-    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
-    now = int(time.time() * 1000)
-    at = lambda ms, s: s | {"startTimeUnixNano": str(ms * 10**6), "endTimeUnixNano": str((ms + 5) * 10**6)}
-    for k, age in enumerate((0, 30 * 3600_000)):
-        http_receiver.accept(folder, payload(at(now - age, span(2, **{"http.method": "get", "http.route": f"/r{k}"})), at(now, span(3, **{"http.method": "get", "url.path": f"/c{k}"}) | {"traceId": "t" if k == 0 else "gone"})).encode(), "application/json")
-    read = lambda kind: sorted(r["route" if kind == "servers" else "path"] for r in spark.read.parquet(f"{store}/{kind}").collect())
-    cli.run_ingest(folder, store)
-    assert read("servers") == ["/r0"] and read("clients") == ["/c0"]
-    http_receiver.accept(folder, payload(at(now, span(2, **{"http.method": "get", "http.route": "/r2"}))).encode(), "application/json")
-    cli.run_ingest(folder, store, 12)
-    assert read("servers") == ["/r0", "/r2"] and cli.stored_window(spark, store) == 12
-    # cut short before and after the list of what it stands for was written
-    spark.createDataFrame([(1,)], "x int").write.parquet(f"{store}/_new-servers")
-    spans.pruned(spark, store, now, 12)
-    assert read("servers") == ["/r0", "/r2"]
-    spark.read.parquet(f"{store}/servers").drop("batch").write.parquet(f"{store}/_new-servers")
-    spark.createDataFrame([("batch=-1",)], "name string").coalesce(1).write.text(f"{store}/_new-servers/_stands-for")
-    spans.pruned(spark, store, now, 12)
-    assert read("servers") == ["/r0", "/r2"]
-
-
-def test_latest_client_span(spark):
-    rows = spark.createDataFrame([(1, "/a", "/x", 5), (1, "/a", "/y", 9), (2, "/b", None, None)], "ord int, path string, client_path string, client_ts int")
-    assert sorted(tuple(r) for r in spans.with_latest_client(rows).select("ord", "client_path").collect()) == [(1, "/y"), (2, None)]
-
-
 def test_server(spark, tmp_path):
     calls = []
     server = http_receiver.make_server(str(tmp_path / "in"), 0, {"t1": "ann"}, lambda p: (b"<p>", "text/html") if p == "/" else None, lambda: calls.append(1) or {"n": len(calls)})
