@@ -1,31 +1,57 @@
 """Span observations laid over endpoints: rollups, attribution to wires, and flags.
 
 An endpoint may hold a third of all observations, so percentiles come from counts by value: summed in each task first, then
-ranked over an endpoint's different values only.
+narrowed down by histograms.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshlens.functions.columns import bare_path, canonical_path, param_places, round_exact, segments, with_params
 from meshlens.operators.match import at, flag
+from meshlens.plans.staging import staged
 from meshlens.sources.config import DEFAULTS
 
 
-def rank_of(q: float, n: Column) -> Column:
-    """Zero-based nearest rank of a quantile among n values: half-even."""
-    return F.least(F.bround(F.lit(q) * (n - 1), 0).cast("long"), n - 1)
+#: Bins of a histogram, and so the most different values that a group may hold to be ranked at once.
+BINS = 1024
+
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None, bins: int = BINS) -> DataFrame:
+    """Nearest-rank percentiles, rounded to one place, of each group's values that aren't null; with weight, a row stands for so many.
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles, rounded to one place, of each group."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    held = counts.withColumn("_up", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    return held.groupBy(*keys).agg(*[round_exact(F.min(F.when(F.col("_up") > rank_of(q, F.col("_all")), F.col(value))), 1).alias(name) for name, q in quantiles.items()])
+    The rank is looked for in histograms: a group's values fall into at most ``bins`` bins of equal width, and those of the
+    bin that holds the rank go on to the next round, until that bin is one value. No group's values meet in one task.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    counts = staged(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n")), "ranks-counts")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()]))
+    spans = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    spans = spans.select(*keys, "_all", "_lo", "_hi", wanted.alias("_q"))
+    rank = F.least(F.bround(F.col("_q.q") * (F.col("_all") - 1), 0).cast("long"), F.col("_all") - 1)
+    open_ = staged(spans.select(*keys, "_q.name", rank.alias("_rank"), "_lo", "_hi"), "ranks-open")
+    done = open_.filter("_lo = _hi")
+    same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
+    while not (left := open_.filter("_lo != _hi")).isEmpty():
+        inside = counts.join(left, same(counts, left) & (counts["_v"] >= left["_lo"]) & (counts["_v"] <= left["_hi"])).select(*[left[k] for k in keys], "name", "_rank", "_lo", "_hi", "_v", "_n")
+        share = (F.col("_v").cast("double") - F.col("_lo").cast("double")) / (F.col("_hi").cast("double") - F.col("_lo").cast("double"))
+        # where doubles don't tell the ends apart, or the width overflows, the ends are bins of their own
+        bin_ = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins + 1).otherwise(1 + F.least(F.lit(bins - 1), F.coalesce(F.floor(F.nanvl(share, F.lit(0.5)) * bins), F.lit(0))).cast("int"))
+        binned = inside.groupBy(*keys, "name", "_rank", bin_.alias("_bin")).agg(F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        row = F.struct(F.col("_bin").alias("bin"), "n", "lo", "hi")
+        held = binned.groupBy(*keys, "name", "_rank").agg(F.array_sort(F.collect_list(row)).alias("_bins"))
+        # the first bin that the rank falls into, and what is left of the rank in it
+        start = F.struct(F.col("_rank").alias("rank"), F.lit(None).cast(binned.select(row.alias("r")).schema["r"].dataType).alias("at"))
+        step = lambda s, b: F.when(s["at"].isNotNull(), s).when(s["rank"] < b["n"], F.struct(s["rank"].alias("rank"), b.alias("at"))).otherwise(F.struct((s["rank"] - b["n"]).alias("rank"), s["at"].alias("at")))
+        found = held.select(*keys, "name", F.aggregate("_bins", start, step).alias("_f"))
+        open_ = staged(found.select(*keys, "name", F.col("_f.rank").alias("_rank"), F.col("_f.at.lo").alias("_lo"), F.col("_f.at.hi").alias("_hi")), "ranks-open")
+        done = done.unionByName(open_.filter("_lo = _hi"))
+    return done.groupBy(*keys).agg(*[round_exact(F.max(F.when(F.col("name") == name, F.col("_lo"))), 1).alias(name) for name in quantiles])
 
 
 def split_observations(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +95,10 @@ def observed(endpoints: DataFrame, observations: DataFrame) -> DataFrame:
 
 def rollup(endpoints: DataFrame, seen: DataFrame, window_hours: float = 24.0) -> DataFrame:
     """One row an endpoint; without traffic, zero requests and nulls."""
-    base = seen.groupBy("endpoint").agg(F.count("*").alias("req_count"), F.count_if(F.col("status") >= 500).alias("_err"), F.bool_or("direct").alias("_direct"))
-    ranks = nearest_ranks(seen, ["endpoint"], "dur_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    # counted once: all else comes from these counts
+    held = staged(seen.groupBy("endpoint", "dur_ms", (F.col("status") >= 500).alias("_failed"), "direct").agg(F.count("*").alias("_n")), "observed")
+    base = held.groupBy("endpoint").agg(F.sum("_n").alias("req_count"), F.coalesce(F.sum(F.when(F.col("_failed"), F.col("_n"))), F.lit(0)).alias("_err"), F.bool_or("direct").alias("_direct"))
+    ranks = nearest_ranks(held, ["endpoint"], "dur_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, "_n")
     ids = endpoints.select(F.col("id").alias("endpoint"))
     joined = ids.join(base, "endpoint", "left").join(ranks, "endpoint", "left")
     return joined.select("endpoint", F.coalesce("req_count", F.lit(0)).alias("req_count"), "p50_ms", "p95_ms", round_exact(F.col("_err") / F.col("req_count"), 4).alias("error_rate"), F.lit(float(window_hours)).alias("window_hours"), F.when(F.col("_direct"), "certain").when(F.col("req_count") > 0, "probable").alias("confidence"))
@@ -87,8 +115,9 @@ def attributed(wires: DataFrame, calls: DataFrame, owners: DataFrame, seen: Data
 
     wires(ord, id, source, target), owners(call, component, ord). req_count is null where no client span is known.
     """
-    hits = seen.join(client_index(clients), "trace_id").groupBy("endpoint", "client_method", "client_path").agg(F.count("*").alias("_hits"))
-    total = seen.groupBy("endpoint").agg(F.count("*").alias("endpoint_req_count"))
+    traced = staged(seen.groupBy("endpoint", "trace_id").agg(F.count("*").alias("_n")), "traced")
+    hits = traced.join(client_index(clients), "trace_id").groupBy("endpoint", "client_method", "client_path").agg(F.sum("_n").alias("_hits"))
+    total = traced.groupBy("endpoint").agg(F.sum("_n").alias("endpoint_req_count"))
     any_hit = hits.select("endpoint").distinct().withColumn("attributed", F.lit(True))
     call = calls.select(F.col("id").alias("source"), F.col("method").alias("client_method"), canonical_path(F.coalesce("url", F.lit(""))).alias("client_path"))
     named = owners.groupBy(F.col("call").alias("source")).agg(F.max_by("component", "ord").alias("component"))

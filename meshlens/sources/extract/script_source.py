@@ -2,8 +2,8 @@
 
 The scanner cuts a source into tokens, pairs its brackets, and finds around any place the enclosing blocks: named
 functions, try blocks, calls. That is enough for call sites with their method, URL, owner, handling, read and sent fields,
-for type shapes, Express routes and mounts, file routes and tRPC routers. It is no full parser: JSX text and regular
-expression literals that hold unbalanced brackets can hide facts after them.
+for type shapes, Express routes and mounts, file routes and tRPC routers. It is no full parser. Its tokens come from a
+stack of modes: code, templates with code in them, elements and their text, and regular expressions by the token before.
 """
 
 from __future__ import annotations
@@ -16,27 +16,164 @@ from functools import cached_property
 from meshlens.sources.extract.graphql_source import document_fields
 
 Fact = tuple[str, dict]
-TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$][\w$]*|\d[\w.]*|=>|\.\.\.|\?\.|[^\s]", re.S)
+TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|=>|\.\.\.|\?\.|[^\s]", re.S)
+BLANK = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))+", re.S)
+PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*")
+#: So many slashes that no pattern follows, though one might, and a source's others are divisions.
+TRIES = 100
+ELEMENT = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>{])(?!\s+extends\b))")
+CHILD = re.compile("[<{]")
+#: Words after which an operand begins.
+BEFORE_OPERAND = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await", "default"}
 WORD = re.compile(r"[A-Za-z_$][\w$]*\Z")
 #: Fixed values.
 VERBS = {"get", "post", "put", "delete", "patch"}
 BUILTINS = {"then", "catch", "finally", "json", "map", "filter", "forEach", "find", "findIndex", "reduce", "some", "every", "includes", "concat", "join", "sort", "reverse", "push", "pop", "shift", "slice", "splice", "keys", "values", "entries", "length", "indexOf", "at", "flat", "flatMap", "toString", "hasOwnProperty"}
 HOOKS = {"useQuery", "useMutation", "useInfiniteQuery", "useSuspenseQuery"}
-TRPC_VERBS = {"useQuery": "QUERY", "useInfiniteQuery": "QUERY", "useSuspenseQuery": "QUERY", "query": "QUERY", "useMutation": "MUTATION", "mutate": "MUTATION", "mutation": "MUTATION", "useSubscription": "SUBSCRIPTION", "subscription": "SUBSCRIPTION"}
+TRPC_ROOTS = ("trpc", "api", "client")
+TRPC_VERBS = {"useQuery": "QUERY", "useMutation": "MUTATION", "useInfiniteQuery": "QUERY", "useSuspenseQuery": "QUERY", "query": "QUERY", "mutate": "MUTATION", "fetch": "QUERY"}
 CLIENT = re.compile(r"(axios|api\w*|client|http)\Z", re.I)
 OWN_CLIENT = re.compile(r"(api\w*|client|http)\Z", re.I)
 AUTH = re.compile(r"auth|login|jwt|passport|session|permission|protect|guard|verify", re.I)
 BODY_METHODS = {"POST", "PUT", "PATCH"}
 
 
+class Lexer:
+    """Tokens (place, text) of a source. A template is one token, with the code in it; text between elements and comments are none."""
+
+    def __init__(self, source: str, elements: bool) -> None:
+        self.source, self.elements, self.tries = source, elements, TRIES
+        self.found: list[tuple[int, str]] = []
+
+    def operand_next(self) -> bool:
+        """Whether an operand may begin here, so that a slash opens a pattern and an angle bracket an element."""
+        last = self.found[-1][1] if self.found else ""
+        return last in BEFORE_OPERAND or not (last[-1:] in (")", "]", "'", '"', "`") or last[:1].isalnum() or last[:1] in ("_", "$"))
+
+    def code(self, at: int, inner: bool = False) -> int | None:
+        """Reads code to the end, or to the brace that closes it: its place, or None if there is none."""
+        source, depth = self.source, 0
+        while at < len(source):
+            if blank := BLANK.match(source, at):
+                at = blank.end()
+                continue
+            c = source[at]
+            if c == "`":
+                end = self.template(at)
+            elif c == "/" and self.tries and self.operand_next():
+                m = PATTERN.match(source, at)
+                self.tries -= m is None
+                end = m.end() if m else at + 1
+            elif c == "<" and self.elements and self.operand_next() and ELEMENT.match(source, at):
+                kept = len(self.found)
+                after = self.element(at)
+                if after is not None:
+                    at = after
+                    continue
+                del self.found[kept:]
+                self.elements = False  # what doesn't close is no element; nothing after it is taken for one
+                end = at + 1
+            else:
+                end = TOKEN.match(source, at).end()
+                depth += (c == "{") - (c == "}")
+                if inner and depth < 0:
+                    return at
+            self.found.append((at, source[at:end]))
+            at = end
+        return None if inner else at
+
+    def template(self, at: int) -> int:
+        return template_parts(self.source, at, self.elements)[1]
+
+    def braced(self, at: int) -> int | None:
+        """Code in braces, with them: the place after it."""
+        self.found.append((at, "{"))
+        end = self.code(at + 1, True)
+        if end is None:
+            return None
+        self.found.append((end, "}"))
+        return end + 1
+
+    def element(self, at: int) -> int | None:
+        """An element with its attributes and children: the place after it, or None if it doesn't close. Elements in it lie on a stack."""
+        source, open_ = self.source, 0
+        while True:
+            # a tag begins here
+            closing = source.startswith("</", at)
+            self.found.append((at, "<"))
+            at += 1
+            alone = False
+            while True:
+                if blank := BLANK.match(source, at):
+                    at = blank.end()
+                if at >= len(source):
+                    return None
+                c = source[at]
+                if c == "{":
+                    at = self.braced(at)
+                    if at is None:
+                        return None
+                    continue
+                if c in "'\"":  # no escapes, and any lines
+                    end = source.find(c, at + 1) + 1
+                    if not end:
+                        return None
+                elif c == "<" and self.found[-1][1] == "=":
+                    at = self.element(at)
+                    if at is None:
+                        return None
+                    continue
+                elif c == "`":
+                    end = self.template(at)
+                else:
+                    end = TOKEN.match(source, at).end()
+                self.found.append((at, source[at:end]))
+                at = end
+                if c == ">" and self.found[-2][1] != "=":
+                    alone = self.found[-2][1] == "/"
+                    break
+            open_ += -1 if closing else 0 if alone else 1
+            if open_ <= 0:
+                return at
+            # its children: text is passed over
+            while True:
+                child = CHILD.search(source, at)
+                if child is None:
+                    return None
+                at = child.start()
+                if source[at] == "<":
+                    break
+                at = self.braced(at)
+                if at is None:
+                    return None
+
+
+def template_parts(source: str, at: int, elements: bool = False) -> tuple[list[str | None], int]:
+    """Texts of the template that begins here, with None for code between them, and the place after it."""
+    parts: list[str | None] = []
+    begin = at = at + 1
+    while at < len(source) and source[at] != "`":
+        if source[at] == "\\":
+            at += 2
+        elif source.startswith("${", at):
+            parts += [source[begin:at], None]
+            end = Lexer(source, elements).code(at + 2, True)
+            begin = at = len(source) if end is None else end + 1
+        else:
+            at += 1
+    parts.append(source[begin : min(at, len(source))])
+    return parts, min(at + 1, len(source))
+
+
 class Script:
-    def __init__(self, source: str) -> None:
-        found = [m for m in TOKEN.finditer(source) if not m[0].startswith(("//", "/*"))]
-        self.source, self.at = source, [m.start() for m in found]
+    def __init__(self, source: str, elements: bool = True) -> None:
+        lexer = Lexer(source, elements)
+        lexer.code(0)
+        self.source, self.at = source, [at for at, _ in lexer.found]
         self.breaks = [m.start() for m in re.finditer("\n", source)]
-        self.text = [m[0] for m in found]
+        self.text = [text for _, text in lexer.found]
         self.pair: dict[int, int] = {}
-        self.parent = [-1] * len(found)
+        self.parent = [-1] * len(self.text)
         stack: list[int] = []
         for i, t in enumerate(self.text):
             self.parent[i] = stack[-1] if stack else -1
@@ -147,7 +284,7 @@ class Script:
         if a == b and first[:1] in "'\"":
             return first[1:-1], "certain"
         if a == b and first[:1] == "`":
-            return re.sub(r"\$\{[^}]*\}", ":param", first[1:-1]), "probable"
+            return "".join(":param" if p is None else p for p in template_parts(first, 0)[0]), "probable"
         if any(self.text[k] == "+" for k in range(a, b + 1)):
             pieces, k = [], a
             while k <= b:
@@ -286,7 +423,7 @@ def call_sites(s: Script) -> Iterator[Fact]:
             options = s.span(*args[1]) if len(args) > 1 and s.word(args[1][0]) == "{" else ""
             found = re.search(r"method\s*:\s*['\"`](\w+)", options, re.I)
             fact = {"method": found[1].upper() if found else "GET"}
-        elif len(path) > 2 and path[0] in ("trpc", "api", "client") and name in TRPC_VERBS:
+        elif len(path) > 2 and path[0].lower() in TRPC_ROOTS and name in TRPC_VERBS:
             who, line = s.owner(i)
             yield "call", {"method": TRPC_VERBS[name], "url": "/trpc#" + ".".join(path[1:-1]), "confidence": "certain", "line": s.line(k), "component": who, "component_line": line, "has_error_handling": True, "has_timeout": True, "trpc": True}
             continue

@@ -56,7 +56,7 @@ def _parse(section: str, path: str, text: str) -> Iterator[tuple[str, dict]]:
     elif section == "schema":
         yield from graphql_source.schema_fields(text)
     else:
-        s = script_source.Script(text)
+        s = script_source.Script(text, elements=not path.endswith(".ts"))
         yield from script_source.call_sites(s)
         yield from script_source.types(s)
         if not path.endswith(("x",)):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from meshlens import schema
@@ -154,3 +155,39 @@ def test_nesting_and_inheritance_cut_cycles(spark):
     fields = spark.createDataFrame([("A", "a"), ("B", "b")], "name string, field string")
     bases = spark.createDataFrame([("A", "B"), ("B", "A")], "name string, base string")
     assert {r["name"]: r["fields"] for r in traverse.inherited_fields(fields, bases).collect()} == {"A": ["a", "b"], "B": ["a", "b"]}
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.5] * 7 + [1e-300, 1e300, 7.0, -3.0], [float(k % 997) / 7 for k in range(5000)], [1 + k * 2**-52 for k in range(40)] + [5e200], [-1.7e308, 1.7e308, 0.0, 3.0, 4.0], list(range(100))])
+def test_ranks_by_histograms(spark, values):
+    """The same as sorting, with as few as three bins a round, and no window over values."""
+    df = spark.createDataFrame([("a" if k % 3 else None, v) for k, v in enumerate(map(float, values))] + [("b", None)], "k string, v double")
+    quantiles = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = runtime.nearest_ranks(df, ["k"], "v", quantiles, bins=3)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key in ("a", None):
+        held = sorted(float(v) for k, v in enumerate(values) if ("a" if k % 3 else None) == key)
+        if held:
+            want[key] = tuple(round(held[min(len(held) - 1, round(q * (len(held) - 1)))], 1) for q in quantiles.values())
+    assert {r["k"]: tuple(r[n] for n in quantiles) for r in found.collect()} == want
+
+
+def test_ranks_of_many_values(spark):
+    df = spark.range(300_000).selectExpr("id % 2 as k", "cast(pmod(xxhash64(id), 1000000007) as double) as v")
+    for r in runtime.nearest_ranks(df, ["k"], "v", {"p": 0.95}).collect():
+        held = sorted(x["v"] for x in df.filter(F.col("k") == r["k"]).collect())
+        assert r["p"] == held[round(0.95 * (len(held) - 1))]
+
+
+def test_nested_bodies_meet_lines_once(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "a.py", k, 400 - k) for k in range(150)] + [("none", "a.py", 500, 400), ("start", "a.py", None, 9), ("zero", "b.py", 1, 0)], "id string, file string, line int, end_line int")
+    lines = spark.createDataFrame([("src/a.py", k, "executed" if k % 3 else "missing") for k in range(1, 400, 2)] + [("src/a.py", 9, "executed")], "file string, line int, state string")
+    found = coverage.body_coverage(nodes, lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " > line" not in plan and "<= end_line" not in plan
+    state = {k: k % 3 != 0 or k == 9 for k in range(1, 400, 2)}
+    want = {}
+    for k in range(150):
+        inside = [ran for at, ran in state.items() if k < at <= 400 - k]
+        want[f"n{k}"] = round(sum(inside) / len(inside) * 100, 1)
+    assert {r["id"]: r["coverage_pct"] for r in found.collect()} == want
