@@ -96,11 +96,8 @@ def run_scan(root: str, backend: str | None, frontend: str | None, out: str, cov
         observations = state.kept(spark, f"{store}/checkpoint", now, window_hours or stored_window(spark, store))
     lines = specs.coverage_lines(specs.whole_text(spark, coverage)) if coverage else None
     kept_facts = f"{out}/cache-v{cache.VERSION}"
-    before = {name: spark.read.parquet(f"{kept_facts}/{name}") for name in (sorted(os.listdir(kept_facts)) if use_cache and os.path.isdir(kept_facts) else [])}
-    graph = scanning.scan(spark, *sides, before=before, openapi=_openapi(spark, root, sides[0]), lines=lines, observations=observations, config=config.load_config(os.path.join(root, "meshlens.yaml")))
+    graph = scanning.scan(spark, *sides, cached=kept_facts if use_cache else None, openapi=_openapi(spark, root, sides[0]), lines=lines, observations=observations, config=config.load_config(os.path.join(root, "meshlens.yaml")))
     specs.write_graph({"nodes": graph.nodes.drop("ord"), "edges": graph.edges, "flags": graph.flags}, f"{out}/graph.json")
-    for name, facts in graph.facts.items():
-        facts.write.mode("overwrite").parquet(f"{kept_facts}/{name}")
     with open(f"{out}/graph.html", "w", encoding="utf-8") as f:
         f.write(viewer.page(document(out)))
     taken = history.snapshot(graph.nodes, graph.edges, graph.flags, now)

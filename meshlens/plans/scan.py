@@ -147,12 +147,12 @@ def static_flags(endpoints: DataFrame, facts: DataFrame, calls: DataFrame) -> Da
     return out
 
 
-def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFrame, str] | None = None, lines: DataFrame | None = None, observations: tuple[DataFrame, DataFrame] | None = None, config: dict = DEFAULTS, before: dict[str, DataFrame] | None = None) -> Graph:
-    """The graph of a backend and a frontend tree. openapi: its operations and file name; lines: coverage; observations: server and client spans in the window; before: facts of the scan before, which unchanged files keep."""
+def scan(spark: SparkSession, backend: str, frontend: str, openapi: tuple[DataFrame, str] | None = None, lines: DataFrame | None = None, observations: tuple[DataFrame, DataFrame] | None = None, config: dict = DEFAULTS, cached: str | None = None) -> Graph:
+    """The graph of a backend and a frontend tree. openapi: its operations and file name; lines: coverage; observations: server and client spans in the window; cached: a folder of facts, which unchanged files keep from scan to scan."""
 
     def read(name: str, root: str, *sections: str) -> DataFrame:
         files = reduce(DataFrame.unionByName, [tree.scan(spark, root, s) for s in sections])
-        return staged(cache.refreshed(before[name], files) if before and name in before else tree.facts(files), f"facts-{name}")
+        return cache.updated(f"{cached}/{name}", files) if cached else staged(tree.facts(files), f"facts-{name}")
 
     facts = {"python": read("python", backend, "python", *tree.FURTHER), "script": read("script", backend, "script"), "schema": read("schema", backend, "schema")}
     if frontend != backend:

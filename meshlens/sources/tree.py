@@ -81,6 +81,9 @@ def register(section: str, glob: str, parse: Callable[[str, str], Iterator[tuple
     FURTHER[section] = (glob, parse)
 
 
+FACT_ROWS = "section string, path string, sha string, ord long, kind string, fact string"
+
+
 def facts(files: DataFrame) -> DataFrame:
     """(section, path, sha, ord, kind, fact) of files; one that can't be read has the one fact ``failed``, one without facts ``none``. Files are dealt out anew: many small ones come in few splits."""
     ship(files.sparkSession)
@@ -99,7 +102,7 @@ def facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["section", "path", "sha", "ord", "kind", "fact"])
 
     dealt = files.withColumn("sha", F.sha2("content", 256)).repartition("path")
-    return dealt.mapInPandas(run, "section string, path string, sha string, ord long, kind string, fact string")
+    return dealt.mapInPandas(run, FACT_ROWS)
 
 
 def of_kind(found: DataFrame, kind: str) -> DataFrame:

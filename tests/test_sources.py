@@ -201,6 +201,26 @@ def test_cache_parses_only_what_changed(spark, tmp_path):
     assert {(r["path"], r["fact"].endswith(" ")) for r in found} == {("b.py", True), ("c.py", False), ("d.py", False), ("e.py", False)}
 
 
+def test_a_scan_writes_the_buckets_that_changed(spark, tmp_path):
+    src, kept = tmp_path / "src", tmp_path / "cache"
+    src.mkdir()
+    for k in range(40):
+        (src / f"m{k}.py").write_text(f"def f{k}(): pass\n")
+    scan = lambda: cache.updated(str(kept), tree.scan(spark, str(src), "python"))
+    stamps = lambda: {p.parent.name: p.name for p in kept.glob("bucket=*/part-*")}
+    names = lambda df: sorted(r["fqn"] for r in tree.of_kind(df, "function").select("fqn").collect())
+    assert len(names(scan())) == 40
+    first = stamps()
+    assert len(names(scan())) == 40 and stamps() == first
+    (src / "m7.py").write_text("def changed(): pass\n")
+    assert "m7.changed" in names(scan()) and "m7.f7" not in names(scan())
+    assert sum(first[b] != n for b, n in stamps().items()) == 1
+    for p in src.glob("*.py"):
+        p.unlink()
+    (src / "one.py").write_text("def one(): pass\n")
+    assert names(scan()) == ["one.one"]
+
+
 def test_further_extractors(spark, tmp_path):
     (tmp_path / "x.routes").write_text("GET /a\nPOST /b")
 
