@@ -99,7 +99,11 @@ def closure(links: DataFrame) -> DataFrame:
 
 def inherited_fields(fields: DataFrame, bases: DataFrame) -> DataFrame:
     """(name, fields): own fields(name, field) and those of bases(name, base), sorted; cycles are cut."""
-    above = closure(bases.select(F.col("name").alias("a"), F.col("base").alias("b")))
+    return fields_above(fields, closure(bases.select(F.col("name").alias("a"), F.col("base").alias("b"))))
+
+
+def fields_above(fields: DataFrame, above: DataFrame) -> DataFrame:
+    """inherited_fields() from a closure above(a, b) of the bases."""
     own = fields.select("name").distinct()
     every = own.select("name", F.col("name").alias("_above")).unionByName(own.join(above, F.col("name") == F.col("a")).select("name", F.col("b").alias("_above"))).distinct()
     held = fields.select(F.col("name").alias("_above"), "field").distinct()
@@ -113,7 +117,10 @@ def nested_routes(entries: DataFrame, roots: DataFrame, joint: str = "") -> Data
     circle, so only modules of the circle at hand are kept with it.
     """
     entries = staged(entries, "entries")
-    steps = entries.filter("include is not null").select("module", "pattern", "include").distinct()
+    leaves = entries.filter("include is null").select("module", "pattern", "leaf")
+    steps = staged(entries.filter("include is not null").select("module", "pattern", "include").distinct(), "includes")
+    if steps.isEmpty():
+        return roots.select("module").distinct().join(leaves, "module").select(F.col("pattern").alias("path"), "module", "leaf").distinct()
     above = closure(steps.select(F.col("module").alias("a"), F.col("include").alias("b")))
     back = above.select(F.col("a").alias("include"), F.col("b").alias("module"))  # include leads back to module
     steps = staged(steps.join(back.withColumn("_circle", F.lit(True)), ["module", "include"], "left").select("module", "pattern", "include", F.coalesce("_circle", F.lit(False)).alias("_circle")), "includes")
@@ -126,7 +133,6 @@ def nested_routes(entries: DataFrame, roots: DataFrame, joint: str = "") -> Data
         onward = on.select(F.col("include").alias("module"), F.concat("prefix", "pattern", F.lit(joint)).alias("prefix"), F.col("_t").alias("_through")).distinct()
         front = staged(onward.join(walked, ["module", "prefix", "_through"], "left_anti"), "nested")
         walked = walked.unionByName(front)
-    leaves = entries.filter("include is null").select("module", "pattern", "leaf")
     return walked.select("module", "prefix").distinct().join(leaves, "module").select(F.concat("prefix", "pattern").alias("path"), "module", "leaf").distinct()
 
 

@@ -175,9 +175,12 @@ def unused_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.unused(eps, match.matched(calls(spark, sf_dir), eps)).select("id", "method", "raw_path")
 
 
-@query(f"WITH {EP_SQL} SELECT method, canon AS path, id, ord FROM firsts")
+@query(f"WITH routes AS (SELECT page_id AS ord, 'page' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, {canon_sql("regexp_replace(url, '^https?://[^/]+', '')")} AS path FROM pages) SELECT method, path, arg_min(id, ord) AS id, min(ord) AS ord FROM routes GROUP BY method, path")
 def first_match_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.keyed_endpoints(endpoints(spark)).select(F.col("_method").alias("method"), F.col("_path").alias("path"), "ep.id", "ep.ord")
+    """Of the routes that pages serve, the first of each method and canonical path."""
+    p = table(spark, sf_dir, "pages")
+    routes = p.select(F.col("page_id").alias("ord"), F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("id"), F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"), fx.strip_origin(F.col("url")).alias("raw_path"))
+    return match.keyed_endpoints(routes).select(F.col("_method").alias("method"), F.col("_path").alias("path"), "ep.id", "ep.ord")
 
 
 @query(MATCH_SQL + "SELECT m AS matched, o AS orphan_calls, u AS unused_endpoints, m + o >= 20 AND 4 * m < m + o AS discovery_guard FROM (SELECT (SELECT count(*) FROM hit) AS m, (SELECT count(*) FROM lost) AS o, (SELECT count(*) FROM eps WHERE id NOT IN (SELECT ep_id FROM hit)) AS u)")
@@ -627,13 +630,13 @@ SQL["model_inheritance"] = "WITH RECURSIVE b(name, base) AS (SELECT s_suppkey, s
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey") + 1
-    kids = n.select(F.expr("cast((n_nationkey + 1) div 2 as string)").alias("module"), F.concat(F.lit("/n"), k.cast("string")).alias("pattern"), k.cast("string").alias("include"), F.lit(None).cast("string").alias("leaf")).filter("module <> '0'")
-    leaves = n.select(k.cast("string").alias("module"), F.lit("/list").alias("pattern"), F.lit(None).cast("string").alias("include"), F.col("n_name").alias("leaf"))
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    kids = s.filter("s_suppkey > 1").select(F.expr("cast(s_suppkey div 2 as string)").alias("module"), F.concat(F.lit("/n"), k).alias("pattern"), k.alias("include"), F.lit(None).cast("string").alias("leaf"))
+    leaves = s.select(k.alias("module"), F.lit("/list").alias("pattern"), F.lit(None).cast("string").alias("include"), F.col("s_name").alias("leaf"))
     return kids.unionByName(leaves)
 
 
-@query("WITH RECURSIVE w(m, prefix) AS (SELECT 1, '' UNION ALL SELECT n_nationkey + 1, prefix || '/n' || (n_nationkey + 1) FROM w JOIN nation ON (n_nationkey + 1) // 2 = m WHERE n_nationkey > 0) SELECT prefix || '/list' AS path, CAST(m AS VARCHAR) AS module, n_name AS leaf FROM w JOIN nation ON n_nationkey + 1 = m")
+@query("WITH RECURSIVE w(m, prefix) AS (SELECT CAST(s_suppkey AS BIGINT), '' FROM supplier WHERE s_suppkey < 2 UNION ALL SELECT s_suppkey, prefix || '/n' || s_suppkey FROM w JOIN supplier ON s_suppkey // 2 = m WHERE s_suppkey > 1) SELECT prefix || '/list' AS path, CAST(m AS VARCHAR) AS module, s_name AS leaf FROM w JOIN supplier ON s_suppkey = m")
 def include_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _nested(spark, sf_dir)
     return traverse.nested_routes(e, traverse.root_modules(e))

@@ -104,7 +104,8 @@ def with_contracts(endpoints: DataFrame, facts: DataFrame) -> DataFrame:
     """Endpoints with declared and accepted fields of their models; null where there is no known model. A name's last definition counts."""
     models = tree.of_kind(facts, "contract").groupBy("name").agg(F.max_by(F.struct("bases", "fields", "required"), F.struct("file", "_ord")).alias("m")).select("name", "m.*")
     bases = models.select("name", F.explode("bases").alias("base"))
-    every = lambda c: traverse.inherited_fields(models.select("name", F.explode(c).alias("field")).unionByName(models.select("name", F.lit(None).cast("string").alias("field"))), bases)
+    above = traverse.closure(bases.select(F.col("name").alias("a"), F.col("base").alias("b")))
+    every = lambda c: traverse.fields_above(models.select("name", F.explode(c).alias("field")).unionByName(models.select("name", F.lit(None).cast("string").alias("field"))), above)
     fields, needed = every("fields"), every("required")
     out = endpoints.join(fields.toDF("response_model", "response_fields"), "response_model", "left").join(fields.toDF("request_model", "request_fields"), "request_model", "left")
     return out.join(needed.toDF("request_model", "request_required"), "request_model", "left")

@@ -145,11 +145,11 @@ def scan_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.schema_endpoints(facts(spark, sf_dir, "schema")).select(*ROUTE)
 
 
-@query("SELECT 'ep:GET /s' || s_suppkey || '/items/{item_id}' AS id, 'id,name' AS answered, NULL AS accepted, NULL AS needed FROM supplier UNION ALL SELECT 'ep:POST /s' || s_suppkey || '/items', NULL, 'name,note', 'name' FROM supplier")
+@query("SELECT 'ep:GET /s' || s_suppkey || '/items/{item_id}' AS id, 'id,name' AS answered, NULL AS accepted, NULL AS needed FROM supplier UNION ALL SELECT 'ep:POST /s' || s_suppkey || '/items', NULL, 'name,note', 'name' FROM supplier" + f" UNION ALL SELECT id, NULL, NULL, NULL FROM ({_routes('python')} UNION ALL {_routes('script')} UNION ALL {_routes('schema')}) WHERE framework <> 'fastapi'")
 def scan_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the models that routes name, inherited ones among them."""
     joined = lambda c: F.array_join(F.array_sort(c), ",")
-    return services(spark, sf_dir).filter("framework = 'fastapi'").select("id", joined("response_fields").alias("answered"), joined("request_fields").alias("accepted"), joined("request_required").alias("needed"))
+    return services(spark, sf_dir).select("id", joined("response_fields").alias("answered"), joined("request_fields").alias("accepted"), joined("request_required").alias("needed"))
 
 
 @query("SELECT 'Out' || s_suppkey AS name, 'app/models' || s_suppkey || '.py' AS file, 'Root' || s_suppkey AS bases, 'name' AS fields FROM supplier UNION ALL SELECT 'Root' || s_suppkey, 'app/models' || s_suppkey || '.py', 'BaseModel', 'id' FROM supplier UNION ALL SELECT 'In' || s_suppkey, 'app/models' || s_suppkey || '.py', 'BaseModel', 'name,note' FROM supplier")
@@ -157,9 +157,10 @@ def scan_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.of_kind(facts(spark, sf_dir, "python"), "contract").select("name", "file", F.array_join("bases", ",").alias("bases"), F.array_join("fields", ",").alias("fields"))
 
 
-@query("SELECT 'app.m' || s_suppkey || '.make' AS fqn, CAST(1 + CASE WHEN s_suppkey % 5 = 0 THEN 11 ELSE 0 END AS INT) AS complexity, s_suppkey % 4 <> 0 AS has_try FROM supplier")
+@query("""SELECT replace(f, '@', CAST(s_suppkey AS VARCHAR)) AS fqn, CAST(1 + CASE WHEN f = 'app.m@.make' AND s_suppkey % 5 = 0 THEN 11 ELSE 0 END AS INT) AS complexity, f = 'app.m@.make' AND s_suppkey % 4 <> 0 AS has_try
+FROM supplier, (VALUES ('app.m@.read'), ('app.m@.make'), ('app.m@.load'), ('q@.views.one'), ('q@.views.Two.get')) v(f)""")
 def scan_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.of_kind(facts(spark, sf_dir, "python"), "function").filter("fqn like 'app.m%.make'").select("fqn", "complexity", "has_try")
+    return tree.of_kind(facts(spark, sf_dir, "python"), "function").select("fqn", "complexity", "has_try")
 
 
 # ---------------------------------------------------------------- calls, wires and flags

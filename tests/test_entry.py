@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meshlens.plans import bindings, registry
+from meshlens.plans import bindings, more_bindings, registry  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
