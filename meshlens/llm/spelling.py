@@ -137,6 +137,7 @@ class _Cell:
 
     def __init__(self, cell: int, rest: np.ndarray, letters: list[bytes], n: np.ndarray) -> None:
         self.band = (cell >> 62 & 3) + 1  # the second band, from 1 on
+        self.size = cell & _LONGEST
         self.first = self.band == 1  # equal masks meet in the cells of all three bands: only those of the first count
         self.rest, self.letters, self.n = rest, letters, n
         self.a: list[np.ndarray] = []
@@ -147,6 +148,9 @@ class _Cell:
 
     def meet(self, kind: int, own: np.ndarray, stored: np.ndarray) -> None:
         """Pairs of one row of own and one stored row that differ as the kind says."""
+        if self.size < _LONGEST:  # longer words share a cell whatever their length
+            self._same_size(kind, own, stored, self.size - (kind == 2), self.size)
+            return
         by_size: dict[int, list[int]] = {}
         for i in own.tolist():
             by_size.setdefault(len(self.letters[i]), []).append(i)
@@ -258,7 +262,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, parts, kinds, rest = (batch.column(i).to_numpy() for i in range(4))
         letters, n = batch.column(4), batch.column(5).to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (parts[1:] != parts[:-1])]))
-        for begin, end in zip(edges, [*edges[1:], len(cells)], strict=True):
+        ends = np.append(edges[1:], len(cells))
+        # a cell without stored words, or with one word alone, has no pairs; the first and the last may go on beyond the batch
+        worth = (kinds[edges] == 0) & (ends - edges > 1)
+        worth[[0, -1]] = True
+        for begin, end in zip(edges[worth].tolist(), ends[worth].tolist(), strict=True):
             here = int(cells[begin]), int(parts[begin])
             if here != at.here:
                 at.settle()
