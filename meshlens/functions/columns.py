@@ -54,20 +54,17 @@ def strip_origin(url: Column) -> Column:
     return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
 
 
-def method_of(label: Column) -> Column:
-    return F.substring_index(label, " ", 1)
-
-
 def join_path(prefix: Column, path: Column) -> Column:
     out = F.rtrim(F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/"), F.ltrim(path, F.lit("/"))), F.lit("/"))
     return F.when(out == "", "/").otherwise(out)
 
 
 def template_of_regex(pattern: Column) -> Column:
-    """A regular-expression route as a template: named groups by name, others as <p>, anchors dropped."""
+    """A regular-expression route as a template: named groups by name, others as <p>, anchors and escapes dropped."""
     out = F.regexp_replace(pattern, r"\(\?P<(\w+)>[^)]*\)", "<$1>")
     out = F.regexp_replace(out, r"\([^)]*\)", "<p>")
-    return F.regexp_replace(F.regexp_replace(out, r"^\^", ""), r"\$$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"^\^", ""), r"\$$", "")
+    return F.regexp_replace(out, r"\\([/.])", "$1")
 
 
 def module_of(path: Column) -> Column:
@@ -76,21 +73,6 @@ def module_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\.__init__$", ""), r"^__init__$", "")
 
 
-def relative_module(module: Column, is_package: Column, level: Column, target: Column) -> Column:
-    """What a relative import names; null where it climbs out of the tree."""
-    parts = F.when(module == "", F.array().cast("array<string>")).otherwise(F.split(module, r"\."))
-    up = F.when(is_package, level - 1).otherwise(level)
-    base = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0)))
-    joined = F.concat_ws(".", F.when(F.coalesce(target, F.lit("")) == "", base).otherwise(F.concat(base, F.array(target))))
-    return F.when(up <= F.size(parts), joined)
-
-
-def camel(name: Column) -> Column:
-    parts = F.split(name, "_")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))))
-    return F.when(F.size(parts) <= 1, name).otherwise(F.concat(F.get(parts, F.lit(0)), F.concat_ws("", rest)))
-
-
 def next_route(path: Column) -> Column:
     """struct(route, kind) of a file under pages/api or app/api/**/route.*; null for other files."""
     parts = F.split(path, "/")
@@ -131,10 +113,6 @@ def iso_second(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def smells_of_auth(name: Column) -> Column:
-    return F.lower(name).rlike("|".join(AUTH_HINTS))
-
-
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshlens.functions.columns import confidence_rank
+from meshlens.functions.columns import confidence_rank, heat
 
 
 def rows_of(nodes: DataFrame, flags: DataFrame, most: int = 60) -> DataFrame:
@@ -31,10 +31,9 @@ def bundles(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, "target").groupBy("a", "b").agg(F.max("risk_score").alias("risk"), F.count("*").alias("n"), least.alias("confidence"))
 
 
-def searched(nodes: DataFrame, part: str, least_risk: float = 0) -> DataFrame:
-    """Nodes at or above a risk whose label or file holds a string, whatever its case."""
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(part.lower()))
-    return nodes.filter((F.col("risk_score") >= least_risk) & (has("label") | has("file")))
+def by_heat(nodes: DataFrame) -> DataFrame:
+    """(heat, n): nodes by the heat of their risk."""
+    return nodes.groupBy(heat(F.col("risk_score")).alias("heat")).agg(F.count("*").alias("n"))
 
 
 def sample(df: DataFrame, key: str, ident: str, k: int, seed: int = 45) -> DataFrame:

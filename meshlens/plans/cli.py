@@ -14,6 +14,7 @@ import urllib.request
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import meshlens
 from meshlens import schema
 from meshlens.operators import diff, history, score, views
 from meshlens.plans import scan as scanning
@@ -135,6 +136,7 @@ def run_explain(path: str, owner: str) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="meshlens", description=__doc__)
+    parser.add_argument("--version", action="version", version=meshlens.__version__)
     verbs = parser.add_subparsers(dest="verb", required=True)
     s = verbs.add_parser("scan")
     s.add_argument("root")
@@ -168,6 +170,7 @@ def main(argv: list[str] | None = None) -> int:
         graph = run_scan(a.root, a.backend, a.frontend, a.out, a.coverage, a.store, a.window_hours, not a.no_cache)
         print(score.score_stats(graph.flags, graph.nodes).first().asDict())
         print(views.component_counts(graph.calls).first().asDict())
+        print({r["heat"]: r["n"] for r in views.by_heat(graph.nodes).collect()})  # four rows at most
         for r in views.summary(graph.nodes, graph.edges, graph.flags).orderBy("part", F.desc("n"), "name").collect():  # a row a type or code
             print(f"{r['part']:5} {r['name']:28} {r['n']:8}")
         return 0

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.operators import graph, score
+from meshlens.operators import graph, score, views
 from meshlens.plans import scan
-from meshlens.plans.bindings import FLAG_SQL, HOURS, NOW_MS, OBS_SQL, _payloads, canon_sql, graph_nodes, observations
+from meshlens.plans.bindings import FLAG_SQL, HOURS, NOW_MS, OBS_SQL, _payloads, canon_sql, flags, graph_nodes, observations
 from meshlens.plans.registry import query, table
 from meshlens.plans.source_bindings import _filled, _files, _routes, facts
 from meshlens.plans.staging import own_dir, staged
@@ -102,6 +102,11 @@ def id_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.suggestions(graph_nodes(spark, sf_dir), "O1")
 
 
+@query(f"WITH {FLAG_SQL} SELECT CASE WHEN risk_score >= 70 THEN 'critical' WHEN risk_score >= 40 THEN 'high' WHEN risk_score >= 15 THEN 'medium' ELSE 'low' END AS heat, count(*) AS n FROM scores GROUP BY 1")
+def node_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.by_heat(score.node_scores(graph_nodes(spark, sf_dir), flags(spark, sf_dir)))
+
+
 LIVE_SQL = f"""kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ord DESC) AS r FROM obs WHERE ts_ms >= {NOW_MS} - {HOURS} * 3600000) WHERE r <= 5000)"""
 
 

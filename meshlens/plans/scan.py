@@ -52,7 +52,7 @@ def python_endpoints(facts: DataFrame) -> DataFrame:
     urls = tree.of_kind(facts, "url").withColumn("module", fx.module_of(F.col("file")))
     sets = tree.of_kind(facts, "viewset").withColumn("module", fx.module_of(F.col("file")))
     url_leaf = F.when(F.col("include").isNull(), F.to_json(F.struct("view", "by_class", F.lit(False).alias("set"))))
-    entries = urls.select("module", "pattern", "include", url_leaf.alias("leaf")).unionByName(sets.select("module", F.concat("prefix", F.lit("/")).alias("pattern"), F.lit(None).cast("string").alias("include"), F.to_json(F.struct("view", F.lit(False).alias("by_class"), F.lit(True).alias("set"))).alias("leaf")))
+    entries = urls.select("module", F.when(F.col("regex"), fx.template_of_regex(F.col("pattern"))).otherwise(F.col("pattern")).alias("pattern"), "include", url_leaf.alias("leaf")).unionByName(sets.select("module", F.concat("prefix", F.lit("/")).alias("pattern"), F.lit(None).cast("string").alias("include"), F.to_json(F.struct("view", F.lit(False).alias("by_class"), F.lit(True).alias("set"))).alias("leaf")))
     spelled = traverse.nested_routes(entries, traverse.root_modules(entries)).withColumn("v", F.from_json("leaf", "view string, by_class boolean, set boolean"))
     head, tail = F.substring_index("v.view", ".", 1), F.regexp_extract("v.view", r"\.(.*)$", 1)
     via = imports.join(modules, "file").select("module", F.col("local").alias("_h"), F.col("fqn").alias("_f"))

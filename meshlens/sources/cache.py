@@ -14,7 +14,7 @@ from meshlens.plans.staging import staged
 from meshlens.sources.tree import FACT_ROWS, facts
 
 #: Raised when extractors give other facts for the same text; part of the cache's path.
-VERSION = 1
+VERSION = 2
 KEY = ["section", "path", "sha"]
 BUCKETS = 64
 #: The kind of a row that stands in a bucket without files, so that it is written at all.

@@ -21,7 +21,7 @@ FACTS = {
     "none": "",
     "import": "local string, fqn string",
     "auth_alias": "name string",
-    "url": "pattern string, include string, view string, by_class boolean, line int",
+    "url": "pattern string, include string, view string, by_class boolean, line int, regex boolean",
     "viewset": "prefix string, view string, line int",
     "orm_model": "name string, line int",
     "contract": "name string, bases array<string>, fields array<string>, required array<string>",

@@ -34,12 +34,9 @@ def test_next_route(spark, path, route):
 
 
 def test_names(spark):
-    assert one(spark, "user_full_name", fx.camel) == "userFullName"
     assert one(spark, "app/api/__init__.py", fx.module_of) == "app.api"
-    assert one(spark, "^items/(?P<pk>\\d+)/(\\w+)$", fx.template_of_regex) == "items/<pk>/<p>"
+    assert one(spark, "^items/(?P<pk>\\d+)\\/(\\w+)\\.x$", fx.template_of_regex) == "items/<pk>/<p>.x"
     assert one(spark, "api", lambda c: fx.join_path(F.lit("/v1/"), c)) == "/v1/api"
-    up = spark.createDataFrame([("a.b.c", False, 2, "x"), ("a.b", True, 1, None), ("a", False, 3, "x")], "m string, p boolean, l int, t string")
-    assert [r[0] for r in up.select(fx.relative_module(F.col("m"), F.col("p"), F.col("l"), F.col("t"))).collect()] == ["a.x", "a.b", None]
 
 
 def test_require_candidates_go_up(spark):

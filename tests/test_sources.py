@@ -59,7 +59,7 @@ def test_python_facts():
     assert [f["path"] for k, f in facts if k == "route"] == ["/items/{item_id}", "/items"]
     assert list(python_source.parse("bad.py", "def (")) == []
     urls = list(python_source.parse("shop/urls.py", "urlpatterns = [path('a/<int:x>/', views.one), re_path(r'^b/(?P<y>\\d+)$', V.as_view()), path('c/', include('other.urls'))]"))
-    assert [(f["pattern"], f["view"], f["include"], f["by_class"]) for k, f in urls if k == "url"] == [("a/<int:x>/", "views.one", None, False), ("b/<y>", "V", None, True), ("c/", None, "other.urls", False)]
+    assert [(f["pattern"], f["regex"], f["view"], f["include"], f["by_class"]) for k, f in urls if k == "url"] == [("a/<int:x>/", False, "views.one", None, False), ("^b/(?P<y>\\d+)$", True, "V", None, True), ("c/", False, None, "other.urls", False)]
 
 
 def test_script_facts():
@@ -174,6 +174,8 @@ def test_command_line(spark, tmp_path, capsys):
         (tmp_path / name).write_text(text)
     root, out = str(tmp_path / "p"), str(tmp_path / "out")
     assert cli.main(["scan", root, "--out", out]) == 0
+    with pytest.raises(SystemExit, match="0"):
+        cli.main(["--version"])
     graph = f"{out}/graph.json"
     assert "endpoint" in capsys.readouterr().out and "<title>" in (tmp_path / "out/graph.html").read_text()
     # nothing changed: all facts come from the cache, and the graph is the same
