@@ -17,6 +17,7 @@ from meshlens.functions import columns as fx
 from meshlens.operators import coverage, diff, graph, history, match, runtime, score, traverse, views
 from meshlens.plans.registry import SQL, query, table
 from meshlens.plans.shipping import ship
+from meshlens.plans.staging import staged
 from meshlens.sources import otlp, protobuf
 
 NOW_MS, HOURS = 1706572800000, 240.0
@@ -114,7 +115,7 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("owner_id"), F.lit("node").alias("owner_kind"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ord"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")).alias("code"),
         sev.alias("severity"), F.when(F.col("l_linestatus") == "O", "contract").otherwise("quality").alias("category"), F.lit("m").alias("message"), (F.col("l_partkey") % 3).cast("string").alias("evidence"), F.lit("").alias("suggestion"),
     )
-    return graph.merge_flags(rows, graph_nodes(spark, sf_dir))
+    return staged(graph.merge_flags(rows, graph_nodes(spark, sf_dir)), "flags")  # scores and rollups read it more than once
 
 
 FLAG_SQL = """raw AS (SELECT 'o' || l_orderkey AS owner_id, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS ord, 'c' || (l_partkey % 5) AS code, CASE WHEN l_returnflag = 'R' THEN 'medium' ELSE 'low' END AS severity,
