@@ -146,6 +146,23 @@ met AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM parts JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts p LEFT JOIN met USING (page_id)""",
+    # the table of the checksum, then its fold over the bytes; near words share a pattern with one letter open, or one is the other less a letter
+    "op13_spelling": r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([CAST(x AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+lowered AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 7),
+hexed AS (SELECT run, hex(encode(id || ':' || run)) AS x FROM lowered),
+summed AS (SELECT run, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM hexed, tab),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+places AS (SELECT word, unnest(range(1, CAST(length(word) + 1 AS BIGINT))) AS i FROM words),
+open AS MATERIALIZED (SELECT word, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS p, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM places),
+near AS MATERIALIZED (SELECT a.word AS w, b.word AS v FROM open a JOIN open b ON a.p = b.p AND a.word <> b.word UNION SELECT o.word, s.word FROM open o JOIN words s ON o.short = s.word UNION SELECT s.word, o.word FROM open o JOIN words s ON o.short = s.word),
+best AS (SELECT w, v, m, count(*) OVER (PARTITION BY w) AS n_near FROM (SELECT w, v, n AS m FROM near JOIN words ON word = v) QUALIFY row_number() OVER (PARTITION BY w ORDER BY m DESC, v) = 1),
+forms AS MATERIALIZED (SELECT word, CASE WHEN m >= 10 * n THEN v END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best ON w = word),
+up(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT up.word, f.form FROM up JOIN forms f ON f.word = up.top WHERE f.form IS NOT NULL),
+roots AS (SELECT up.word, top AS root FROM up JOIN forms f ON f.word = up.top WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
 }
 
 
