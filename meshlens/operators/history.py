@@ -2,30 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshlens.functions.columns import iso_second, round_exact
+from meshlens.plans.shipping import ship
 
 CAP = 100
+#: So many ids are one text on their way to the digest.
+JOINED = 250
+
+
+def digest(node_ids: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row, graph_hash: 16 hex digits over sorted ids and sorted owner-code pairs.
+
+    All ids are sorted and joined into short texts by many tasks. SHA-256 takes its input in order and can't be put together
+    from parts, so one task reads these texts one after another; it holds a batch of them and the digest's state.
+    """
+    spark = node_ids.sparkSession
+    ship(spark)
+    pair = F.concat("owner_id", F.lit("\x1f"), "code")
+    values = node_ids.select(F.lit(0).alias("side"), F.col("id").alias("value")).unionByName(flags.select(F.lit(1).alias("side"), pair.alias("value"))).filter("value is not null")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for side in (0, 1):
+                texts = batch.column("value").filter(pc.equal(batch.column("side"), side)).to_pylist()
+                parts = ["\x1e".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(k, k + n), pa.int64()), pa.array([side] * n, pa.int32()), pa.array(parts, pa.string())], names=["task", "k", "side", "text"])
+                k += n
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, at, begun = hashlib.sha256(), 0, False
+        for batch in batches:
+            for side, text in zip(batch.column("side").to_pylist(), batch.column("text"), strict=True):
+                if side < 0:
+                    continue
+                if side > at:
+                    sha.update(b"\x1d")
+                    at, begun = side, False
+                if begun:
+                    sha.update(b"\x1e")
+                sha.update(text.as_buffer())
+                begun = True
+        if not at:
+            sha.update(b"\x1d")
+        yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()[:16]])], names=["graph_hash"])
 
-def hash_of(node_ids: Column, flags: Column) -> Column:
-    """16 hex digits over sorted ids and sorted owner-code pairs (arrays)."""
-    pairs = F.array_sort(F.transform(flags, lambda f: F.concat(f["owner_id"], F.lit("\x1f"), f["code"])))
-    return F.substring(F.sha2(F.concat(F.concat_ws("\x1e", F.array_sort(node_ids)), F.lit("\x1d"), F.concat_ws("\x1e", pairs)), 256), 1, 16)
+    shape = "task int, k long, side int, text string"
+    texts = values.orderBy("side", "value").mapInArrow(join, shape)
+    begin = spark.range(1).select(F.lit(-1).alias("task"), F.lit(0).cast("long").alias("k"), F.lit(-1).alias("side"), F.lit("").alias("text"))  # a graph without ids has a hash as well
+    return texts.unionByName(begin).repartition(1).sortWithinPartitions("task", "k").mapInArrow(read, "graph_hash string")
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, flags: DataFrame, now_ms: int) -> DataFrame:
-    """One row about one graph; its hash needs all ids of that graph in one place."""
+    """One row about one graph."""
     of_nodes = flags.filter(F.col("owner_kind") == "node")
-    a = nodes.agg(F.collect_list("id").alias("_ids"), round_exact(F.coalesce(F.sum("risk_score"), F.lit(0.0)), 1).alias("total_risk"), F.count("*").alias("nodes"), F.count_if(F.col("type") == "endpoint").alias("endpoints"))
+    a = nodes.agg(round_exact(F.coalesce(F.sum("risk_score"), F.lit(0.0)), 1).alias("total_risk"), F.count("*").alias("nodes"), F.count_if(F.col("type") == "endpoint").alias("endpoints"))
     b = edges.agg(F.count_if(F.col("type") == "http").alias("wires"))
-    c = of_nodes.agg(F.collect_list(F.struct("owner_id", "code")).alias("_flags"), F.count("*").alias("flags_total"), F.count_if(F.col("severity") == "critical").alias("flags_critical"))
+    c = of_nodes.agg(F.count("*").alias("flags_total"), F.count_if(F.col("severity") == "critical").alias("flags_critical"))
     d = of_nodes.groupBy("code").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("by_code"))
     now = F.lit(now_ms)
-    return a.join(b).join(c).join(d).select((now / 1000).alias("ts"), iso_second(now).alias("iso"), hash_of(F.col("_ids"), F.col("_flags")).alias("graph_hash"), "total_risk", "nodes", "wires", "endpoints", "flags_total", "flags_critical", "by_code")
+    return a.join(b).join(c).join(d).join(digest(nodes, of_nodes)).select((now / 1000).alias("ts"), iso_second(now).alias("iso"), "graph_hash", "total_risk", "nodes", "wires", "endpoints", "flags_total", "flags_critical", "by_code")
 
 
 def recorded(history: DataFrame, cap: int = CAP) -> DataFrame:

@@ -503,7 +503,7 @@ SELECT CAST({NOW_MS / 1000} AS DOUBLE) AS ts, strftime(make_timestamp({NOW_MS} *
 )
 def history_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks, nodes = flags(spark, sf_dir), graph_nodes(spark, sf_dir)
-    scored = nodes.select("id", "type").join(score.node_scores(nodes, marks), "id")
+    scored = staged(nodes.select("id", "type").join(score.node_scores(nodes, marks), "id"), "scored")  # sums and hash read it
     taken = history.snapshot(scored, edges(spark, sf_dir), marks, NOW_MS)
     return taken.withColumn("by_code", F.array_join(F.transform(F.map_entries("by_code"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
@@ -534,8 +534,8 @@ def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT substr(sha256(string_agg('s' || s_suppkey, chr(30) ORDER BY 's' || s_suppkey) || chr(29) || string_agg('s' || s_suppkey || chr(31) || 'c' || (s_suppkey % 3), chr(30) ORDER BY 's' || s_suppkey || chr(31) || 'c' || (s_suppkey % 3))), 1, 16) AS graph_hash FROM supplier")
 def graph_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), k.alias("ord"))
-    return s.agg(history.hash_of(F.collect_list("id"), F.collect_list(F.struct(F.col("id").alias("owner_id"), F.concat(F.lit("c"), (F.col("ord") % 3).cast("string")).alias("code")))).alias("graph_hash"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("code"))
+    return history.digest(s, s.withColumnRenamed("id", "owner_id"))
 
 
 # ---------------------------------------------------------------- coverage
