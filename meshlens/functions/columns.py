@@ -18,6 +18,11 @@ def round_exact(value: Column, digits: int) -> Column:
     return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0")).cast("double")
 
 
+def tenths(value: Column) -> Column:
+    """A number of one decimal place as text, without exponent however large."""
+    return F.call_function("format_number", value, F.lit("0.0"))
+
+
 def canonical_path(path: Column) -> Column:
     """Query and trailing slashes cut; path parameters of any syntax and all-digit segments become :p."""
     out = F.rtrim(F.substring_index(path, "?", 1), F.lit("/"))
@@ -105,7 +110,7 @@ def heat(score: Column) -> Column:
 
 
 def signed(value: Column) -> Column:
-    text = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    text = F.regexp_replace(tenths(value), r"\.0$", "")
     return F.when(value > 0, F.concat(F.lit("+"), text)).otherwise(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.functions.columns import SEVERITY_RANK, round_exact, severity_rank, signed
+from meshlens.functions.columns import SEVERITY_RANK, round_exact, severity_rank, signed, tenths
 
 
 def element_status(old: DataFrame, new: DataFrame, watched: list[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def text_lines(old: dict[str, DataFrame], new: dict[str, DataFrame], markdown: b
     one = summary(old, new)
     cell = lambda name, *parts: F.concat(F.lit(mark + name + (" | " if markdown else "  ")), *parts, F.lit(" |" if markdown else ""))
     text = lambda c: F.col(c).cast("string")
-    head = one.select(F.posexplode(F.array(cell("nodes", F.lit("+"), text("nodes_added"), F.lit(" / -"), text("nodes_removed")), cell("wires", F.lit("+"), text("wires_added"), F.lit(" / -"), text("wires_removed"), F.lit(" / ~"), text("wires_changed")), cell("flags", F.lit("+"), text("flags_introduced"), F.lit(" / -"), text("flags_resolved")), cell("risk", text("old_total"), F.lit(" -> "), text("new_total"), F.lit(" ("), signed(F.col("delta")), F.lit(")")))).alias("_k", "line")).select(F.struct(F.lit(0).alias("part"), F.col("_k").alias("rank"), F.lit("").alias("owner"), F.lit("").alias("code")).alias("ord"), "line")
+    head = one.select(F.posexplode(F.array(cell("nodes", F.lit("+"), text("nodes_added"), F.lit(" / -"), text("nodes_removed")), cell("wires", F.lit("+"), text("wires_added"), F.lit(" / -"), text("wires_removed"), F.lit(" / ~"), text("wires_changed")), cell("flags", F.lit("+"), text("flags_introduced"), F.lit(" / -"), text("flags_resolved")), cell("risk", tenths(F.col("old_total")), F.lit(" -> "), tenths(F.col("new_total")), F.lit(" ("), signed(F.col("delta")), F.lit(")")))).alias("_k", "line")).select(F.struct(F.lit(0).alias("part"), F.col("_k").alias("rank"), F.lit("").alias("owner"), F.lit("").alias("code")).alias("ord"), "line")
     out = head
     for part, (df, sign) in enumerate(((new_flags(old["flags"], new["flags"]), "+"), (gone_flags(old["flags"], new["flags"]), "-")), 1):
         line = F.concat(F.lit(f"{mark}{sign} ["), "severity", F.lit("] "), "code", F.lit("  "), "owner", F.lit(" |" if markdown else ""))

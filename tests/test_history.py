@@ -1,10 +1,10 @@
-"""Hashes of graphs."""
+"""Hashes of graphs and reports on large totals."""
 
 import hashlib
 
 import pytest
 
-from meshlens.operators import history
+from meshlens.operators import diff, history
 
 
 def plain_hash(ids, flags):
@@ -28,3 +28,16 @@ def test_no_row_holds_all_ids(spark):
     assert taken.first()["graph_hash"] == plain_hash(["a"], [("a", "x")])
     plan = taken._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(id" not in plan and "owner_id" not in plan.split("collect_list", 1)[-1].split("\n")[0]
+
+
+def test_report_of_large_totals(spark):
+    """Ten million and more are spelled out, as Python does."""
+
+    def side(risk):
+        nodes = spark.createDataFrame([("a", risk)], "id string, risk_score double")
+        edges = spark.createDataFrame([], "id string, risk_score double, confidence string")
+        flags = spark.createDataFrame([], "owner_id string, code string, severity string, category string, message string, ord long")
+        return {"nodes": nodes, "edges": edges, "flags": flags}
+
+    for a, b, line in ((12_345_678.5, 36_000_000.5, "12345678.5 -> 36000000.5 (+23654322)"), (2e7, 5.0, "20000000.0 -> 5.0 (-19999995)"), (1.5, 1.5, "1.5 -> 1.5 (0)")):
+        assert diff.text_lines(side(a), side(b)).collect()[3]["line"] == f"  risk  {line}"
