@@ -11,10 +11,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Once for each Spark application. The archive is built here and goes through Spark's own file server."""
+    """Once for each Spark application; batches are bounded in each session. The archive is built here and goes through Spark's own file server."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

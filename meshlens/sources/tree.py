@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +82,31 @@ def register(section: str, glob: str, parse: Callable[[str, str], Iterator[tuple
 
 
 FACT_ROWS = "section string, path string, sha string, ord long, kind string, fact string"
+#: Characters of facts that leave a task in one batch; a file's own facts are never parted.
+FACTS_A_BATCH = 1 << 20
+
+
+def fact_batches(batches: Iterable[pa.RecordBatch], further: dict[str, Callable[[str, str], Iterator[tuple[str, dict]]]]) -> Iterator[pa.RecordBatch]:
+    """Facts of (section, path, content, sha), a bounded number at a time."""
+    names = ["section", "path", "sha", "ord", "kind", "fact"]
+    for batch in batches:
+        rows, size = [], 0
+        for section, path, sha, content in zip(*(batch.column(c) for c in ("section", "path", "sha", "content")), strict=True):
+            section, path, sha = section.as_py(), path.as_py(), sha.as_py()
+            try:
+                text = content.as_py().decode("utf-8", "replace")
+                found = list(further[section](path, text) if section in further else _parse(section, path, text)) or [("none", {})]
+            except (RecursionError, IndexError, KeyError, MemoryError) as e:
+                found = [("failed", {"error": type(e).__name__})]
+            for k, (kind, fact) in enumerate(found):
+                spelled = json.dumps(fact)
+                size += len(spelled)
+                rows.append((section, path, sha, k, kind, spelled))
+            if size > FACTS_A_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -89,20 +114,11 @@ def facts(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
     further = {section: parse for section, (_, parse) in FURTHER.items()}  # goes to executors with the function below
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                try:
-                    text = bytes(r.content).decode("utf-8", "replace")
-                    found = list(further[r.section](r.path, text) if r.section in further else _parse(r.section, r.path, text)) or [("none", {})]
-                except (RecursionError, IndexError, KeyError, MemoryError) as e:
-                    found = [("failed", {"error": type(e).__name__})]
-                rows += [(r.section, r.path, r.sha, k, kind, json.dumps(fact)) for k, (kind, fact) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["section", "path", "sha", "ord", "kind", "fact"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fact_batches(batches, further)
 
     dealt = files.withColumn("sha", F.sha2("content", 256)).repartition("path")
-    return dealt.mapInPandas(run, FACT_ROWS)
+    return dealt.mapInArrow(run, FACT_ROWS)
 
 
 def of_kind(found: DataFrame, kind: str) -> DataFrame:
