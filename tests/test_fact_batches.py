@@ -1,9 +1,11 @@
-"""Facts leave a task in batches of bounded size."""
+"""Facts leave a task in batches of bounded size, and blanks before a token are never read as one."""
 
 import pyarrow as pa
+import pytest
 
 from meshlens.plans import shipping
 from meshlens.sources import tree
+from meshlens.sources.extract import script_source
 
 
 def test_facts_leave_in_bounded_batches():
@@ -28,3 +30,9 @@ def test_files_that_fail_or_hold_nothing():
 def test_batches_to_python_are_bounded(spark):
     shipping.ship(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) == shipping.BATCH_BYTES
+
+
+@pytest.mark.parametrize("tail", ["// foo", "/* foo */", "/* foo", " \n", "// a\n/* b */ "])
+def test_comments_at_the_end(tail):
+    assert script_source.Script("f(x) " + tail).text == ["f", "(", "x", ")"]
+    assert script_source.Script("`${g(" + tail).text == ["`${g(" + tail]
