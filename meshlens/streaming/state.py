@@ -6,15 +6,19 @@ on where its last batch ended. The kept rows are read from that state itself; no
 
 from __future__ import annotations
 
+import json
 import sys
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ListState
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from meshlens.functions.columns import canonical_path
@@ -27,8 +31,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PARTS = 8
 HELD = reduce(lambda t, c: t.add(*c), [("ord", LongType()), ("method", StringType()), ("route", StringType()), ("path", StringType()), ("status", IntegerType()), ("ts_ms", LongType()), ("dur_ms", DoubleType()), ("trace_id", StringType())], StructType())
 ABOUT = StructType().add("rows", LongType()).add("latest_ms", LongType())
-WAITING = StructType().add("ts_ms", LongType()).add("server", StringType())
-CLIENT = StructType().add("ts_ms", LongType()).add("method", StringType()).add("path", StringType())
+#: Spans held as lines of JSON, at most so many a block where blocks are written anew.
+BLOCK_ROWS = 2000
+BLOCK = StructType().add("lines", StringType())
+DUE = StructType().add("ms", LongType())
+NEVER = (1 << 63) - 1
 _HOUR = 3_600_000
 
 
@@ -83,70 +90,126 @@ class Keep(StatefulProcessor):
 
 
 class LatestClient(StatefulProcessor):
-    """Requests of one trace wait until the watermark has left their range behind, and go out once, with the latest client span in it."""
+    """Requests of a share of traces and a slot of time wait until the watermark has left their range behind, and go out once, with the latest client span in it.
 
-    def __init__(self, apart_ms: int, columns: list[str]) -> None:
-        self.apart_ms, self.columns = apart_ms, columns
+    Rows are held as blocks of JSON lines, so that a call and a read of the state serve many traces; only the client spans of a
+    key are in memory as objects. One timer stands at the earliest request's end, one at the end of the slot and its range, when
+    nothing of it can be asked for; a timer goes off when the watermark has come to it.
+    """
+
+    def __init__(self, apart_ms: int, slot_ms: int) -> None:
+        self.apart_ms, self.slot_ms = apart_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.clients = handle.getListState("clients", CLIENT)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        servers, clients = [], []
-        for r in rows:
-            if r["server"] is None:
-                clients.append((r["ts_ms"], r["client_method"], r["client_path"]))
-            else:
-                servers.append((r["ts_ms"], r["server"]))
-                self.handle.registerTimer(r["ts_ms"] + self.apart_ms + 1)
-        if clients:
-            self.clients.appendList(clients)
-            for at, *_ in clients:  # ends what is held if no request comes
-                self.handle.registerTimer(at + 2 * self.apart_ms + 1)
-        if servers:
-            self.waiting.appendList(servers)
+        self.waiting = handle.getListState("waiting", BLOCK)
+        self.clients = handle.getListState("clients", BLOCK)
+        self.due = handle.getValueState("due", DUE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        end = self._end(key)
+        known = self.due.get()[0] if self.due.exists() else None
+        first = end if known is None else known
+        for batch in rows:
+            due, sent = batch["due"], batch["due"] == NEVER
+            first = min(first, int(due.min()))
+            for held, lines in ((self.waiting, batch["line"][~sent]), (self.clients, batch["line"][sent])):
+                if len(lines):
+                    held.appendValue(("\n".join(lines),))
+        if known is None:
+            self.handle.registerTimer(end)
+        self._next(first, known, end)
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        reached = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        clients = [tuple(r) for r in self.clients.get()] if self.clients.exists() else []
-        left = []
-        for ts, server in waiting:
-            if ts + self.apart_ms >= reached:
-                left.append((ts, server))
+    def _end(self, key: tuple) -> int:
+        return int(key[1]) + self.slot_ms + self.apart_ms
+
+    def _next(self, first: int, known: int | None, end: int) -> None:
+        if first != known:
+            self.due.update((first,))
+            if first < end:
+                self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        mark, end = timerValues.getCurrentWatermarkInMs(), self._end(key)
+        known = self.due.get()[0] if self.due.exists() else None
+        if known is None or known > mark:
+            return
+        by_trace: dict[str, list[tuple]] = {}
+        live, left, ready, first = [], [], [], end
+        for line in _lines(self.clients):
+            c = json.loads(line)
+            by_trace.setdefault(c.get("trace_id"), []).append((c["ts_ms"], c.get("client_method"), c.get("client_path")))
+            if c["ts_ms"] + 2 * self.apart_ms >= mark:
+                live.append(line)
+        for found in by_trace.values():
+            found.sort(key=lambda c: (c[0], c[1] or "", c[2] or ""))
+        for line in _lines(self.waiting):
+            r = json.loads(line)
+            if r["ts_ms"] + self.apart_ms >= mark:
+                left.append(line)
+                first = min(first, r["ts_ms"] + self.apart_ms + 1)
                 continue
-            near = max((c for c in clients if abs(c[0] - ts) <= self.apart_ms), key=lambda c: c[0], default=(None, None, None))
-            yield Row(trace_id=key[0], server=server, client_method=near[1], client_path=near[2], client_ts_ms=near[0])
-        live = [c for c in clients if c[0] + 2 * self.apart_ms >= reached]
-        for state, rows in ((self.waiting, left), (self.clients, live)):
-            if rows:
-                state.put(rows)
+            trace = r.get("trace_id")
+            ready.append((trace, r["server"], *self._latest(by_trace.get(trace, ()), r["ts_ms"])))
+            if len(ready) == BLOCK_ROWS:
+                yield _frame(ready)
+                ready = []
+        if ready:
+            yield _frame(ready)
+        for held, lines in ((self.waiting, left), (self.clients, live)):
+            if lines and end > mark:
+                held.put([("\n".join(lines[k : k + BLOCK_ROWS]),) for k in range(0, len(lines), BLOCK_ROWS)])
             else:
-                state.clear()
+                held.clear()
+        if end > mark:
+            self._next(first, known, end)
+        else:
+            self.due.clear()
+
+    def _latest(self, found: Sequence[tuple], ts: int) -> tuple:
+        """(time, method, path) of the last of these client spans in the range of a request."""
+        k = bisect_left(found, (ts + self.apart_ms + 1,)) - 1
+        return found[k] if k >= 0 and found[k][0] >= ts - self.apart_ms else (None, None, None)
 
     def close(self) -> None:
         """Nothing is open."""
 
 
-def latest_client_stream(servers: DataFrame, clients: DataFrame, hours: float = 24, apart: float = 1) -> DataFrame:
+def _lines(held: ListState) -> Iterator[str]:
+    return (line for (block,) in held.get() for line in block.split("\n"))
+
+
+def _frame(ready: list[tuple]) -> pd.DataFrame:
+    """Rows (trace, server, time, method, path) of client spans as the processor gives them out."""
+    kinds = {"trace_id": "object", "server": "object", "client_ts_ms": "Int64", "client_method": "object", "client_path": "object"}
+    return pd.DataFrame({name: pd.Series(values, dtype=kinds[name]) for name, values in zip(kinds, zip(*ready))})
+
+
+def latest_client_stream(servers: DataFrame, clients: DataFrame, hours: float = 24, apart: float = 1, shares: int = PARTS) -> DataFrame:
     """One row a server span, in append mode: its columns with the method, path and time of the latest client span of its trace at most so many hours apart.
 
-    A request goes out when the watermark has passed the end of its range, so no later span can change it.
+    A request goes out when the watermark has passed the end of its range, so no later span can change it. A key of the state is
+    one of so many shares of the traces in a slot of four ranges, so calls to Python don't grow with the traces; client spans go
+    to each slot that their range meets. Spans of a key are read by one task at once: streams of very many need more shares.
     """
     spark = servers.sparkSession
     _rocks(spark)
+    apart_ms = int(apart * _HOUR)
+    slot_ms = max(4 * apart_ms, _HOUR // 6)
+    slot = lambda at: at - F.pmod(at, F.lit(slot_ms))
+    ms = F.unix_millis("ts")
     columns = [c for c in servers.columns if c not in ("trace_id", "ts")]
     late = f"{int(hours * 60)} minutes"
-    none = lambda kind: F.lit(None).cast(kind)
     body = F.to_json(F.struct(*columns))
-    asked = servers.filter("ts is not null").select("trace_id", "ts", F.unix_millis("ts").alias("ts_ms"), body.alias("server"), none("string").alias("client_method"), none("string").alias("client_path"))
-    sent = clients.select("trace_id", "ts", F.unix_millis("ts").alias("ts_ms"), none("string").alias("server"), F.col("method").alias("client_method"), canonical_path(F.col("path")).alias("client_path"))
-    dealt = asked.unionByName(sent).withWatermark("ts", late).groupBy("trace_id")
-    out = "trace_id string, server string, client_method string, client_path string, client_ts_ms long"
-    found = dealt.transformWithState(LatestClient(int(apart * _HOUR), columns), out, "Append", "EventTime")
+    share = F.pmod(F.xxhash64("trace_id"), F.lit(shares)).cast("int").alias("share")
+    line = lambda *held: F.to_json(F.struct("trace_id", ms.alias("ts_ms"), *held)).alias("line")
+    asked = servers.filter("ts is not null").select(share, slot(ms).alias("slot"), "ts", (ms + apart_ms + 1).alias("due"), line(body.alias("server")))
+    slots = F.explode(F.sequence(slot(ms - apart_ms), slot(ms + apart_ms), F.lit(slot_ms).cast("long")))
+    sent = clients.select(share, slots.alias("slot"), "ts", F.lit(NEVER).alias("due"), line(F.col("method").alias("client_method"), canonical_path(F.col("path")).alias("client_path")))
+    dealt = asked.unionByName(sent).withWatermark("ts", late).groupBy("share", "slot")
+    out = "trace_id string, server string, client_ts_ms long, client_method string, client_path string"
+    found = dealt.transformWithStateInPandas(LatestClient(apart_ms, slot_ms), out, "Append", "EventTime")
     shape = servers.select(*columns).schema.simpleString()
     named = found.withColumn("_s", F.from_json("server", shape))
     return named.select("trace_id", "_s.*", "client_method", "client_path", F.timestamp_millis("client_ts_ms").alias("client_ts"))

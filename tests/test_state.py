@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
@@ -86,6 +87,38 @@ def test_latest_client_in_the_stream(spark, tmp_path):
     assert run() == [("none", "/s", None, t0), ("two", "/s", "/later/:p", t0), ("two", "/s2", "/later/:p", t0 + minute)]
 
 
+@pytest.mark.parametrize("shares", [1, 8])
+def test_latest_client_of_many_traces(spark, tmp_path, shares):
+    """Spans around the bounds of slots and of the range, over a restart, as a comparison of all pairs has them; state keys are few, however many the traces."""
+    folder, checkpoint, t0, minute = str(tmp_path / "in"), str(tmp_path / "cp"), 1_700_000_000_000 // HOUR * HOUR, 60_000
+    apart, late = 15 * minute, 30 * minute
+    rng = random.Random(7)
+    found, top = [], t0
+    for b in range(4):
+        low, top = top - 20 * minute, t0 + (b + 1) * 40 * minute
+        rows = [(rng.choice((2, 2, 3)), t0 + rng.randrange(low - t0, top - t0), f"t{rng.randrange(60)}", f"/{b}x{k}") for k in range(90)]
+        rows += [(2, top, "top", f"/top{b}")]
+        for k, at in enumerate((top - late - apart - 2, top - late - apart - 1, top - late - apart)):  # over, just over, not yet
+            rows += [(2, at, f"edge{b}{k}", "/edge"), (3, at + apart, f"edge{b}{k}", "/in"), (3, at - apart, f"edge{b}{k}", "/early"), (3, at + apart + 1, f"edge{b}{k}", "/out")]
+        found.append([r for r in rows if r[1] > top - late - 40 * minute + 1])  # none behind the watermark of the file before
+    for b, rows in enumerate(found):
+        drop(folder, b, *[span(kind, ms, trace, http__method="get", url__path=path) for kind, ms, trace, path in rows])
+        servers, clients = spans.span_streams(spans.payload_stream(spark, folder, 1))
+        sent = state.latest_client_stream(servers, clients, hours=0.5, apart=0.25, **({} if shares == 8 else {"shares": shares}))
+        sent.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(300)
+        seen = [r for rows in found[: b + 1] for r in rows]
+        mark = max(r[1] for r in seen) - late
+        want = []
+        for kind, ms, trace, path in seen:
+            if kind == 2 and ms + apart + 1 <= mark:
+                near = max(((m, p) for k, m, t, p in seen if k == 3 and t == trace and abs(m - ms) <= apart), default=(None, None))
+                want.append((trace, ms, path, near[0], near[1]))
+        got = [(r["trace_id"], r["ts_ms"], r["path"], r["at"], r["client_path"]) for r in spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.unix_millis("client_ts")).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr) and want
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
+    assert held.select("key").distinct().count() <= 3 * shares
+
+
 @pytest.mark.parametrize("hours", [None, 12])
 def test_ingest_command(spark, tmp_path, hours):
     folder, store, now = str(tmp_path / "in"), str(tmp_path / "store"), int(time.time() * 1000)
